@@ -76,9 +76,10 @@ def exact_dedup(docs: DataFrame, incoming: Column, *, id_col: str = "doc_id", te
 
     # Texts are needed where a digest occurs twice in the snapshot, twice in the batch, or passed the filter.
     twice = narrow.groupBy("_new", "_sha").count().where("count > 1").select("_sha")
+    # One strategy at every size: texts are dealt by id, whether or not the suspects would fit into a broadcast.
     # Staged: the join below must not take over the digest's partitioning, in which all copies of a text meet.
     suspects = stage(narrow.join(twice.union(passed).distinct(), "_sha", "left_semi").select("doc_id", "_sha"), "suspects")
-    texts = base.join(suspects, on=[base["doc_id"].eqNullSafe(suspects["doc_id"]), base["_sha"] == suspects["_sha"]], how="left_semi")
+    texts = base.join(suspects.hint("merge"), on=[base["doc_id"].eqNullSafe(suspects["doc_id"]), base["_sha"] == suspects["_sha"]], how="left_semi")
 
     def buckets(rows: DataFrame, tag: str) -> DataFrame:
         return rows.groupBy("_sha", "_text").agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.max("doc_id").alias(f"top_{tag}"))
