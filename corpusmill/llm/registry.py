@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, language_id, mixing, near_dedup, packing, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pack": packing.op3_pack,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mix": mixing.op6_mix,
+    "op8_language_id": language_id.op8_language_id,
 }
 
 ORACLE_SQL = {
