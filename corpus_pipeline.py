@@ -10,31 +10,26 @@ from corpusmill.llm.common import read_table, stage
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model can tell; a text without a letter is rejected.
-
-    Decided by id: an id that occurs with several texts stays if one of them is in a known language.
-    """
-    model = language_id.fit(docs, ~language_id.held_out())
-    good = language_id.identify(docs, model).where("lang_pred <> 'und'").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+    """Documents whose language the model can tell; a text without a letter is rejected."""
+    return language_id.identified_only(docs, language_id.fit(docs, ~language_id.held_out()))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays: that with the largest id. Rows that repeat an id and text are one row."""
     kept = exact_dedup.exact_dedup(docs, exact_dedup.batch_rule()).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.dropDuplicates(["doc_id"]).join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: that with the least id."""
     kept = near_dedup.near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     times = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken / size as int)").alias("_times"))
-    return docs.join(times, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    return docs.join(times.hint("merge"), F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

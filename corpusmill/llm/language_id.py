@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,32 +110,48 @@ def fit(docs: DataFrame, trainable: Column, *, id_col: str = "doc_id", text_col:
     return fit_rows([(r[1], r[2]) for r in sorted(picked, key=lambda r: (r[0], r[1], r[2]))])
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", batch: int = 64) -> DataFrame:
+def predict(texts: list[str | None], model: Model, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of whole texts; batches of presence vectors are multiplied with the model's weights."""
+    names = np.array(model.languages, dtype=object)
+    langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+    seen = np.zeros((batch, WIDTH), dtype=np.uint8)
+    for s in range(0, len(texts) if len(names) else 0, batch):
+        part = texts[s : s + batch]
+        seen[:] = 0
+        ok = np.array([t is not None and presence(t, seen[k]) for k, t in enumerate(part)], dtype=bool)
+        best, p = model.predict(seen[: len(part)])
+        langs[s : s + len(part)][ok] = names[best][ok]
+        scores[s : s + len(part)][ok] = p[ok]
+    return langs, scores
+
+
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language and score of every whole text. Rows: doc_id, lang_pred, score.
 
-    Batches of presence vectors are multiplied with the model's weights. Defined cases: a null text, or one without a
-    letter, is ``und`` with score 0, and so is all if nothing could be learned; null and repeated ids give a row each;
-    other columns are ignored.
+    Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is all if nothing could be
+    learned; null and repeated ids give a row each; an empty table gives an empty result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        names = np.array(m.languages, dtype=object)
-        seen = np.zeros((batch, WIDTH), dtype=np.uint8)
-        for pdf in batches:
-            texts, langs, scores = pdf["_text"].tolist(), np.full(len(pdf), "und", dtype=object), np.zeros(len(pdf))
-            for s in range(0, len(texts) if len(names) else 0, batch):
-                part = texts[s : s + batch]
-                seen[:] = 0
-                ok = np.array([t is not None and presence(t, seen[k]) for k, t in enumerate(part)], dtype=bool)
-                best, p = m.predict(seen[: len(part)])
-                langs[s : s + len(part)][ok] = names[best][ok]
-                scores[s : s + len(part)][ok] = p[ok]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": langs, "score": scores})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            langs, scores = predict(rows.column(1).to_pylist(), held.value)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def identified_only(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language the model can tell; decided row by row, without a shuffle."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            langs, _ = predict(rows.column(at).to_pylist(), held.value)
+            yield rows.filter(pa.array(langs != "und", pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
