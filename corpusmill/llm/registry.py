@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, html_text, language_id, mixing, near_dedup, near_vectors, packing, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pack": packing.op3_pack,
+    "op4_near_vectors": near_vectors.op4_near_vectors,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mix": mixing.op6_mix,
+    "op7_html_text": html_text.op7_html_text,
     "op8_language_id": language_id.op8_language_id,
+    "op9_revisits": warc.op9_revisits,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_near_vectors": near_vectors.OP4_SQL,
     "op6_mix": mixing.OP6_SQL,
+    "op9_revisits": warc.OP9_SQL,
 }
