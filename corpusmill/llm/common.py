@@ -55,20 +55,23 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
     """
     e = edges.select(F.col(src).cast("long").alias("_u"), F.col(dst).cast("long").alias("_v")).where("_u is not null and _v is not null and _u <> _v")
     e = stage(e.union(e.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))).distinct(), "edges")
-    moved = stage(e.select(F.col("_u").alias("node")).distinct().withColumn("root", F.col("node")), "nodes")
-    for k in range(rounds):
-        if e.isEmpty():
-            break
-        rank = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))
+    images: list[DataFrame] = []
+    while not e.isEmpty():
+        if len(images) == rounds:
+            raise RuntimeError(f"edges remain after {rounds} rounds of contraction")
+        rank = lambda c, k=len(images): F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))
         image = e.groupBy("_u").agg(F.min(rank("_v")).alias("m")).select("_u", F.least(rank("_u"), F.col("m"))["n"].alias("_to"))
         image = stage(image, "image")
         left = image.select(F.col("_u"), F.col("_to").alias("_x"))
         right = image.select(F.col("_u").alias("_v"), F.col("_to").alias("_y"))
         nxt = e.join(left, "_u").select("_x", "_v").join(right, "_v").where("_x <> _y")
         e = stage(nxt.select(F.col("_x").alias("_u"), F.col("_y").alias("_v")).distinct(), "edges")
-        step = image.select(F.col("_u").alias("root"), F.col("_to"))
-        moved = stage(moved.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "nodes")
-    else:
-        raise RuntimeError(f"edges remain after {rounds} rounds of contraction")
+        images.append(image)
+    if not images:
+        return e.select(F.col("_u").alias("node"), F.col("_v").alias("component"))
+    moved = images[0].select(F.col("_u").alias("node"), F.col("_to").alias("root"))
+    for image in images[1:]:
+        moved = moved.join(image.withColumnRenamed("_u", "root"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    moved = stage(moved, "nodes")
     least = moved.groupBy("root").agg(F.min("node").alias("component"))
     return stage(moved.join(least, "root").select("node", "component"), "components")
