@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 #: Bounds of the fit: labelled and unlabelled documents that are drawn by hash, whatever the size of the tables.
-LABELLED_SAMPLE, UNLABELLED_SAMPLE = 6_000, 6_000
+LABELLED_SAMPLE, UNLABELLED_SAMPLE = 9_000, 2_000
 #: A word votes if chance explains its toxic share with less than this probability (over all words looked at).
 CHANCE = 0.02
 #: Other words that the classifier sees: the most frequent of the sample.
@@ -155,7 +155,8 @@ def logistic(x: np.ndarray, p: np.ndarray, w: np.ndarray, penalty: float, rounds
 
 def fit_rows(rows: list[tuple[str, float | None]]) -> Model:
     """rows: text and label (None: no label). Without a labelled toxic row, nothing is learned and all scores are low."""
-    found = [words_of(t) for t, _ in rows]
+    shared: dict[str, str] = {}  # one object a word: the sample's words repeat a lot
+    found = [[shared.setdefault(w, w) for w in words_of(t)] for t, _ in rows]
     docs = [(s, _family(s)) for s in map(set, found)]
     y = np.array([np.nan if label is None else float(label) for _, label in rows])
     known = ~np.isnan(y)
