@@ -20,7 +20,8 @@ def split_by_headers(docs: DataFrame, *, key: str = "doc_url", body: str = "body
 
     Headings are lines of one to three ``#`` and a blank, or nothing, behind them; the heading line stays in the content.
     Lines before the first heading are a section without a path. All happens within the row, without a shuffle: the
-    places of headings cut the array of lines, and a fold over the headings carries the levels that are open.
+    places of headings cut the array of lines, and a fold over the headings carries the levels that are open. (The outer
+    explode keeps the optimizer from adding a filter that would compute the sections twice.)
     """
     lines = F.split(F.col(body), "\n")
     level = F.expr("transform(_lines, x -> length(regexp_extract(x, '^(#{1,3})( |$)', 1)))")
@@ -39,7 +40,7 @@ def split_by_headers(docs: DataFrame, *, key: str = "doc_url", body: str = "body
         'heading_path', nullif(array_join(filter(array(c.h1, c.h2, c.h3), x -> x is not null and x <> ''), ' > '), '')))"""
     rows = rows.withColumn("_sections", F.expr(section))
     keep = [c for c in docs.columns if c != body]
-    out = rows.select(*keep, F.posexplode("_sections").alias("pos", "_s"))
+    out = rows.select(*keep, F.posexplode_outer("_sections").alias("pos", "_s")).where("pos is not null")
     return out.select(*keep, "pos", F.col("_s.content").alias("content"), F.col("_s.heading_path").alias("heading_path"))
 
 
@@ -108,7 +109,7 @@ def fixed_windows(sections: DataFrame, *, target: int = TARGET) -> DataFrame:
     lines = lines.withColumn("_bins", F.expr(fold))
     parts = F.expr("transform(array_distinct(_bins), b -> array_join(transform(filter(sequence(0, size(_bins) - 1), i -> _bins[i] = b), i -> _lines[i]), '\\n'))")
     keep = [c for c in sections.columns if c != "content"]
-    return lines.select(*keep, F.posexplode(parts).alias("part", "content"))
+    return lines.select(*keep, F.posexplode_outer(parts).alias("part", "content")).where("part is not null")
 
 
 def strip_and_drop(pieces: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def empty_headings(docs: DataFrame, *, key: str, body: str, naive: bool = False)
     rows = rows.withColumn("_h", F.expr("filter(sequence(0, size(_l) - 1), i -> _lv[i] > 0)"))
     test = "not exists(slice(_full, _h[k] + 2, _h[k + 1] - _h[k] - 1), x -> x)" + ("" if naive else " and _lv[_h[k + 1]] <= _lv[_h[k]]")
     rows = rows.withColumn("_e", F.expr(f"transform(filter(case when size(_h) > 1 then sequence(0, size(_h) - 2) else array() end, k -> {test}), k -> _h[k])"))
-    out = rows.select(key, F.explode("_e").alias("pos"), "_l", "_lv")
+    out = rows.select(key, F.explode_outer("_e").alias("pos"), "_l", "_lv").where("pos is not null")
     return out.select(key, "pos", F.expr("_lv[pos]").alias("level"), strip(F.regexp_replace(F.expr("_l[pos]"), "^#+", "")).alias("title"))
 
 
