@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 #: Bounds of the fit: labelled and unlabelled documents that are drawn by hash, whatever the size of the tables.
-LABELLED_SAMPLE, UNLABELLED_SAMPLE = 9_000, 2_000
+LABELLED_SAMPLE, UNLABELLED_SAMPLE = 6_000, 1_500
 #: A word votes if chance explains its toxic share with less than this probability (over all words looked at).
 CHANCE = 0.02
 #: Other words that the classifier sees: the most frequent of the sample.
@@ -29,7 +29,7 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def _family(words: set[str]) -> int:
+def _family(words: list[str]) -> int:
     """A min-hash of the word set: close copies mostly share it, so that a copied text counts once as evidence."""
     return min(hash_word(w) for w in words) if words else 0
 
@@ -42,16 +42,22 @@ def hash_word(w: str) -> int:
 
 def mine(docs: list[tuple[set[str], int]], p: np.ndarray, chance: float = CHANCE, least: int = 3) -> list[str]:
     """Words whose families of documents are toxic far more often than chance allows. p: how toxic each document is."""
-    toxic, total = {}, {}
-    for (words, family), q in zip(docs, p):
+    toxic, where = {}, {}
+    for k, (words, _) in enumerate(docs):
         for w in words:
-            total.setdefault(w, {}).setdefault(family, []).append(q)
-    rates = {w: [sum(v) / len(v) for v in f.values()] for w, f in total.items() if len(f) >= least}
+            where.setdefault(w, []).append(k)
+    rates = {}
+    for w, at in where.items():
+        by: dict[int, list[float]] = {}
+        for k in at:
+            by.setdefault(docs[k][1], []).append(p[k])
+        if len(by) >= least and sum(p[k] for k in at) > 0.5 * len(at):
+            rates[w] = [sum(v) / len(v) for v in by.values()]
     families: dict[int, list[float]] = {}
     for (_, family), q in zip(docs, p):
         families.setdefault(family, []).append(q)
     base = min(0.5, max(1e-3, float(np.mean([sum(v) / len(v) for v in families.values()]) if families else 0)))
-    bound = log(chance / max(1, len(rates)))
+    bound = log(chance / max(1, len(where)))
     for w, r in rates.items():
         n, k = len(r), sum(r)
         q = k / n
@@ -62,8 +68,11 @@ def mine(docs: list[tuple[set[str], int]], p: np.ndarray, chance: float = CHANCE
     return sorted(toxic)
 
 
-def votes(text: str, found: list[str], lexicon: dict[str, int]) -> np.ndarray:
-    """One voter a lexicon word, and pattern voters: several distinct words, repeats, density, shouting, exclamation."""
+def votes(text: str, found: list[str], lexicon: dict[str, int], words: int | None = None) -> np.ndarray:
+    """One voter a lexicon word, and pattern voters: several distinct words, repeats, density, shouting, exclamation.
+
+    found: the text's words, or those of them that may be in the lexicon; then ``words`` is the number of all.
+    """
     out = np.zeros(len(lexicon) + 5, dtype=bool)
     hits = [w for w in found if w in lexicon]
     for w in hits:
@@ -72,7 +81,7 @@ def votes(text: str, found: list[str], lexicon: dict[str, int]) -> np.ndarray:
         k = len(lexicon)
         out[k] = len(set(hits)) >= 2
         out[k + 1] = len(hits) > len(set(hits))
-        out[k + 2] = len(hits) * 200 >= len(found)
+        out[k + 2] = len(hits) * 200 >= (len(found) if words is None else words)
         out[k + 3] = any(w.upper() in text for w in set(hits))
         out[k + 4] = any(f"{w}!" in text for w in set(hits))
     return out
@@ -155,9 +164,16 @@ def logistic(x: np.ndarray, p: np.ndarray, w: np.ndarray, penalty: float, rounds
 
 def fit_rows(rows: list[tuple[str, float | None]]) -> Model:
     """rows: text and label (None: no label). Without a labelled toxic row, nothing is learned and all scores are low."""
-    shared: dict[str, str] = {}  # one object a word: the sample's words repeat a lot
-    found = [[shared.setdefault(w, w) for w in words_of(t)] for t, _ in rows]
-    docs = [(s, _family(s)) for s in map(set, found)]
+    often: Counter[str] = Counter()
+    for t, _ in rows:
+        often.update(set(words_of(t)))
+    often = {w: w for w, n in often.items() if n >= 3}  # rarer words can't be evidence, and are most of all words
+    found, docs, sizes = [], [], []
+    for t, _ in rows:
+        words = words_of(t)
+        found.append([often[w] for w in words if w in often])
+        docs.append((set(found[-1]), _family(found[-1])))
+        sizes.append(len(words))
     y = np.array([np.nan if label is None else float(label) for _, label in rows])
     known = ~np.isnan(y)
     lexicon = mine([docs[k] for k in np.flatnonzero(known)], y[known])
@@ -165,14 +181,14 @@ def fit_rows(rows: list[tuple[str, float | None]]) -> Model:
         return Model([])
     for _ in range(2):  # posteriors of all rows show more words than the labelled ones alone
         index = {w: k for k, w in enumerate(lexicon)}
-        v = np.stack([votes(t, f, index) for (t, _), f in zip(rows, found)])
+        v = np.stack([votes(t, f, index, n) for (t, _), f, n in zip(rows, found, sizes)])
         p = LabelModel.fit(v).posterior(v.astype(float))
         more = sorted(set(lexicon) | set(mine(docs, p, least=4)))
         if more == lexicon:
             break
         lexicon = more
     index = {w: k for k, w in enumerate(lexicon)}
-    v = np.stack([votes(t, f, index) for (t, _), f in zip(rows, found)])
+    v = np.stack([votes(t, f, index, n) for (t, _), f, n in zip(rows, found, sizes)])
     p = LabelModel.fit(v).posterior(v.astype(float))
     count = Counter(w for s, _ in docs for w in s)
     common = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if w not in index][:COMMON_WORDS]
@@ -183,8 +199,8 @@ def fit_rows(rows: list[tuple[str, float | None]]) -> Model:
     x[:, len(place) :] = v[:, len(index) :]
     penalty = np.full(x.shape[1], 0.02)
     penalty[len(index) : len(place)] = 20.0  # common words may correct, not decide
-    sizes = Counter(f for _, f in docs)
-    w = np.array([1 / sizes[f] for _, f in docs])
+    copies = Counter(f for _, f in docs)
+    w = np.array([1 / copies[f] for _, f in docs])
     beta, bias = _weighted(x, p, w, penalty)
     return Model(lexicon, bias, {word: float(beta[k]) for word, k in place.items() if abs(beta[k]) > 1e-4}, beta[len(place) :])
 
