@@ -491,3 +491,23 @@ def content_hash_cache(spark, d):
 def event_windows(spark, d):
     out = ingest.event_windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH n AS (SELECT label, count_if(vec_id % 3 <> 0) AS n, count_if(vec_id % 2 = 0) AS m, count_if(vec_id % 3 <> 0 AND vec_id % 2 = 0) AS b FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0 GROUP BY label)
+SELECT label, CASE WHEN n > 0 THEN b / n END AS precision, CASE WHEN m > 0 THEN b / m END AS recall FROM n""")
+def rag_metrics(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieval.context_quality(v.where("vec_id % 3 <> 0"), v.where("vec_id % 2 = 0"), question="label", item="vec_id")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS last_seen_at FROM embeddings")
+def last_seen_at(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.lit(1).alias("last_seen_at"))
+    return retrieval.touch_last_seen(v, v.where("vec_id % 4 = 0"), F.lit(2), key=["vec_id"])
+
+
+@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS score FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50) ORDER BY score DESC, doc_id LIMIT 10")
+def rerank(spark, d):
+    """The ten longest of a list of fifty, by a scorer that only sees texts."""
+    few = table(spark, d, "documents").orderBy("doc_id").limit(50)
+    return retrieval.rerank(few, lambda texts: [float(len(t)) for t in texts], 10, id_col="doc_id", text_col="text")
