@@ -69,17 +69,20 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     while left:
         left = max(0, left - STEP_BITS)
         width = 1 << left
-        histogram = inside.groupBy("source", F.shiftright("_h", left).alias("_bucket")).agg(F.sum("size").alias("_words"))
+        histogram = inside.groupBy("source", F.shiftright("_h", left).alias("_bucket")).agg(F.sum("size").alias("_words"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
         # 2**STEP_BITS buckets a source at most: the running sum is over buckets, not rows.
-        running = histogram.selectExpr("source", "_bucket", "sum(_words) over (partition by source order by _bucket) as _sum")
+        running = histogram.selectExpr("source", "_bucket", "_lo", "_hi", "sum(_words) over (partition by source order by _bucket) as _sum")
         fits = running.join(state.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s")))
-        last = fits.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("_sum") <= F.col("_rest"), F.col("_sum"))), F.lit(0)).alias("_used"), F.min(F.when(F.col("_sum") > F.col("_rest"), F.col("_bucket"))).alias("_edge")).withColumnRenamed("source", "_s")
+        last = fits.groupBy("source").agg(F.coalesce(F.max(F.when(F.col("_sum") <= F.col("_rest"), F.col("_sum"))), F.lit(0)).alias("_used"), F.min(F.when(F.col("_sum") > F.col("_rest"), F.struct("_bucket", "_lo", "_hi"))).alias("_at")).withColumnRenamed("source", "_s")
         after = state.join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
         # No boundary bucket: all that was looked at fits, and the threshold lies behind it.
-        after = after.withColumn("_done", F.col("_edge").isNull())
-        below = F.when(F.col("_edge").isNotNull(), F.col("_edge") * F.lit(width)).when(F.col("_s").isNotNull(), F.lit((1 << HASH_BITS))).otherwise(F.col("_below"))
-        after = after.select("source", "source_size", "target", "_copies", below.alias("_below"), (F.col("_rest") - F.coalesce("_used", F.lit(0))).alias("_rest"), F.col("_edge"))
+        # A boundary bucket that holds one hash alone needs no refinement: that hash is the threshold.
+        one = F.col("_at._lo") == F.col("_at._hi")
+        below = F.when(one, F.col("_at._lo")).when(F.col("_at").isNotNull(), F.col("_at._bucket") * F.lit(width)).when(F.col("_s").isNotNull(), F.lit((1 << HASH_BITS))).otherwise(F.col("_below"))
+        after = after.select("source", "source_size", "target", "_copies", below.alias("_below"), (F.col("_rest") - F.coalesce("_used", F.lit(0))).alias("_rest"), F.when(~one, F.col("_at._bucket")).alias("_edge"))
         state = stage(after, "thresholds")
+        if state.where("_edge is not null").isEmpty():
+            left = 0
         if left:
             edges = state.where("_edge is not null").select(F.col("source").alias("_s"), F.col("_edge").alias("_e"))
             inside = stage(inside.withColumn("_b", F.shiftright("_h", left)).join(edges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_e")), "left_semi").drop("_b"), "boundary")
