@@ -16,6 +16,8 @@ SHINGLE, SIMILARITY, MINIMA, SKETCHES = 5, 0.8, 4, 24
 #: Buckets of at most so many documents compare all their pairs; larger ones compare with a pivot, and what differs from
 #: it in blocks of so many.
 SMALL_BUCKET, BLOCK = 32, 256
+#: Texts of so many shingles also get exact keys: similar ones differ by one shingle at most, up to 2 / (1 - SIMILARITY).
+SHORT = range(4, 10)
 
 _FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -88,8 +90,17 @@ def order_sketches(shingles: np.ndarray, minima: int = MINIMA, sketches: int = S
     return mix64(out + np.arange(sketches, dtype=np.uint64) * np.uint64(_BASE))
 
 
+def short_keys(shingles: np.ndarray) -> np.ndarray:
+    """Hashes of a short text's shingles in order, and of what is left of them without each one in turn."""
+    n = len(shingles)
+    if n not in SHORT:
+        return np.zeros(0, dtype=np.uint64)
+    left = [shingles] + [np.delete(shingles, k) for k in range(n)]
+    return np.unique(np.array([np.sum(mix64(x + np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(_BASE)), dtype=np.uint64) for x in left]))
+
+
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", minima: int = MINIMA, sketches: int = SKETCHES) -> DataFrame:
-    """Per document: its number of shingles, two hashes of its whole sequence of words, and its sketches."""
+    """Per document: its number of shingles, two hashes of its whole sequence of words, and its sketches and short keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +110,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 w = shingle_hashes(words)
                 at = np.arange(1, len(words) + 1, dtype=np.uint64)
                 h1, h2 = (int(np.sum(mix64(words + at * np.uint64(c)), dtype=np.uint64).view(np.int64)) for c in (_BASE, 0xC2B2AE3D27D4EB4F))
-                rows.append((doc, len(w), h1, h2, order_sketches(w, minima, sketches).view(np.int64) if len(w) else np.zeros(0, dtype=np.int64)))
+                rows.append((doc, len(w), h1, h2, np.concatenate([order_sketches(w, minima, sketches), short_keys(w)]).view(np.int64) if len(w) else np.zeros(0, dtype=np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -199,17 +210,22 @@ def common_members(seqs: list[np.ndarray], chunk: int = 8192) -> np.ndarray:
     return total
 
 
-def verify_in_blocks(rest: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links among the members (key, doc_id) of large buckets, without giving out their pairs.
+def verify_in_blocks(members: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links among the members (key, doc_id, c, rest) of large buckets, without giving out their pairs.
 
-    A bucket is dealt over parts of bounded size; each pair of parts is one task's. There, matrix products give the
-    shingles that each two members share; pairs that share enough are aligned, those that share most first, and a pair
-    that links found so far already tie together is passed over. A task gives out fewer links than it has members.
+    c is the class by the links known so far; rest marks members of another class than the pivot's. A bucket's rest and
+    its other members are dealt apart over parts of bounded size; each pair of parts of which one is of the rest is one
+    task's, as the others are of one class. There, matrix products give the shingles that each two members share; pairs
+    that share enough are aligned, those that share most first, and a pair that links known so far already tie together
+    is passed over. A task gives out fewer links than it has members.
     """
-    parts = stage(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
-    dealt = rest.join(parts, "key").withColumn("p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    count = F.count_if("rest").alias("_r"), F.count_if(~F.col("rest")).alias("_t")
+    parts = members.groupBy("key").agg(*count).where("_r > 0").select("key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("_r", "_t")))
+    deal = F.when(F.col("rest"), F.pmod(F.xxhash64("doc_id"), F.col("_r"))).otherwise(F.col("_r") + F.pmod(F.xxhash64("doc_id"), F.col("_t")))
+    dealt = members.join(stage(parts, "parts"), "key").withColumn("p", deal.cast("int"))
     dealt = dealt.join(shingles.withColumnRenamed("_id", "doc_id"), "doc_id")
-    sent = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "doc_id", "_s")
+    meets = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("_r") + F.col("_t")).otherwise(F.col("_r")) - 1)
+    sent = dealt.withColumn("q", F.explode(meets)).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "doc_id", "c", "_s")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, part = pdf["doc_id"].to_numpy(), pdf["p"].to_numpy()
@@ -217,11 +233,13 @@ def verify_in_blocks(rest: DataFrame, shingles: DataFrame, similarity: float = S
         size = np.array([len(x) for x in seqs])
         shared = common_members(seqs)
         good = np.triu(shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-6, 1)
-        if part.min() != part.max():
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
             good &= part[:, None] != part[None, :]
+        names, known = np.unique(pdf["c"].to_numpy(), return_inverse=True)
+        good &= known[:, None] != known[None, :]
         a, b = np.nonzero(good)
         order = np.argsort(-shared[a, b], kind="stable")
-        root, out = list(range(len(ids))), []
+        root, out = list(range(len(names))), []
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -230,7 +248,7 @@ def verify_in_blocks(rest: DataFrame, shingles: DataFrame, similarity: float = S
             return x
 
         for x, y in zip(a[order].tolist(), b[order].tolist()):
-            if (rx := find(x)) != (ry := find(y)) and aligned(seqs[x], seqs[y], similarity):
+            if (rx := find(known[x])) != (ry := find(known[y])) and aligned(seqs[x], seqs[y], similarity):
                 root[rx] = ry
                 out.append((ids[x], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"])
@@ -245,9 +263,11 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     c / (n1 + n2 - c) >= ``similarity``, which order-blind Jaccard can only exceed. Texts with the same words are one
     node. Of each node, ``sketches`` hash functions each give the ``minima`` least occurrence-labelled shingles, in text
     order; nodes that share a sketch share a bucket. A small bucket compares all its pairs. In a larger one every member
-    is compared with a pivot, the least id; members that the alignment doesn't link to it are compared with each other
-    in blocks, inside tasks, where counts of common shingles say which pairs are worth an alignment. Links found are
-    closed into components.
+    is compared with a pivot, the least id; links found so far are closed into classes. Members of another class than
+    the pivot's are then compared with all members in blocks, inside tasks, where counts of common shingles say which
+    pairs are worth an alignment; only pairs of one class are passed over, so that the result doesn't depend on a
+    bucket's size. These links join the classes. Texts of 4 to 9 shingles, of which few sketches differ, also share a
+    bucket with every text that has one shingle more or less.
 
     Defined cases: null text counts as empty; texts without words are one class; a text of one to four words has one
     shingle; rows that repeat an id share its class (their texts, if they differ, all count for it); a null id
@@ -274,11 +294,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     shingles = stage(shingle_table(docs, ids, id_col=id_col, text_col=text_col), "shingles")
     found = stage(verify(pairs, shingles, similarity), "links")
-    tied = found.select(F.col("a").alias("_pivot"), F.col("b").alias("doc_id"))
-    rest = stage(large.join(tied, ["_pivot", "doc_id"], "left_anti").select("key", "doc_id"), "rest")
-    more = verify_in_blocks(rest, shingles, similarity)
-    edges = ties.union(found).union(more.select(F.least("a", "b"), F.greatest("a", "b")))
-    groups = connected_components(edges)
+    groups = connected_components(ties.union(found))
+    of = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    pivots = of.select(F.col("doc_id").alias("_pivot"), F.col("c").alias("_cp"))
+    marked = large.join(of, "doc_id", "left").join(pivots, "_pivot", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    marked = stage(marked.select("key", "doc_id", "c", (F.col("c") != F.coalesce("_cp", "_pivot")).alias("rest")), "marked")
+    more = stage(verify_in_blocks(marked, shingles, similarity), "more")
+    if not more.isEmpty():
+        groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     ids = made.select("doc_id")
     tagged = ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
     tagged = stage(tagged, "tagged")

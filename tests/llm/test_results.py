@@ -101,6 +101,32 @@ def test_near_dedup_against_all_pairs(spark, docs):
     assert len(planted) > 10 and all(out[10_000 + k] != 10_000 + k for k in (p - 10_000 for p in planted))
 
 
+def test_near_dedup_links_across_a_large_bucket_s_pivot(spark):
+    """Text 900 resembles the base text 800 alone, which the pivots of all their buckets tie to a large group."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+
+    def changed(places):
+        return " ".join(f"x{rng.random()}" if k in places else w for k, w in enumerate(base))
+
+    texts = {k: changed({30 + 2 * k}) for k in range(60)} | {800: " ".join(base), 900: changed({5, 10, 15, 199 - 5})}
+    s = {i: near_dedup.shingle_hashes(near_dedup.word_hashes(t)) for i, t in texts.items()}
+    assert [i for i in texts if i != 900 and near_dedup.aligned(s[i], s[900])] == [800]
+    out = near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in out} == {0}
+
+
+def test_near_dedup_finds_all_short_pairs(spark):
+    """An 8-word text and the same with a word added have a similarity of 0.8 and few sketches in common."""
+    rng = random.Random(6)
+    texts = {}
+    for k in range(600):
+        w = [f"w{rng.random()}" for _ in range(8)]
+        texts |= {2 * k: " ".join(w), 2 * k + 1: " ".join([*w, "more"])}
+    out = near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in out)
+
+
 def test_filters_screen_what_is_new(spark, docs):
     digests = docs.selectExpr("unhex(sha2(text, 256)) as _sha", "doc_id").cache()
     old, new = digests.where("doc_id % 2 = 0"), digests.where("doc_id % 2 = 1")
