@@ -15,6 +15,8 @@ from .common import connected_components, read_table, stage
 THRESHOLD = 0.95
 #: Neighbours of a list, tables of the first graph, vectors of a block, pivots handled together.
 NEIGHBOURS, TABLES, BLOCK, PIVOTS = 8, 10, 256, 64
+#: Vectors of a block of the exact comparison at most.
+WIDE = 4096
 #: Vectors of the audit, recall that ends the search, descents at least and at most.
 AUDIT, RECALL, ROUNDS, MOST_ROUNDS = 256, 0.995, 2, 6
 
@@ -155,6 +157,66 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
     return sent.groupBy("component", "i", "j").applyInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def with_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    return stage(nodes.join(groups, "node", "left").select("node", "unit", "dim", F.coalesce("component", "node").alias("c")), "tagged")
+
+
+def exact_links(asked: DataFrame, tagged: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The nodes in ``asked`` compared with all nodes, block by block: (node, links, missed, a, b).
+
+    links and missed are counts, to be summed by node: links, and those that lead out of the node's component c. a and b
+    are links between components, of each block a spanning set; other rows have a = b.
+    """
+    block = min(WIDE, max(BLOCK, n // 16))
+    lefts, parts = max(1, math.ceil(asked.count() / block)), max(1, math.ceil(n / block))
+    deal = lambda k: F.pmod(F.xxhash64("node"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = tagged.join(asked, "node", "left_semi").select(F.lit(True).alias("_left"), "node", "unit", "dim", "c", deal(lefts).alias("i"), each(parts).alias("j"))
+    right = tagged.select(F.lit(False), "node", "unit", "dim", "c", deal(parts).alias("j"), each(lefts).alias("i")).select(F.lit(False).alias("_left"), "node", "unit", "dim", "c", "i", "j")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, other = pdf[pdf["_left"]], pdf[~pdf["_left"]]
+        out = [pd.DataFrame({"node": [], "links": [], "missed": [], "a": [], "b": []}, dtype="int64")]
+        if ask.empty or other.empty:
+            return out[0]
+        names, c = np.unique(np.concatenate([ask["c"], other["c"]]), return_inverse=True)
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        x, y = _matrix(ask["unit"]), _matrix(other["unit"])
+        ids, others, cx, cy = ask["node"].to_numpy(), other["node"].to_numpy(), c[: len(ask)], c[len(ask) :]
+        for low in range(0, len(x), BLOCK):
+            at = slice(low, low + BLOCK)
+            hit = (x[at] @ y.T >= threshold) & (ids[at, None] != others[None, :])
+            apart = hit & (cx[at, None] != cy[None, :])
+            links = hit.sum(axis=1)
+            some = links > 0
+            own = ids[at][some]
+            out.append(pd.DataFrame({"node": own, "links": links[some], "missed": apart.sum(axis=1)[some], "a": own, "b": own}))
+            a, b = np.nonzero(apart)
+            _, one = np.unique(cx[at][a] * len(names) + cy[b], return_index=True)
+            new = []
+            for u, v in zip(a[one].tolist(), b[one].tolist()):
+                if (ru := find(cx[low + u])) != (rv := find(cy[v])):
+                    root[ru] = rv
+                    new.append((ids[low + u], 0, 0, ids[low + u], others[v]))
+            if new:
+                out.append(pd.DataFrame(new, columns=["node", "links", "missed", "a", "b"]))
+        return pd.concat(out)
+
+    return stage(left.union(right).groupBy("dim", "i", "j").applyInPandas(compare, "node long, links long, missed long, a long, b long"), "exact")
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links (a, b)."""
+    return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def audit(nodes: DataFrame, groups: DataFrame, n: int, threshold: float, sample: int = AUDIT) -> tuple[float, DataFrame]:
     """Recall of links against brute force, for about ``sample`` vectors against all; and the links that were missed."""
     tagged = nodes.join(groups, "node", "left").select("node", "unit", "dim", F.coalesce("component", "node").alias("c"))
@@ -184,8 +246,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     Equal vectors are one node that stands for all of them. A first graph comes from blocks of vectors on the same side
     of random planes; NN-descent refines it: neighbours of a common neighbour meet and enter each other's lists. Links
     are the list entries that pass in double precision; they are closed into components. A list that holds close vectors
-    only may hide more, so every node of a component is then compared with its whole component, part by part, which
-    gives the exact number of links within it. An audit compares a bounded sample of vectors with all others by brute
+    only may hide more, so its node is compared with all vectors in blocks, and the links that lead out of its component
+    join the graph. Every node of a component is then compared with its whole component, part by part, which gives the
+    exact number of links within it. An audit compares a bounded sample of vectors with all others by brute
     force; below the wanted recall, missed links join the graph and another round runs with new planes.
 
     Defined cases: null vectors, empty ones, zero vectors and those with a null or non-finite component link with
@@ -206,6 +269,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     spark = vectors.sparkSession
     lists = spark.createDataFrame([], _EDGE)
     extra = spark.createDataFrame([], "a long, b long")
+    done = spark.createDataFrame([], "node long")  # nodes that were compared with all
     short = lambda pdf: [np.frombuffer(u).astype(np.float32).tobytes() for u in pdf["unit"]]
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,6 +283,11 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
         for _ in range(ROUNDS):
             lists = stage(best_lists(lists.union(descend(lists, shorts, k)), k), "lists")
         groups = connected_components(links_of(lists, nodes, threshold).union(extra))
+        full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_last")).where((F.col("_n") >= k) & (F.col("_last") >= threshold - 1e-3))
+        full = stage(full.select(F.col("u").alias("node")).join(done, "node", "left_anti"), "saturated")
+        if not full.isEmpty():
+            out = exact_links(full, with_groups(nodes, groups), n, threshold).where("a <> b").select("a", "b")
+            groups, extra, done = joined(groups, out), stage(extra.union(out), "missed"), stage(done.union(full), "done")
         got, missed = audit(nodes, groups, n, threshold)
         if got >= recall:
             break

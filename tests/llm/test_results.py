@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm import boosting, exact_dedup, html_text, language_id, mixing, near_dedup, packing, token_counts, toxicity
+from corpusmill.llm import boosting, exact_dedup, html_text, language_id, mixing, near_dedup, near_vectors, packing, token_counts, toxicity
 from corpusmill.llm.binary_fuse import BinaryFuse8
 from corpusmill.llm.common import connected_components
 from corpusmill.llm.dom import Page, node_features
@@ -127,6 +127,19 @@ def test_near_dedup_finds_all_short_pairs(spark):
     assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in out)
 
 
+def vector_result(spark, vectors):
+    out = near_vectors.near_vectors(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")).collect()
+    return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out}
+
+
+def test_near_vectors_links_dense_groups_by_one_border_link(spark):
+    """Vectors 39 and 40 alone link two groups whose members have their 8 nearest in their own group."""
+    degrees = [0.005 * k for k in range(39)] + [0.4, 18.55] + [18.65 + 0.003 * k for k in range(39)]
+    vectors = {k: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for k, d in enumerate(degrees)}
+    got = vector_result(spark, vectors)
+    assert got == {k: (40 if k in (39, 40) else 39, 0) for k in vectors}
+
+
 def test_filters_screen_what_is_new(spark, docs):
     digests = docs.selectExpr("unhex(sha2(text, 256)) as _sha", "doc_id").cache()
     old, new = digests.where("doc_id % 2 = 0"), digests.where("doc_id % 2 = 1")
