@@ -17,7 +17,7 @@ THRESHOLD = 0.95
 NEIGHBOURS, TABLES, BLOCK, PIVOTS = 8, 10, 256, 64
 #: Vectors of a block of the exact comparison at most.
 WIDE = 4096
-#: Vectors of the audit, recall that ends the search, descents at least and at most.
+#: Vectors with links that the audit asks, recall that ends the search, descents at least and at most.
 AUDIT, RECALL, ROUNDS, MOST_ROUNDS = 256, 0.995, 2, 6
 
 _EDGE = "u long, v long, sim float"
@@ -217,27 +217,28 @@ def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
-def audit(nodes: DataFrame, groups: DataFrame, n: int, threshold: float, sample: int = AUDIT) -> tuple[float, DataFrame]:
-    """Recall of links against brute force, for about ``sample`` vectors against all; and the links that were missed."""
-    tagged = nodes.join(groups, "node", "left").select("node", "unit", "dim", F.coalesce("component", "node").alias("c"))
-    draw = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) / float(1 << 40)
-    asked = tagged.where(draw < min(1.0, sample / max(1, n))).collect()
-    held = nodes.sparkSession.sparkContext.broadcast({d: (np.array([r["node"] for r in asked if r["dim"] == d]), np.array([r["c"] for r in asked if r["dim"] == d]), np.array([np.frombuffer(r["unit"]) for r in asked if r["dim"] == d])) for d in {r["dim"] for r in asked}})
+def audit(nodes: DataFrame, groups: DataFrame, n: int, threshold: float, sample: int = AUDIT, done: DataFrame | None = None) -> tuple[float, DataFrame]:
+    """The share of vectors that have all their links, of at least ``sample`` that have any; and links that were missed.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dim, part in pdf.groupby("dim"):
-                if dim not in held.value:
-                    continue
-                ids, comps, q = held.value[dim]
-                a, b = np.nonzero(_matrix(part["unit"]) @ q.T >= threshold)
-                node, c = part["node"].to_numpy()[a], part["c"].to_numpy()[a]
-                other = node != ids[b]
-                yield pd.DataFrame({"a": node[other], "b": ids[b][other], "found": (c == comps[b])[other]})
-
-    true = stage(tagged.mapInPandas(run, "a long, b long, found boolean"), "audit")
-    total, found = true.agg(F.count(F.lit(1)), F.count_if("found")).first()
-    return (found / total if total else 1.0), true.where("not found").select("a", "b")
+    Vectors are drawn by hash and compared with all others, four times as many each time, until enough with links were
+    drawn, or all. Those in ``done``, which have all their links for certain, aren't asked.
+    """
+    tagged = with_groups(nodes, groups)
+    rest = tagged.select("node", (F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) / float(1 << 40)).alias("_draw"))
+    if done is not None:
+        rest = rest.join(done, "node", "left_anti")
+    rest = stage(rest, "asked")
+    low, high, seen = 0.0, sample / max(1, rest.count()), None
+    linked = whole = 0
+    while low < 1 and linked < sample:
+        drawn = rest.where((F.col("_draw") >= low) & (F.col("_draw") < high)).select("node")
+        got = exact_links(drawn, tagged, n, threshold)
+        sums = got.groupBy("node").agg(F.sum("links").alias("links"), F.sum("missed").alias("missed")).where("links > 0")
+        some, good = sums.agg(F.count(F.lit(1)), F.count_if(F.col("missed") == 0)).first()
+        linked, whole = linked + some, whole + good
+        seen = got if seen is None else seen.union(got)
+        low, high = high, 5 * high
+    return (whole / linked if linked else 1.0), seen.where("a <> b").select("a", "b")
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS, recall: float = RECALL) -> DataFrame:
@@ -248,8 +249,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     are the list entries that pass in double precision; they are closed into components. A list that holds close vectors
     only may hide more, so its node is compared with all vectors in blocks, and the links that lead out of its component
     join the graph. Every node of a component is then compared with its whole component, part by part, which gives the
-    exact number of links within it. An audit compares a bounded sample of vectors with all others by brute
-    force; below the wanted recall, missed links join the graph and another round runs with new planes.
+    exact number of links within it. An audit compares a sample of vectors with all others by brute
+    force until it has asked enough that have links; the links that it finds missing join the graph. While fewer of these
+    vectors than wanted have all their links, another round runs with new planes; after the last one all vectors are
+    compared with all.
 
     Defined cases: null vectors, empty ones, zero vectors and those with a null or non-finite component link with
     nothing, nor do vectors of different lengths; rows with a null id link with nothing and get a null component; rows
@@ -288,10 +291,14 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
         if not full.isEmpty():
             out = exact_links(full, with_groups(nodes, groups), n, threshold).where("a <> b").select("a", "b")
             groups, extra, done = joined(groups, out), stage(extra.union(out), "missed"), stage(done.union(full), "done")
-        got, missed = audit(nodes, groups, n, threshold)
+        got, missed = audit(nodes, groups, n, threshold, done=done)
+        if not missed.isEmpty():
+            groups, extra = joined(groups, missed), stage(extra.union(missed), "missed")
         if got >= recall:
             break
-        extra = stage(extra.union(missed), "missed")
+    else:  # the graph doesn't get there: all that is left is compared with all
+        left = stage(nodes.select("node").join(done, "node", "left_anti"), "asked")
+        groups = joined(groups, exact_links(left, with_groups(nodes, groups), n, threshold).where("a <> b").select("a", "b"))
     members = groups.join(nodes, "node").select("component", "node", "unit", "dim", "many")
     counts = link_counts(members, threshold)
     named = groups.join(nodes.select("node", "first"), "node")

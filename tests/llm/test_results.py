@@ -140,6 +140,16 @@ def test_near_vectors_links_dense_groups_by_one_border_link(spark):
     assert got == {k: (40 if k in (39, 40) else 39, 0) for k in vectors}
 
 
+def test_near_vectors_audit_sees_isolated_pairs_beside_a_hot_group(spark, monkeypatch):
+    """The first graph finds a large group's links and no pair's; most links of the table are the group's."""
+    rng, graph = np.random.default_rng(3), near_vectors.first_graph
+    centres = rng.standard_normal((11, 64))
+    rows = [centres[0] + 0.001 * rng.standard_normal(64) for _ in range(100)] + [c + 0.001 * rng.standard_normal(64) for c in centres[1:] for _ in range(2)]
+    monkeypatch.setattr(near_vectors, "first_graph", lambda *a, **b: graph(*a, **b).where("u < 100 and v < 100"))
+    got = vector_result(spark, {k: v.tolist() for k, v in enumerate(rows)})
+    assert got == {k: (99, 0) for k in range(100)} | {k: (1, k // 2 * 2) for k in range(100, 120)}
+
+
 def test_filters_screen_what_is_new(spark, docs):
     digests = docs.selectExpr("unhex(sha2(text, 256)) as _sha", "doc_id").cache()
     old, new = digests.where("doc_id % 2 = 0"), digests.where("doc_id % 2 = 1")
