@@ -24,7 +24,19 @@ def needs_code_pass(html: Column) -> Column:
     return html.contains(WRAPPER) | html.contains("<wbr")
 
 
-class _Wrappers(HTMLParser):
+class TolerantParser(HTMLParser):
+    """Reads a marked section that the parser refuses as HTML does: as a comment that ends at the next ``>``."""
+
+    def parse_html_declaration(self, i: int) -> int:
+        at = self.lineno, self.offset
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # it has moved the position to where it gave up
+            self.lineno, self.offset = at
+            return self.parse_bogus_comment(i)
+
+
+class _Wrappers(TolerantParser):
     """Finds code wrappers: (start, end, text of its first pre, or None)."""
 
     def __init__(self, html: str):
@@ -89,7 +101,7 @@ def strip_code_wrappers(html: Column | str) -> Column:
     return F.when(needs_code_pass(c), F.when(c.contains(WRAPPER), clean(c)).otherwise(F.regexp_replace(c, r"</?wbr\s*/?>", ""))).otherwise(c)
 
 
-class _Markdown(HTMLParser):
+class _Markdown(TolerantParser):
     def __init__(self, html: str, within: str | None):
         super().__init__(convert_charrefs=True)
         self.out, self.stack, self.skip, self.pre, self.href, self.lists, self.cells = [], [], 0, 0, [], [], None

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import numpy as np
 
+from ..functions.html import TolerantParser
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style template noscript iframe svg object canvas audio video button select textarea math map".split())
@@ -46,7 +47,7 @@ _KIND_OF = {t: k for k, names in enumerate(TAG_KINDS) for t in names.split()}
 FEATURES = 14 + len(TAG_KINDS) + 2 * len(GROUPS)
 
 
-class Page(HTMLParser):
+class Page(TolerantParser):
     """Nodes: block elements and elements with a class, id or role. Pieces of text: (block, node, text)."""
 
     def __init__(self, html: str):
@@ -55,11 +56,8 @@ class Page(HTMLParser):
         self.inputs, self.links = [0], []
         self.open: list[tuple[str, int]] = [("#root", 0)]
         self.block = self.silent = self.anchor = 0
-        try:
-            self.feed(html)
-            self.close()
-        except AssertionError:  # the parser's own report of a declaration that it can't read: what came before it stays
-            pass
+        self.feed(html)
+        self.close()
 
     def _pop(self, at: int) -> None:
         for tag, _ in self.open[at:]:
