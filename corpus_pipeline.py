@@ -15,21 +15,29 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: that with the largest id. Rows that repeat an id and text are one row."""
-    kept = exact_dedup.exact_dedup(docs, exact_dedup.batch_rule()).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """One row of each group of equal texts stays: that with the largest id, or one without an id if none has any.
+
+    Rows that repeat an id and text are one row; rows that share an id but differ in text are told apart by its digest.
+    """
+    kept = exact_dedup.exact_dedup(docs, exact_dedup.batch_rule()).select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    rows = docs.withColumn("_sha", F.lower(F.hex(exact_dedup.sha256(F.coalesce("text", F.lit("")))))).dropDuplicates(["doc_id", "_sha"])
+    return rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that with the least id."""
+    """One document of each class of near duplicates stays: that with the least id. A null id is a class of its own."""
     kept = near_dedup.near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    times = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken / size as int)").alias("_times"))
-    return docs.join(times.hint("merge"), F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    The mix takes rows of one id (or without one) and one source alike, unless they have no words.
+    """
+    times = mixing.mix(docs, with_source=True).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.expr("cast(taken / size as int)").alias("_times")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    return docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(times.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

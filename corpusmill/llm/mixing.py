@@ -43,7 +43,7 @@ def source_targets(sources: DataFrame, budget_share: float = 1.5, cap: float = 2
     return t.select("source", "source_size", F.least(F.col("_w") * F.lit(level), cap * F.col("source_size")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget_share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget_share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = (3, 1, 2), with_source: bool = False) -> DataFrame:
     """How many words of each document a mix takes so that every source comes near its target.
 
     A source whose target is r times its size takes each document floor(r) times, and once more those documents whose
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     Defined cases: null text has size 0; the null source is a source of its own, last in order; an empty table gives an
     empty result; rows with a null id share one hash; other columns are ignored. Returns doc_id, size, source_size,
-    target, taken.
+    target, taken, and on demand source.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(document_hash(id_col), F.lit(0)).alias("_h"))
     base = stage(base, "sizes")
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     picked = state.select(F.col("source").alias("_s"), "source_size", "target", "_copies", "_below")
     out = base.join(picked, F.col("source").eqNullSafe(F.col("_s")))
     times = F.least(F.col("_copies") + (F.col("_h") < F.col("_below")).cast("long"), F.lit(cap))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), *(["source"] if with_source else []))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from corpusmill.llm import boosting, exact_dedup, html_text, language_id, mixing, near_dedup, near_vectors, packing, token_counts, toxicity
 from corpusmill.llm.binary_fuse import BinaryFuse8
 from corpusmill.llm.common import connected_components
@@ -150,6 +152,19 @@ def test_near_vectors_audit_sees_isolated_pairs_beside_a_hot_group(spark, monkey
     assert got == {k: (99, 0) for k in range(100)} | {k: (1, k // 2 * 2) for k in range(100, 120)}
 
 
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{t}{k}" for k in range(n)) for t, n in (("a", 20), ("b", 30), ("c", 40), ("d", 50)))
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, d), (None, d), (None, a), (3, c[:60]), (3, c[:60]), (3, d[:90])]
+    docs = spark.createDataFrame([(i, t, "en", "s" if t != b else None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = Counter({(1, a): 1, (2, b): 1, (None, c): 1, (None, d): 1, (3, c[:60]): 1, (3, d[:90]): 1})
+    for step in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        docs = corpus_pipeline.stage(step(spark, docs, ""), "test")
+        assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == left
+    size = {len(t.split()): t for _, t in rows}
+    times = Counter({(r["doc_id"], size[r["size"]]): r["taken"] // r["size"] for r in mixing.mix(docs).collect()})
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == +times
+
+
 def test_filters_screen_what_is_new(spark, docs):
     digests = docs.selectExpr("unhex(sha2(text, 256)) as _sha", "doc_id").cache()
     old, new = digests.where("doc_id % 2 = 0"), digests.where("doc_id % 2 = 1")
