@@ -31,9 +31,9 @@ def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
 
     ``counts`` has at most ``size`` entries, however large the table. Sequences that are filled alike are handled as one
     range. For each length from the longest down, ranges with the least sufficient room are used first; what is left
-    opens new sequences, each with as many pieces of that length as fit. A row (length, rank, count, each, sequence,
-    offset) says: pieces of that length with ranks from ``rank`` on, ``count`` in all, go ``each`` to a sequence, from
-    ``sequence`` on, the first at ``offset``.
+    opens new sequences, each with as many pieces of that length as fit. Placing one piece after the other where it fits
+    best gives the same rooms. A row (length, rank, count, each, sequence, offset) says: pieces of that length with ranks
+    from ``rank`` on, ``count`` in all, go ``each`` to a sequence, from ``sequence`` on, the first at ``offset``.
     """
     rooms: list[int] = []  # rooms that some range has, ascending
     ranges: dict[int, list[tuple[int, int]]] = {}  # by room: (first sequence, how many)
@@ -50,6 +50,14 @@ def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
+
+        def fill(each: int, first: int, many: int) -> None:
+            nonlocal rank, left
+            if each and many:
+                rows.append((length, rank, each * many, each, first, size - room))
+                put(room - each * length, first, many)
+                rank, left = rank + each * many, left - each * many
+
         while left:
             at = bisect_left(rooms, length)
             if at < len(rooms):
@@ -60,14 +68,15 @@ def plan(counts: dict[int, int], size: int) -> pd.DataFrame:
             else:
                 room, first, many = size, opened, math.ceil(left / (size // length))
                 opened += many
-            each = min(room // length, max(1, left // many))
-            if left < many:
-                put(room, first + left, many - left)
-                many = left
-            n = many * each
-            rows.append((length, rank, n, each, first, size - room))
-            put(room - each * length, first, many)
-            rank, left = rank + n, left - n
+            # Best fit fills one sequence before it takes the next of the same room; the last one gets what is left.
+            each = room // length
+            full = min(many, left // each)
+            fill(each, first, full)
+            used = full
+            if full < many and left:
+                fill(left, first + full, 1)
+                used += 1
+            put(room, first + used, many - used)
     return pd.DataFrame(rows, columns=["length", "rank", "count", "each", "sequence", "offset"], dtype="int64")
 
 
@@ -98,8 +107,9 @@ def pack(docs: DataFrame, size: int = 1024, *, id_col: str = "doc_id", text_col:
     length which a third of the pieces have is ranked in many tasks. The rank then says which planned slot is the
     piece's; the plan, whose size depends on ``size`` alone, travels with the tasks.
 
-    Defined cases: null text counts as empty and gives a piece of the closing id alone; a null id is an id like others;
-    rows that repeat an id are packed each; an empty table gives an empty result; other columns are ignored. Returns
+    Defined cases: null text counts as empty and gives a piece of the closing id alone; a very long text is cut into
+    pieces of ``size`` tokens, the first of which may be shorter; a null id is an id like others; rows that repeat an id
+    are packed each; ties (pieces alike in id, number and content) take either slot; an empty table gives an empty result; other columns are ignored. Returns
     doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     cuts = stage(pieces(docs, size, id_col=id_col, text_col=text_col, end_id=end_id, vocabulary=vocabulary), "pieces")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,23 +13,43 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_signs() -> dict[str, int]:
+    """The printable sign that byte-level vocabularies write for each byte: itself, or one from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of a byte-level BPE whose ids follow its merges; None for any other model."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    signs, special = _byte_signs(), {t["content"] for t in spec.get("added_tokens", [])}
+    joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(w) for w in joined]
+    if None in ids or ids != sorted(ids) or (ids and ids[0] < 256):
+        return None
+    return {bytes(signs[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+
+
 @lru_cache(maxsize=4)
 def token_ids(vocabulary: str) -> Callable[[str], list[int]]:
-    """text -> ids. A byte-level BPE has the same ids by its ranks as by its merges, and ranks encode four times as fast:
-    where the vocabulary's rank file lies beside it, that is used; special tokens' strings count as ordinary text."""
-    ranks_file = vocabulary.removesuffix(".json") + ".tiktoken"
-    try:
-        import base64
-
+    """text -> ids, those of ``Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False)``.
+
+    By ranks, a byte-level BPE gives the same ids four times as fast as by merges; a file of another kind is read by its
+    own library. The string of a special token is that token.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    if (ranks := byte_ranks(spec)) is not None:
         import public_tokenizers
         import tiktoken
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding(ranks_file, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    except FileNotFoundError:
-        from tokenizers import Tokenizer
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        made = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: made.encode(text, allowed_special="all")
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(vocabulary)
-        t.encode_special_tokens = True
-        return lambda text: t.encode(text, add_special_tokens=False).ids
+    t = Tokenizer.from_file(vocabulary)
+    return lambda text: t.encode(text, add_special_tokens=False).ids
