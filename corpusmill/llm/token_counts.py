@@ -1,4 +1,4 @@
-"""Edit-aware token counts: a segment tree a document; only regions that edits touch are encoded anew."""
+"""Edit-aware token counts: a table of segment trees, one a document; only regions that edits touch are encoded anew."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, stage
 from .tokens import default_vocabulary, token_ids
 
 #: Characters after which a leaf ends at the next certain border.
@@ -45,6 +45,24 @@ class TokenTree:
         self.encoded_leaves = self.encoded_chars = 0
         self._build(leaves_of(text, stride), None)
 
+    @classmethod
+    def stored(cls, text: str, chars: list[int], tokens: list[int], count: Callable[[str], int], stride: int = STRIDE) -> TokenTree:
+        """A tree as it was kept: nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.count, tree.stride, tree.encoded_leaves, tree.encoded_chars = count, stride, 0, 0
+        tree.width, tree.chars, tree.tokens, tree.texts = len(chars) // 2, list(chars), list(tokens), []
+        at = 0
+        for n in tree.chars[tree.width :]:
+            tree.texts.append(text[at : at + n])
+            at += n
+        while len(tree.texts) > 1 and not tree.texts[-1]:
+            tree.texts.pop()
+        return tree
+
+    @property
+    def leaves(self) -> int:
+        return sum(map(bool, self.texts)) or 1
+
     def _build(self, texts: list[str], tokens: list[int] | None) -> None:
         self.texts = texts
         self.width = 1 << max(0, (len(texts) - 1).bit_length())
@@ -100,10 +118,10 @@ class TokenTree:
         while b + 1 < len(self.texts) and (not self.texts[b + 1] or not text or text[-1].isspace()):
             b += 1
             text += self.texts[b]
+        self.encoded_leaves += sum(bool(self.texts[k]) for k in range(a, b + 1)) or 1
         for k in range(a + 1, b + 1):
             self._set(k, "", 0)
         self._set(a, text, self.count(text))
-        self.encoded_leaves += b - a + 1
         self.encoded_chars += len(text)
         if len(text) > 8 * self.stride:  # a leaf that has grown is split, the others keep their counts
             texts, tokens = [], []
@@ -123,51 +141,85 @@ class TokenTree:
         return "".join(self.texts)
 
 
-_OUT = "doc_id long, tokens_before long, tokens_after long, chars_after long, edits long, leaves long, leaves_encoded long, chars_encoded long"
+_TREE = "doc_id long, text string, chars array<int>, tokens array<int>"
+_COUNTS = "tokens_before long, tokens_after long, chars_after long, edits long, leaves long, leaves_encoded long, chars_encoded long"
+_EDITS = "array<struct<start:long,deleted:long,inserted:string>>"
 
 
-def with_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Attaches an edit log (doc_id, seq, start, deleted, inserted) as the column ``edits``, in the order of ``seq``."""
-    log = edits.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "deleted", "inserted"))).alias("edits"))
-    log = log.select("_id", F.expr("transform(edits, e -> struct(cast(e.start as long) as start, cast(e.deleted as long) as deleted, e.inserted as inserted))").alias("edits"))
-    return docs.join(log, F.col(id_col) == F.col("_id"), "left").drop("_id")
+def build_trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, stride: int = STRIDE) -> DataFrame:
+    """A tree a row: doc_id, text, and the characters and tokens of its nodes (the root at 1, the children of k at 2k and
+    2k + 1, leaves last). To be kept as a table: later edits encode no leaf that they don't touch."""
+    vocabulary = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = token_ids(vocabulary)
+        for pdf in batches:
+            trees = [TokenTree(t, lambda x: len(encode(x)) if x else 0, stride) for t in pdf["text"]]
+            yield pdf.assign(chars=[t.chars for t in trees], tokens=[t.tokens for t in trees])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, _TREE)
 
-def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: str | Column = "edits", vocabulary: str | None = None, stride: int = STRIDE) -> DataFrame:
-    """Tokens of every document before and after its edits (an array of start, deleted, inserted; each on the text so far).
 
-    Every document gets a tree over leaves that end at certain pre-token borders. An edit changes the leaves that it
-    touches, and neighbours where it may have moved their border; those are encoded again and sums are updated up to the
-    root. Nothing is shuffled.
+def edit_trees(trees: DataFrame, edits: str | Column = "edits", *, vocabulary: str | None = None, stride: int = STRIDE, keep: bool = True) -> DataFrame:
+    """The trees after each row's edits (an array of start, deleted, inserted; each on the text so far), with what was done.
 
-    Defined cases: a null text counts as empty (0 tokens), null edits as none; positions outside the text are cut to it;
-    null and repeated ids give a row each; an empty table gives an empty result; other columns are ignored. Returns
-    doc_id, tokens_before, tokens_after, chars_after, edits, leaves, leaves_encoded, chars_encoded (again, by edits).
+    With ``keep`` the rows are trees again, to be kept in place of the old ones; else only the counts come back. Rows
+    without edits never leave the JVM.
     """
     vocabulary = vocabulary or default_vocabulary()
+    head = _TREE if keep else "doc_id long"
+    columns = [c.split()[0] for c in head.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = token_ids(vocabulary)
         for pdf in batches:
             rows = []
-            for doc, text, changes in zip(pdf["doc_id"], pdf["_text"], pdf["_edits"]):
-                tree = TokenTree(text, lambda t: len(encode(t)) if t else 0, stride)
-                before, leaves, n = tree.total, len(tree.texts), 0
-                for e in changes if changes is not None else ():
+            for r in pdf.itertuples(index=False):
+                tree = TokenTree.stored(r.text, r.chars, r.tokens, lambda t: len(encode(t)) if t else 0, stride)
+                before, leaves = tree.total, tree.leaves
+                for e in r.changes:
                     tree.edit(int(e["start"] or 0), int(e["deleted"] or 0), e["inserted"] or "")
-                    n += 1
-                rows.append((doc, before, tree.total, len(tree), n, leaves, tree.encoded_leaves, tree.encoded_chars))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
+                made = (r.doc_id, tree.text(), tree.chars, tree.tokens) if keep else (r.doc_id,)
+                rows.append((*made, before, tree.total, len(tree), len(r.changes), leaves, tree.encoded_leaves, tree.encoded_chars))
+            yield pd.DataFrame(rows, columns=columns + [c.split()[0] for c in _COUNTS.split(", ")])
 
-    changes = F.col(edits) if isinstance(edits, str) else edits
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), changes.cast("array<struct<start:long,deleted:long,inserted:string>>").alias("_edits"))
-    return rows.mapInPandas(run, _OUT)
+    rows = trees.select("doc_id", "text", "chars", "tokens", (F.col(edits) if isinstance(edits, str) else edits).cast(_EDITS).alias("changes"))
+    some = F.coalesce(F.size("changes") > 0, F.lit(False))
+    total, leaves = F.col("tokens")[1].cast("long"), F.greatest(F.size(F.filter(F.slice("chars", F.size("chars") / 2 + 1, F.size("chars") / 2), lambda n: n > 0)), F.lit(1)).cast("long")
+    none = F.lit(0).cast("long")
+    same = [total.alias("tokens_before"), total.alias("tokens_after"), F.col("chars")[1].cast("long").alias("chars_after"), none.alias("edits"), leaves.alias("leaves"), none.alias("leaves_encoded"), none.alias("chars_encoded")]
+    return rows.where(some).mapInPandas(run, f"{head}, {_COUNTS}").union(rows.where(~some).select(*columns, *same))
+
+
+def with_edits(trees: DataFrame, edits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """Attaches an edit log (doc_id, seq, start, deleted, inserted) as the column ``edits``, in the order of ``seq``."""
+    log = edits.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "deleted", "inserted"))).alias("edits"))
+    log = log.select("_id", F.expr("transform(edits, e -> struct(cast(e.start as long) as start, cast(e.deleted as long) as deleted, e.inserted as inserted))").alias("edits"))
+    return trees.join(log, F.col(id_col) == F.col("_id"), "left").drop("_id")
+
+
+def count_tokens(docs: DataFrame, edits: Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, stride: int = STRIDE) -> DataFrame:
+    """Tokens of every document before and after its edits, which ``edits`` makes of its doc_id and text.
+
+    Every document gets a tree over leaves that end at certain pre-token borders; the trees are kept as a table. An edit
+    changes the leaves that it touches, and neighbours where it may have moved their border; those are encoded again and
+    sums are updated up to the root. Nothing is shuffled; an edit log of its own is joined by ``with_edits``, and later
+    logs go to the trees that ``edit_trees`` gives back.
+
+    Defined cases: a null text counts as empty (0 tokens), null edits as none; very long texts have as many leaves as they
+    need; positions outside the text are cut to it; null and repeated ids give a row each, and equal rows equal counts; an
+    empty table gives an empty result; other columns are ignored. Returns doc_id, tokens_before, tokens_after,
+    chars_after, edits, leaves, leaves_encoded, chars_encoded (again, by edits).
+    """
+    trees = stage(build_trees(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, stride=stride), "trees")
+    return edit_trees(trees, edits, vocabulary=vocabulary, stride=stride, keep=False)
 
 
-def derived_edits(id_col: str = "doc_id", text_col: str = "text") -> Column:
+def derived_edits() -> Column:
     """The query's edits: every document has words put in, a stretch taken out and one replaced, at places that depend on
     its id and length, the last at its very end."""
-    n, h = f"length(coalesce({text_col}, ''))", f"pmod(hash({id_col}), 1000)"
+    n, h = "length(text)", "pmod(hash(doc_id), 1000)"
     return F.expr(f"""array(
         named_struct('start', cast({n} * {h} / 1000 as long), 'deleted', 0L, 'inserted', concat(' revision ', cast({h} as string), ' of this')),
         named_struct('start', cast({n} * pmod({h} * 7, 1000) / 1000 as long), 'deleted', 40L, 'inserted', ''),
@@ -176,4 +228,4 @@ def derived_edits(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(read_table(spark, sf_dir, "documents"), edits=derived_edits())
+    return count_tokens(read_table(spark, sf_dir, "documents"), derived_edits())
