@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-#: Bounds of the fit: labelled and unlabelled documents that are drawn by hash, whatever the size of the tables.
-LABELLED_SAMPLE, UNLABELLED_SAMPLE = 6_000, 1_500
-#: A word votes if chance explains its toxic share with less than this probability (over all words looked at).
+#: Bound of the fit: labelled documents that are drawn by hash, whatever the size of the tables.
+LABELLED_SAMPLE = 6_000
+#: A word or stem votes if chance explains its toxic share with less than this probability (over all that are looked at).
 CHANCE = 0.02
-#: Other words that the classifier sees: the most frequent of the sample.
-COMMON_WORDS = 800
+#: Lengths of the stems: a stem stands for all longer words that begin with it.
+STEMS = (3, 4, 5, 6, 7)
+#: Places that all words of a text share in the classifier, beside the voters: every word counts, in its place.
+PLACES = 512
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -29,61 +32,116 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def _family(words: list[str]) -> int:
-    """A min-hash of the word set: close copies mostly share it, so that a copied text counts once as evidence."""
-    return min(hash_word(w) for w in words) if words else 0
-
-
 def hash_word(w: str) -> int:
     import zlib
 
     return zlib.crc32(w.encode("utf-8", "surrogatepass"), 0x51ED) * 2654435761 % (1 << 32)
 
 
-def mine(docs: list[tuple[set[str], int]], p: np.ndarray, chance: float = CHANCE, least: int = 3) -> list[str]:
-    """Words whose families of documents are toxic far more often than chance allows. p: how toxic each document is."""
-    toxic, where = {}, {}
-    for k, (words, _) in enumerate(docs):
-        for w in words:
-            where.setdefault(w, []).append(k)
-    rates = {}
-    for w, at in where.items():
-        by: dict[int, list[float]] = {}
-        for k in at:
-            by.setdefault(docs[k][1], []).append(p[k])
-        if len(by) >= least and sum(p[k] for k in at) > 0.5 * len(at):
-            rates[w] = [sum(v) / len(v) for v in by.values()]
-    families: dict[int, list[float]] = {}
-    for (_, family), q in zip(docs, p):
-        families.setdefault(family, []).append(q)
-    base = min(0.5, max(1e-3, float(np.mean([sum(v) / len(v) for v in families.values()]) if families else 0)))
-    bound = log(chance / max(1, len(where)))
-    for w, r in rates.items():
-        n, k = len(r), sum(r)
-        q = k / n
-        if k >= least * 0.8 and q > max(0.6, 2 * base):  # Chernoff's bound on so many toxic families by chance
-            q = min(q, 1 - 1e-9)
-            if -n * (q * log(q / base) + (1 - q) * log((1 - q) / (1 - base))) < bound:
-                toxic[w] = k
-    return sorted(toxic)
-
-
-def votes(text: str, found: list[str], lexicon: dict[str, int], words: int | None = None) -> np.ndarray:
-    """One voter a lexicon word, and pattern voters: several distinct words, repeats, density, shouting, exclamation.
-
-    found: the text's words, or those of them that may be in the lexicon; then ``words`` is the number of all.
-    """
-    out = np.zeros(len(lexicon) + 5, dtype=bool)
-    hits = [w for w in found if w in lexicon]
-    for w in hits:
-        out[lexicon[w]] = True
-    if hits:
-        k = len(lexicon)
-        out[k] = len(set(hits)) >= 2
-        out[k + 1] = len(hits) > len(set(hits))
-        out[k + 2] = len(hits) * 200 >= (len(found) if words is None else words)
-        out[k + 3] = any(w.upper() in text for w in set(hits))
-        out[k + 4] = any(f"{w}!" in text for w in set(hits))
+@lru_cache(maxsize=1 << 17)
+def place_of(w: str) -> int:
+    return hash_word(w) >> 16 & (PLACES - 1)
+
+
+def terms_of(words: set[str]) -> set[str]:
+    """The words and, marked by a star, their stems."""
+    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
+
+
+class Lexicon:
+    """Words and stems, each with its number."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self.words = {t: k for k, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = {t[:-1]: k for k, t in enumerate(terms) if t.endswith("*")}
+        self.lengths = sorted({len(s) for s in self.stems})
+        self.seen: set[str] = set()
+        self.hits: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    def match(self, words: set[str]) -> dict[str, int]:
+        """The words that the lexicon knows, as they are or by a stem, with its number. Looked-up words are remembered."""
+        new = words - self.seen
+        if len(self.seen) > 1 << 18:
+            self.seen, self.hits, new = set(), {}, words
+        self.seen |= new
+        for w in new:
+            if (k := self.words.get(w)) is None:
+                k = next((self.stems[w[:n]] for n in self.lengths if len(w) > n and w[:n] in self.stems), None)
+            if k is not None:
+                self.hits[w] = k
+        return {w: self.hits[w] for w in words & self.hits.keys()}
+
+
+@dataclass
+class Sample:
+    """Incidence of terms in documents, and the family of each document."""
+
+    terms: list[str]
+    term: np.ndarray
+    doc: np.ndarray
+    family: np.ndarray
+    looked_at: int
+
+    @classmethod
+    def of(cls, seen: list[set[str]], toxic: np.ndarray, least: int = 3) -> Sample:
+        """Terms of at least ``least`` toxic documents; rarer ones can't be evidence."""
+        every = {w for s in seen for w in s}
+        often = Counter(t for s, y in zip(seen, toxic) if y for t in terms_of(s))
+        terms = sorted(t for t, n in often.items() if n >= least)
+        number = {t: k for k, t in enumerate(terms)}
+        has = {w: h for w in every if (h := [number[t] for t in terms_of({w}) if t in number])}
+        held = [np.array(list({i for w in s if w in has for i in has[w]}), dtype=np.int32) for s in seen]
+        # A min-hash of the word set: close copies mostly share it, so that a copied text counts once as evidence.
+        hashes = {w: hash_word(w) for w in every}
+        least_hash = [min((hashes[w] for w in s), default=0) for s in seen]
+        _, family = np.unique(np.array(least_hash, dtype=np.int64), return_inverse=True)
+        return cls(terms, np.concatenate(held) if held else np.zeros(0, dtype=np.int32), np.repeat(np.arange(len(held)), [len(h) for h in held]), family, len(often))
+
+    def mine(self, p: np.ndarray, chance: float = CHANCE, least: int = 3) -> list[str]:
+        """Terms whose families of documents are toxic far more often than chance allows. p: how toxic each document is.
+
+        Of terms of which one is the other's beginning, the surer one stays; of two as sure, the longer one.
+        """
+        m, families = len(self.terms), int(self.family.max()) + 1 if len(self.family) else 1
+        if not m:
+            return []
+        pair, at, count = np.unique(self.term.astype(np.int64) * families + self.family[self.doc], return_inverse=True, return_counts=True)
+        mean = np.bincount(at, p[self.doc]) / count
+        n, k = (np.bincount(pair // families, w, minlength=m) for w in (None, mean))
+        rows = np.bincount(self.term, minlength=m)
+        base = np.bincount(self.family, p) / np.maximum(np.bincount(self.family), 1)
+        base = min(0.5, max(1e-3, float(base.mean())))
+        q = np.minimum(k / np.maximum(n, 1), 1 - 1e-9)
+        surprise = -n * (q * np.log(np.maximum(q, 1e-12) / base) + (1 - q) * np.log((1 - q) / (1 - base)))  # Chernoff's bound
+        good = (n >= least) & (np.bincount(self.term, p[self.doc], minlength=m) > 0.5 * rows) & (k >= least * 0.8) & (q > max(0.6, 2 * base)) & (surprise < log(chance / max(1, self.looked_at)))
+        sure = k / (n + 2)
+        kept: list[str] = []
+        beginnings: set[str] = set()
+        for i in sorted(np.flatnonzero(good), key=lambda i: (-sure[i], -len(self.terms[i]), self.terms[i])):
+            bare = self.terms[i].removesuffix("*")
+            if bare not in beginnings and not any(f"{bare[:j]}*" in kept for j in STEMS if j <= len(bare)):
+                kept.append(self.terms[i])
+                beginnings.update(bare[:j] for j in range(1, len(bare) + 1))
+        return sorted(kept)
+
+
+def votes(text: str, found: list[str], lexicon: Lexicon, matched: dict[str, int] | None = None) -> np.ndarray:
+    """One voter a lexicon term, and pattern voters: several distinct words, repeats, density, shouting, exclamation."""
+    k = len(lexicon)
+    out = np.zeros(k + 5, dtype=bool)
+    matched = lexicon.match(set(found)) if matched is None else matched
+    if matched:
+        hits = sum(w in matched for w in found)
+        out[list(matched.values())] = True
+        out[k] = len(matched) >= 2
+        out[k + 1] = hits > len(matched)
+        out[k + 2] = hits * 200 >= len(found)
+        out[k + 3] = any(w.upper() in text for w in matched)
+        out[k + 4] = any(f"{w}!" in text for w in matched)
     return out
 
 
@@ -131,19 +189,23 @@ class LabelModel:
 
 @dataclass
 class Model:
-    lexicon: list[str]
-    bias: float = -4.0
-    weights: dict[str, float] = field(default_factory=dict)
-    pattern_weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    """A linear classifier over the voters and the places of all words."""
 
-    def score(self, text: str) -> float:
-        found = words_of(text)
-        seen = set(found)
-        z = self.bias + sum(w for x in seen if (w := self.weights.get(x)))
-        if not seen.isdisjoint(self.lexicon):
-            index = {w: k for k, w in enumerate(self.lexicon)}
-            z += float(votes(text, found, index)[len(index) :] @ self.pattern_weights)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    terms: list[str] = field(default_factory=list)
+    bias: float = -4.0
+    voters: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(PLACES))
+
+    def scores(self, texts: list[str], lexicon: Lexicon | None = None) -> np.ndarray:
+        lexicon, z = lexicon or Lexicon(self.terms), np.full(len(texts), self.bias)
+        for k, text in enumerate(texts):
+            found = words_of(text)
+            seen = set(found)
+            matched = lexicon.match(seen)
+            z[k] += self.places[list({place_of(w) for w in seen if w not in matched})].sum()
+            if matched:
+                z[k] += votes(text, found, lexicon, matched) @ self.voters
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def logistic(x: np.ndarray, p: np.ndarray, w: np.ndarray, penalty: float, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -162,47 +224,40 @@ def logistic(x: np.ndarray, p: np.ndarray, w: np.ndarray, penalty: float, rounds
     return beta[:-1], float(beta[-1])
 
 
-def fit_rows(rows: list[tuple[str, float | None]]) -> Model:
-    """rows: text and label (None: no label). Without a labelled toxic row, nothing is learned and all scores are low."""
-    often: Counter[str] = Counter()
-    for t, _ in rows:
-        often.update(set(words_of(t)))
-    often = {w: w for w, n in often.items() if n >= 3}  # rarer words can't be evidence, and are most of all words
-    found, docs, sizes = [], [], []
-    for t, _ in rows:
-        words = words_of(t)
-        found.append([often[w] for w in words if w in often])
-        docs.append((set(found[-1]), _family(found[-1])))
-        sizes.append(len(words))
-    y = np.array([np.nan if label is None else float(label) for _, label in rows])
-    known = ~np.isnan(y)
-    lexicon = mine([docs[k] for k in np.flatnonzero(known)], y[known])
-    if not lexicon:
-        return Model([])
-    for _ in range(2):  # posteriors of all rows show more words than the labelled ones alone
-        index = {w: k for k, w in enumerate(lexicon)}
-        v = np.stack([votes(t, f, index, n) for (t, _), f, n in zip(rows, found, sizes)])
-        p = LabelModel.fit(v).posterior(v.astype(float))
-        more = sorted(set(lexicon) | set(mine(docs, p, least=4)))
-        if more == lexicon:
+def fit_rows(rows: list[tuple[str, float]]) -> Model:
+    """rows: text and label. The labels show which terms may vote; what the classifier learns are posteriors of the votes.
+
+    Without a toxic row, or a term that votes, nothing is learned and all scores are low.
+    """
+    y = np.array([label for _, label in rows], dtype=float)
+    names: dict[str, str] = {}
+    found = [[names.setdefault(w, w) for w in words_of(t)] for t, _ in rows]
+    seen = [set(f) for f in found]
+    sample = Sample.of(seen, y > 0)
+    lexicon = Lexicon(sample.mine(y))
+    if not len(lexicon):
+        return Model()
+
+    def posteriors() -> tuple[np.ndarray, np.ndarray]:
+        v = np.stack([votes(t, f, lexicon) for (t, _), f in zip(rows, found)])
+        return v, LabelModel.fit(v).posterior(v.astype(float))
+
+    for _ in range(2):  # posteriors show terms that single labels hide
+        v, p = posteriors()
+        more = sample.mine(np.maximum(p, y), least=4)
+        if set(more) <= set(lexicon.terms):
             break
-        lexicon = more
-    index = {w: k for k, w in enumerate(lexicon)}
-    v = np.stack([votes(t, f, index, n) for (t, _), f, n in zip(rows, found, sizes)])
-    p = LabelModel.fit(v).posterior(v.astype(float))
-    count = Counter(w for s, _ in docs for w in s)
-    common = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])) if w not in index][:COMMON_WORDS]
-    place = {w: len(index) + k for k, w in enumerate(common)} | index
-    x = np.zeros((len(rows), len(place) + 5), dtype=np.float32)
-    for k, (s, _) in enumerate(docs):
-        x[k, [place[w] for w in s if w in place]] = 1
-    x[:, len(place) :] = v[:, len(index) :]
+        lexicon = Lexicon(sorted(set(lexicon.terms) | set(more)))
+    v, p = posteriors()
+    x = np.zeros((len(rows), v.shape[1] + PLACES), dtype=np.float32)
+    x[:, : v.shape[1]] = v
+    for k, s in enumerate(seen):
+        x[k, [v.shape[1] + place_of(w) for w in s - lexicon.match(s).keys()]] = 1
     penalty = np.full(x.shape[1], 0.02)
-    penalty[len(index) : len(place)] = 20.0  # common words may correct, not decide
-    copies = Counter(f for _, f in docs)
-    w = np.array([1 / copies[f] for _, f in docs])
+    penalty[v.shape[1] :] = 20.0  # other words may correct, not decide
+    w = 1 / np.bincount(sample.family)[sample.family]
     beta, bias = _weighted(x, p, w, penalty)
-    return Model(lexicon, bias, {word: float(beta[k]) for word, k in place.items() if abs(beta[k]) > 1e-4}, beta[len(place) :])
+    return Model(lexicon.terms, bias, beta[: v.shape[1]], beta[v.shape[1] :])
 
 
 def _weighted(x: np.ndarray, p: np.ndarray, w: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, float]:
@@ -211,33 +266,33 @@ def _weighted(x: np.ndarray, p: np.ndarray, w: np.ndarray, penalty: np.ndarray)
     return beta * scale, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED_SAMPLE, unlabelled: int = UNLABELLED_SAMPLE) -> Model:
-    """Draws trainable rows by a hash of their id: about ``labelled`` with and ``unlabelled`` without a label.
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED_SAMPLE) -> Model:
+    """Fits on about ``labelled`` of the trainable labelled rows, drawn by a hash of their id, with their whole texts.
 
-    The drawn labels, the one side of a join that is broadcast, are bounded by that parameter.
+    The drawn labels, the one side of a join that is broadcast, are bounded by that parameter. Of several labels of one
+    id, the greatest counts; null labels don't. Other columns of both tables, of whatever name, are ignored.
     """
-    draw = lambda c: F.pmod(F.xxhash64(c.cast("string"), F.lit("toxicity")), F.lit(1 << 40)) / float(1 << 40)
-    marked = labels.where(trainable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    n = labels.where(trainable).count()
-    few = marked.where(draw(F.col("_id")) < min(1.0, labelled / max(1, n)))
-    total = docs.count()
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity")), F.lit(1 << 40)) / float(1 << 40)
+    marked = labels.where(trainable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
+    few = marked.where(draw < min(1.0, labelled / max(1, marked.count())))
     rows = docs.where(trainable).select(F.col(id_col).alias("_d"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    picked = rows.join(F.broadcast(few), F.col("_d") == F.col("_id"), "left").where(F.col("_y").isNotNull() | (draw(F.col("_d")) > 1 - min(0.5, unlabelled / max(1, total)))).select("_t", "_y")
-    return fit_rows(sorted(((r[0], None if r[1] is None else float(r[1])) for r in picked.collect()), key=lambda r: (r[0], r[1] is None, r[1] or 0)))
+    picked = rows.join(F.broadcast(few), F.col("_d") == F.col("_id")).select("_t", "_y")
+    return fit_rows(sorted((r[0], r[1]) for r in picked.collect()))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Score of every whole text. Rows: doc_id, score, predicted.
 
-    Defined cases: null and empty texts get the classifier's score of no words; null and repeated ids give a row each;
-    other columns are ignored.
+    Defined cases: null and empty texts get the classifier's score of no words; texts of any length are read to their
+    end; rows that repeat an id or a text, and rows with a null id, give a row each, equal texts the same score; an empty
+    table gives an empty result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
+        lexicon = Lexicon(held.value.terms)
         for pdf in batches:
-            s = np.array([m.score(t) for t in pdf["_text"]], dtype=float)
+            s = held.value.scores(pdf["_text"].tolist(), lexicon)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
