@@ -10,12 +10,15 @@ from ..functions.html import TolerantParser
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript iframe svg object canvas audio video button select textarea math map".split())
+# What they hold is not the page's text: its name, code, or controls of a form.
+SILENT = frozenset("title desc metadata script style template iframe button select option textarea".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: Elements that are nodes although they don't break lines.
+OWN_NODE = frozenset(["noscript"])
 #: A start tag ends an open element of the set, unless one of the second set lies between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -29,26 +32,16 @@ ENDS = {
 }
 STOPS_P = frozenset("article aside blockquote body div footer form header li main nav section table td th".split())
 
-# Words in class, id and role that pages use for their parts.
-GROUPS = {
-    "body": "article articlebody content contents entry post posts story text body main maincontent prose copy markdown paper page-content".split(),
-    "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc tabs toolbar skip".split(),
-    "frame": "header masthead topbar footer foot bottom copyright legal colophon branding logo".split(),
-    "side": "sidebar aside side rail widget widgets related recommended recommendations popular trending share sharing social tags more teaser".split(),
-    "advert": "ad ads adv advert advertisement advertisements adslot adsense banner sponsor sponsored promo promotion promoted dfp taboola outbrain".split(),
-    "notice": "cookie cookies consent gdpr notice notices alert alerts popup modal overlay paywall disclaimer announcement".split(),
-    "reader": "comment comments commentlist reply replies respond discussion disqus reviews responses thread reader".split(),
-    "form": "form search searchbox newsletter subscribe subscription signup login register contact poll".split(),
-}
-_GROUP_OF = {w: k for k, (_, words) in enumerate(GROUPS.items()) for w in words}
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-TAG_KINDS = ["nav menu", "header", "footer", "aside", "form fieldset", "article main", "p blockquote pre", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl", "li dt dd", "div section", "table tbody thead tr td th", "figure figcaption"]
+TAG_KINDS = ["nav menu", "header", "footer", "aside", "form fieldset", "article main", "p blockquote pre", "h1 h2 h3 h4 h5 h6 hgroup", "ul ol dl", "li dt dd", "div section", "table tbody thead tr td th", "figure figcaption", "noscript"]
 _KIND_OF = {t: k for k, names in enumerate(TAG_KINDS) for t in names.split()}
-FEATURES = 14 + len(TAG_KINDS) + 2 * len(GROUPS)
 
 
 class Page(TolerantParser):
-    """Nodes: block elements and elements with a class, id or role. Pieces of text: (block, node, text)."""
+    """Nodes: block elements and elements with a class, id or role. Pieces of text: (block, node, text).
+
+    A head holds a silent title and no other text; where it isn't closed, what follows it is text as anywhere.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -81,7 +74,7 @@ class Page(TolerantParser):
                 self.silent += tag in SILENT
                 self.anchor += tag == "a"
             return
-        if tag == "body":  # also where the head was not closed
+        if tag == "body":  # also where the head, or something in it, was not closed
             self._end_open({"head"}, set())
         if tag in ENDS_P:
             self._end_open({"p"}, STOPS_P)
@@ -95,7 +88,7 @@ class Page(TolerantParser):
             self.pieces.append((self.block, node, " ", self.anchor > 0))
         if tag in VOID:
             return
-        if tag in BLOCK or any(k in ("class", "id", "role") for k, _ in attrs):
+        if tag in BLOCK or tag in OWN_NODE or any(k in ("class", "id", "role") for k, _ in attrs):
             self.tags.append(tag)
             self.parents.append(node)
             self.attrs.append(dict(attrs))
@@ -126,8 +119,9 @@ def tokens_of(attrs: dict) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text)] + [w.lower() for w in text.split()] if text.strip() else []
 
 
-def node_features(page: Page) -> np.ndarray:
-    """One row a node: depth, siblings, sums over the subtree and densities, element kinds, attribute words."""
+def node_features(page: Page, scores: dict[str, float]) -> np.ndarray:
+    """One row a node: depth, siblings, sums over the subtree and densities, element kinds, and what the tokens of its
+    attributes and of its ancestors' say for or against it by ``scores`` (log-odds; an unknown token says nothing)."""
     n = len(page.tags)
     parent = np.array(page.parents)
     own, linked, marks, start = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, -1.0)
@@ -143,18 +137,19 @@ def node_features(page: Page) -> np.ndarray:
             at += k
     total = own.copy()
     sums = np.stack([total, linked, marks, np.ones(n), np.array([t in ("p", "blockquote") for t in page.tags], float), np.array(page.inputs, float), np.array([t in ("li", "dd") for t in page.tags], float)])
-    groups = np.zeros((n, len(GROUPS)))
+    said = np.zeros((n, 2))  # the least and the greatest score of the node's own tokens
     for k, attrs in enumerate(page.attrs):
-        for w in tokens_of(attrs) if attrs else ():
-            if w in _GROUP_OF:
-                groups[k, _GROUP_OF[w]] = 1
-    above, depth, index, children = np.zeros_like(groups), np.zeros(n), np.zeros(n), np.zeros(n)
+        own_scores = [scores[w] for w in tokens_of(attrs) if w in scores] if attrs else []
+        if own_scores:
+            said[k] = min(0.0, *own_scores), max(0.0, *own_scores)
+    named = np.array([any(a.get(k) for k in ("class", "id", "role")) for a in page.attrs], dtype=float)
+    above, depth, index, children = np.zeros_like(said), np.zeros(n), np.zeros(n), np.zeros(n)
     for k in range(1, n):
         p = parent[k]
         depth[k] = depth[p] + 1
         index[k] = children[p]
         children[p] += 1
-        above[k] = np.maximum(above[p], groups[p])
+        above[k] = min(above[p][0], said[p][0]), max(above[p][1], said[p][1])
     first = start.copy()
     for k in range(n - 1, 0, -1):
         p = parent[k]
@@ -168,5 +163,5 @@ def node_features(page: Page) -> np.ndarray:
     for k, t in enumerate(page.tags):
         if t in _KIND_OF:
             kinds[k, _KIND_OF[t]] = 1
-    numbers = [depth, children[up], index / np.maximum(children[up], 1), np.log1p(text), np.log1p(own), links / safe, np.log1p(nodes) - np.log1p(text), np.log1p(paragraphs), text / whole, np.maximum(first, 0) / whole, text / np.maximum(text[up], 1), dots / safe * 100, inputs, items / nodes]
-    return np.concatenate([np.stack(numbers, axis=1), kinds, groups, above], axis=1).astype(np.float32)
+    numbers = [depth, children[up], index / np.maximum(children[up], 1), np.log1p(text), np.log1p(own), links / safe, np.log1p(nodes) - np.log1p(text), np.log1p(paragraphs), text / whole, np.maximum(first, 0) / whole, text / np.maximum(text[up], 1), dots / safe * 100, inputs, items / nodes, named]
+    return np.concatenate([np.stack(numbers, axis=1), kinds, said, above], axis=1).astype(np.float32)

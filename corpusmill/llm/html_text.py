@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import escape
 
 import numpy as np
@@ -13,10 +15,26 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
 from .common import read_table
-from .dom import GROUPS, Page, node_features
+from .dom import Page, node_features, tokens_of
 
 #: Bounds of the fit: pages that lend their words, and teaching pages that are composed of them.
 SAMPLE_PAGES, TEACHING_PAGES = 60, 400
+#: Share of the teaching pages' parts that carry a made-up name: structure must do without known tokens.
+UNKNOWN_NAMES = 0.35
+#: A token of the table gets a score if at least so many sampled pages decide alike on its nodes.
+TOKEN_PAGES = 3
+
+# Words in class and id that pages use for their parts; teaching pages draw from them.
+GROUPS = {
+    "body": "article articlebody content contents entry post posts story text body main maincontent prose copy markdown paper page-content".split(),
+    "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc tabs toolbar skip".split(),
+    "frame": "header masthead topbar footer foot bottom copyright legal colophon branding logo".split(),
+    "side": "sidebar aside side rail widget widgets related recommended recommendations popular trending share sharing social tags more teaser".split(),
+    "advert": "ad ads adv advert advertisement advertisements adslot adsense banner sponsor sponsored promo promotion promoted dfp taboola outbrain".split(),
+    "notice": "cookie cookies consent gdpr notice notices alert alerts popup modal overlay paywall disclaimer announcement".split(),
+    "reader": "comment comments commentlist reply replies respond discussion disqus reviews responses thread reader".split(),
+    "form": "form search searchbox newsletter subscribe subscription signup login register contact poll".split(),
+}
 _FALLBACK = "the word of a page and its text go on in a row of lines, so that one may read it.".split()
 
 
@@ -29,8 +47,13 @@ def teaching_page(words: list[str], rng: random.Random) -> str:
     def links(n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{k}">{say(1, 4)}</a></li>' for k in range(n)) + "</ul>"
 
+    def name_of(group: str) -> str:
+        if rng.random() < UNKNOWN_NAMES:
+            return "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+        return rng.choice(GROUPS[group])
+
     def named(group: str, tag: str | None, inner: str, always: bool = False) -> str:
-        tag, name = (tag, rng.choice(GROUPS[group])) if tag and rng.random() < 0.7 else ("div", rng.choice(GROUPS[group]))
+        tag, name = (tag, name_of(group)) if tag and rng.random() < 0.7 else ("div", name_of(group))
         name = name + rng.choice(["", "-wrap", "-box", " block", "_1", "-area"])
         key = rng.choice(["class", "class", "id"])
         mark = f' {key}="{name}"' if tag == "div" or always or rng.random() < 0.4 else ""
@@ -54,8 +77,10 @@ def teaching_page(words: list[str], rng: random.Random) -> str:
             return f"<blockquote><p>{text}</p></blockquote>"
         if kind < 0.4:
             return "<table>" + "".join(f"<tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr>" for _ in range(3)) + "</table>"
-        if kind < 0.45:
+        if kind < 0.43:
             return f"<div>{text}</div>"
+        if kind < 0.46:
+            return rng.choice([f"<noscript>{text}</noscript>", f"<noscript><p>{text}</p></noscript>", f"<p>{say(1, 5)} <math><mi>{say(1, 1)}</mi></math> {text}</p>"])
         return f"<p>{text}</p>" if kind < 0.9 else f"<p>{text}"
 
     def comments() -> str:
@@ -71,7 +96,7 @@ def teaching_page(words: list[str], rng: random.Random) -> str:
         tag = rng.choice(["article", "article", "main"])
         article = f'<{tag} data-y="1">' + "".join(parts) + f"</{tag}>"
     elif form < 0.85:
-        article = f'<div class="{rng.choice(GROUPS["body"])}{rng.choice(["", "-inner", " column"])}" data-y="1">' + "".join(parts) + "</div>"
+        article = f'<div class="{name_of("body")}{rng.choice(["", "-inner", " column"])}" data-y="1">' + "".join(parts) + "</div>"
     else:
         article = '<section data-y="1">' + "".join(parts) + "</section>" if rng.random() < 0.5 else "".join(parts)
     around = [named("menu", "nav", links(rng.randint(2, 12)))] if rng.random() < 0.9 else []
@@ -79,6 +104,8 @@ def teaching_page(words: list[str], rng: random.Random) -> str:
         around.insert(0, named("frame", "header", rng.choice([f"<p>{say(1, 6)}</p>", f"<div>{say(1, 5)}</div>", say(1, 6)]) + (links(4) if rng.random() < 0.4 else "")))
     if rng.random() < 0.5:
         around.append(named("notice", None, rng.choice([say(4, 30) + ".", f"<p>{say(4, 40)}.</p>"])))
+    if rng.random() < 0.15:
+        around.insert(0, f'<noscript data-y="0">{say(3, 14)}.</noscript>')
     around += [advert() for _ in range(rng.choice([0, 1, 1, 2]))]
     if rng.random() < 0.4:
         around.append(named("side", "aside", rng.choice([links(5), f"<h4>{say(1, 3)}</h4><p>{say(5, 30)}.</p>"])))
@@ -110,22 +137,63 @@ def teaching_labels(page: Page) -> np.ndarray:
     return y
 
 
-def fit_rows(pages: list[str], teaching: int = TEACHING_PAGES, seed: int = 5) -> BoostedTrees:
+@dataclass
+class Model:
+    """Trees over node features, and the log-odds that a node with a token in its attributes is kept."""
+
+    trees: BoostedTrees
+    scores: dict[str, float]
+
+    def keep(self, pages: list[Page]) -> list[np.ndarray]:
+        """Which nodes stay; the nodes of all pages go through the trees together."""
+        x = [node_features(p, self.scores) for p in pages]
+        odds = np.split(self.trees.log_odds(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1]) if pages else []
+        return [decode(p.parents, o) for p, o in zip(pages, odds)]
+
+
+def token_counts(pages: list[Page], kept: list[np.ndarray]) -> dict[str, Counter]:
+    """On how many pages a token's nodes are kept (1) and dropped (0), among children of kept nodes."""
+    out: dict[str, Counter] = {}
+    for page, y in zip(pages, kept):
+        for t, v in {(t, int(y[k])) for k in range(1, len(y)) if y[page.parents[k]] and page.attrs[k] for t in tokens_of(page.attrs[k])}:
+            out.setdefault(t, Counter())[v] += 1
+    return out
+
+
+def token_scores(pages: list[Page], kept: list[np.ndarray]) -> dict[str, float]:
+    return {t: float(np.log((c[1] + 1) / (c[0] + 1))) for t, c in token_counts(pages, kept).items()}
+
+
+def mined_scores(pages: list[Page], kept: list[np.ndarray], known: dict[str, float], least: int = TOKEN_PAGES) -> dict[str, float]:
+    """Scores, half as strong, of the table's own tokens that no teaching page has, from what the trees decide without
+    them; a token on which pages differ says nothing."""
+    new = {t: c for t, c in token_counts(pages, kept).items() if t not in known and max(c.values()) >= least and max(c.values()) > 9 * min(c[0], c[1])}
+    return {t: 0.5 * float(np.log((c[1] + 1) / (c[0] + 1))) for t, c in new.items()}
+
+
+def fit_rows(pages: list[str], teaching: int = TEACHING_PAGES, seed: int = 5) -> Model:
     rng = random.Random(seed)
-    words = sorted({w for html in pages for _, _, text, _ in Page(html).pieces for w in text.split()}) or _FALLBACK
+    table = [Page(html) for html in pages]
+    words = sorted({w for page in table for _, _, text, _ in page.pieces for w in text.split()}) or _FALLBACK
+    taught = [Page(teaching_page(words, rng)) for _ in range(teaching)]
+    labels = [teaching_labels(page) for page in taught]
+    half = teaching // 2
+    # Each half sees the scores that the other half gives, as the trees will see tokens that they weren't taught with.
+    given = [token_scores(taught[half:], labels[half:]), token_scores(taught[:half], labels[:half])]
     xs, ys = [], []
-    for _ in range(teaching):
-        page = Page(teaching_page(words, rng))
-        y = teaching_labels(page)
+    for k, (page, y) in enumerate(zip(taught, labels)):
         asked = y[np.maximum(page.parents, 0)] > 0  # the model answers for children of kept nodes only
         asked[0] = False
-        xs.append(node_features(page)[asked])
+        xs.append(node_features(page, given[k >= half])[asked])
         ys.append(y[asked])
-    return BoostedTrees.fit(np.concatenate(xs), np.concatenate(ys))
+    model = Model(BoostedTrees.fit(np.concatenate(xs), np.concatenate(ys)), token_scores(taught, labels))
+    model.scores |= mined_scores(table, model.keep(table), model.scores)
+    return model
 
 
-def fit(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES) -> BoostedTrees:
-    """Fits on teaching pages whose words come from about ``sample`` pages, chosen by a hash of their content."""
+def fit(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Model:
+    """Fits on teaching pages whose words come from about ``sample`` pages, chosen by a hash of their content; these pages
+    also show what the table's own attribute tokens stand for."""
     rows = pages.where(F.col(html_col).isNotNull())
     n = rows.count()
     draw = F.pmod(F.xxhash64(F.col(url_col), F.length(html_col)), F.lit(1 << 40)) / float(1 << 40)
@@ -149,14 +217,10 @@ def decode(parents: list[int], odds: np.ndarray) -> np.ndarray:
     return keep
 
 
-def main_texts(htmls: list[str], model: BoostedTrees) -> list[str]:
-    """The main text of each page; the nodes of all pages go through the trees together."""
-    pages = [Page(h) for h in htmls]
-    x = [node_features(p) for p in pages]
-    odds = np.split(model.log_odds(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1]) if pages else []
-    out = []
-    for page, o in zip(pages, odds):
-        keep = decode(page.parents, o)
+def main_texts(htmls: list[str], model: Model) -> list[str]:
+    """The main text of each page."""
+    pages, out = [Page(h) for h in htmls], []
+    for page, keep in zip(pages, model.keep(pages)):
         blocks: dict[int, list[str]] = {}
         for block, node, text, _ in page.pieces:
             if keep[node]:
@@ -165,11 +229,14 @@ def main_texts(htmls: list[str], model: BoostedTrees) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, model: BoostedTrees, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, model: Model, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page, from the whole html.
 
     Defined cases: null html counts as empty and gives an empty text, as does a page without text; tags that are not
-    closed end where HTML ends them; null and repeated ids give a row each; other columns are ignored.
+    closed end where HTML ends them, and what a declaration that HTML doesn't know is followed by is kept; pages of any
+    length are read to their end; fallbacks of objects, videos and formulas are text, contents of buttons, selections,
+    text areas and inner frames are not; a tie between keeping and dropping a part drops it; null and repeated ids and
+    repeated pages give a row each; an empty table gives an empty result; other columns are ignored.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
 
