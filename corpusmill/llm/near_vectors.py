@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, read_table, stage
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.95
-#: Neighbours of a list, tables of the first graph, vectors of a block, pivots handled together.
-NEIGHBOURS, TABLES, BLOCK, PIVOTS = 8, 10, 256, 64
+#: Neighbours of a list, of an enlarged one, tables of the first graph, vectors of a block, pivots handled together.
+NEIGHBOURS, ENLARGED, TABLES, BLOCK, PIVOTS = 8, 32, 10, 256, 64
 #: Vectors of a block of the exact comparison at most.
 WIDE = 4096
 #: Vectors with links that the audit asks, recall that ends the search, descents at least and at most.
@@ -44,17 +47,21 @@ def _matrix(units: pd.Series, dtype: type = np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(units), dtype=dtype).reshape(len(units), -1)
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    """Each row's k nearest others within a block."""
+def _best(ids: np.ndarray, sims: np.ndarray, most: np.ndarray) -> pd.DataFrame:
+    """Each row's nearest others within a block, as many as its list holds."""
     np.fill_diagonal(sims, -2)
-    k = min(k, len(ids) - 1)
-    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(ids)), k)
-    return pd.DataFrame({"u": ids[rows], "v": ids[at.ravel()], "sim": sims[rows, at.ravel()]})
+    out = []
+    for k in np.unique(most):
+        who, n = np.flatnonzero(most == k), min(int(k), len(ids) - 1)
+        at = np.argpartition(-sims[who], n - 1, axis=1)[:, :n]
+        rows = np.repeat(who, n)
+        out.append(pd.DataFrame({"u": ids[rows], "v": ids[at.ravel()], "sim": sims[rows, at.ravel()]}))
+    return pd.concat(out)
 
 
-def first_graph(nodes: DataFrame, n: int, k: int, tables: int, seed: int) -> DataFrame:
-    """Nearest neighbours within blocks of vectors that lie on the same side of random planes, in several tables.
+def first_graph(nodes: DataFrame, wide: DataFrame, n: int, k: int, tables: int, seed: int) -> DataFrame:
+    """Nearest neighbours within blocks of vectors that lie on the same side of random planes, in several tables: k of
+    each node, ENLARGED of the ``wide`` ones.
 
     A crowded side is dealt over several blocks by a hash that differs from table to table; none exceeds its bound by
     much, and what one table separates another one brings together.
@@ -69,9 +76,10 @@ def first_graph(nodes: DataFrame, n: int, k: int, tables: int, seed: int) -> Dat
                 side = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(x), tables), dtype=np.int64)
                 short = [u.tobytes() for u in x.astype(np.float32)]
                 for t in range(tables):
-                    yield pd.DataFrame({"node": part["node"].to_numpy(), "t": t, "dim": dim, "side": side[:, t], "short": short})
+                    yield pd.DataFrame({"node": part["node"].to_numpy(), "k": part["k"].to_numpy(), "t": t, "dim": dim, "side": side[:, t], "short": short})
 
-    dealt = stage(nodes.mapInPandas(sides, "node long, t int, dim int, side long, short binary"), "sides")
+    sized = nodes.select("node", "unit", "dim").join(wide, "node", "left").withColumn("k", F.coalesce("k", F.lit(k)))
+    dealt = stage(sized.mapInPandas(sides, "node long, k int, t int, dim int, side long, short binary"), "sides")
     crowd = stage(dealt.groupBy("t", "dim", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "crowd")
     blocks = dealt.join(crowd, ["t", "dim", "side"]).withColumn("part", F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.col("parts")))
 
@@ -79,24 +87,32 @@ def first_graph(nodes: DataFrame, n: int, k: int, tables: int, seed: int) -> Dat
         if len(pdf) < 2:
             return pd.DataFrame({"u": [], "v": [], "sim": []})
         x = _matrix(pdf["short"], np.float32)
-        return _best(pdf["node"].to_numpy(), x @ x.T, k)
+        return _best(pdf["node"].to_numpy(), x @ x.T, pdf["k"].to_numpy())
 
     return blocks.groupBy("t", "dim", "side", "part").applyInPandas(near, _EDGE)
 
 
-def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each node; a node has a bounded number of rows here, as each block and pivot gives k at most."""
+def best_lists(edges: DataFrame, wide: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each node, or ENLARGED ones; a node has a bounded number of rows here, as each block and pivot
+    gives no more than its list holds."""
     one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return one.selectExpr("u", "v", "sim", "row_number() over (partition by u order by sim desc, v) as r").where(F.col("r") <= k).drop("r")
+    ranked = one.selectExpr("u", "v", "sim", "row_number() over (partition by u order by sim desc, v) as r").where(F.col("r") <= ENLARGED)
+    return ranked.join(wide.withColumnRenamed("node", "u"), "u", "left").where(F.col("r") <= F.coalesce("k", F.lit(k))).select("u", "v", "sim")
+
 
+def full_lists(lists: DataFrame, wide: DataFrame, k: int) -> DataFrame:
+    """(u, last similarity, size, k) of the nodes whose list is full."""
+    ends = lists.groupBy("u").agg(F.min("sim").alias("_last"), F.count(F.lit(1)).alias("_n")).join(wide.withColumnRenamed("node", "u"), "u", "left")
+    return ends.withColumn("k", F.coalesce("k", F.lit(k))).where(F.col("_n") >= F.col("k"))
 
-def descend(lists: DataFrame, shorts: DataFrame, k: int) -> DataFrame:
+
+def descend(lists: DataFrame, shorts: DataFrame, wide: DataFrame, k: int) -> DataFrame:
     """New edges between neighbours of a common neighbour (both directions of the graph).
 
     A pivot's neighbours meet with their vectors; a pivot that many lists name is handled in parts. Only pairs that
     would enter a list are given out.
     """
-    last = lists.groupBy("u").agg(F.min("sim").alias("_last"), F.count(F.lit(1)).alias("_n")).select(F.col("u").alias("m"), F.when(F.col("_n") >= k, F.col("_last")).otherwise(F.lit(-2.0)).cast("float").alias("last"))
+    last = full_lists(lists, wide, k).select(F.col("u").alias("m"), F.col("_last").cast("float").alias("last"))
     around = lists.select(F.col("u").alias("pivot"), F.col("v").alias("m")).union(lists.select("v", "u")).union(lists.select("u", "u")).distinct()
     degree = lists.groupBy(F.col("v").alias("pivot")).agg(F.ceil((F.count(F.lit(1)) + k) / (4 * k)).alias("parts"))
     around = around.join(degree, "pivot", "left").withColumn("part", F.pmod(F.xxhash64("m", "pivot"), F.coalesce("parts", F.lit(1)))).drop("parts")
@@ -217,47 +233,50 @@ def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
-def audit(nodes: DataFrame, groups: DataFrame, n: int, threshold: float, sample: int = AUDIT, done: DataFrame | None = None) -> tuple[float, DataFrame]:
-    """The share of vectors that have all their links, of at least ``sample`` that have any; and links that were missed.
+def audit(tagged: DataFrame, done: DataFrame, n: int, threshold: float, sample: int) -> tuple[int, int, DataFrame, DataFrame]:
+    """Asks vectors for all their links: how many that have any were asked, how many of them lack none, links that were
+    missed, and the nodes that were asked.
 
-    Vectors are drawn by hash and compared with all others, four times as many each time, until enough with links were
-    drawn, or all. Those in ``done``, which have all their links for certain, aren't asked.
+    Vectors are drawn by hash among those that were never compared with all, and compared with all others; five times as
+    many each time, until ``sample`` that have links were drawn, or all.
     """
-    tagged = with_groups(nodes, groups)
     rest = tagged.select("node", (F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 40)) / float(1 << 40)).alias("_draw"))
-    if done is not None:
-        rest = rest.join(done, "node", "left_anti")
-    rest = stage(rest, "asked")
-    low, high, seen = 0.0, sample / max(1, rest.count()), None
+    rest = stage(rest.join(done, "node", "left_anti"), "unasked")
+    start = rest.agg(F.min("_draw")).first()[0]
+    low, width = start or 0.0, sample / max(1, rest.count()) * (1 - (start or 0.0))
     linked = whole = 0
-    while low < 1 and linked < sample:
-        drawn = rest.where((F.col("_draw") >= low) & (F.col("_draw") < high)).select("node")
+    seen, asked = None, None
+    while linked < sample and (seen is None or low < 1):
+        drawn = rest.where((F.col("_draw") >= low) & (F.col("_draw") < low + width)).select("node")
         got = exact_links(drawn, tagged, n, threshold)
         sums = got.groupBy("node").agg(F.sum("links").alias("links"), F.sum("missed").alias("missed")).where("links > 0")
         some, good = sums.agg(F.count(F.lit(1)), F.count_if(F.col("missed") == 0)).first()
         linked, whole = linked + some, whole + good
-        seen = got if seen is None else seen.union(got)
-        low, high = high, 5 * high
-    return (whole / linked if linked else 1.0), seen.where("a <> b").select("a", "b")
+        seen, asked = (got, drawn) if seen is None else (seen.union(got), asked.union(drawn))
+        low, width = low + width, 5 * width
+    return linked, whole, seen.where("a <> b").select("a", "b"), asked
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS, recall: float = RECALL) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS, recall: float = RECALL, sample: int = AUDIT) -> DataFrame:
     """Links between vectors whose cosine is at least ``threshold``, and their components.
 
     Equal vectors are one node that stands for all of them. A first graph comes from blocks of vectors on the same side
     of random planes; NN-descent refines it: neighbours of a common neighbour meet and enter each other's lists. Links
     are the list entries that pass in double precision; they are closed into components. A list that holds close vectors
-    only may hide more, so its node is compared with all vectors in blocks, and the links that lead out of its component
-    join the graph. Every node of a component is then compared with its whole component, part by part, which gives the
-    exact number of links within it. An audit compares a sample of vectors with all others by brute
-    force until it has asked enough that have links; the links that it finds missing join the graph. While fewer of these
-    vectors than wanted have all their links, another round runs with new planes; after the last one all vectors are
-    compared with all.
+    only is saturated and may hide more. Where its node's component is small, the list is enlarged, and the next round,
+    with new planes, fills it. Where the component outgrows an enlarged list as well, the node is compared with all
+    vectors in blocks, and the links that lead out of its component join the graph. When no list is to be enlarged, an
+    audit compares vectors that were not yet compared with all, until it has asked ``sample`` that have links; the links
+    that it finds missing join the graph, and no vector is asked twice, so that the next audit isn't about vectors that
+    the last one repaired. While fewer of the asked vectors than wanted have all their links, another round runs; after
+    the last one all vectors that are left are compared with all. The recall of each audit is logged. Every node of a
+    component is compared with its whole component, part by part, which gives the exact number of links within it.
 
     Defined cases: null vectors, empty ones, zero vectors and those with a null or non-finite component link with
-    nothing, nor do vectors of different lengths; rows with a null id link with nothing and get a null component; rows
-    that repeat an id are vectors of their own; an empty table gives an empty result; other columns are ignored. Returns
-    vec_id, n_links, component_id, kept.
+    nothing, nor do vectors of different lengths; vectors of any length are used whole; rows with a null id link with
+    nothing and get a null component; rows that repeat an id are vectors of their own; ties are broken by id and don't
+    show in the result; an empty table gives an empty result; other columns are ignored. Returns vec_id, n_links,
+    component_id, kept.
     """
     rows = stage(unit_vectors(vectors, id_col, vec_col), "units")
     nodes = stage(rows.groupBy("dim", "unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("many")), "nodes")
@@ -273,31 +292,40 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     lists = spark.createDataFrame([], _EDGE)
     extra = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "node long")  # nodes that were compared with all
-    short = lambda pdf: [np.frombuffer(u).astype(np.float32).tobytes() for u in pdf["unit"]]
+    wide = spark.createDataFrame([], "node long, k int")  # nodes with an enlarged list
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "short": short(pdf)})
+            yield pd.DataFrame({"node": pdf["node"], "short": [np.frombuffer(u).astype(np.float32).tobytes() for u in pdf["unit"]]})
 
     shorts = stage(nodes.mapInPandas(shorten, "node long, short binary"), "shorts")
     for r in range(MOST_ROUNDS):
-        found = first_graph(nodes, n, k, TABLES, seed=r)
-        lists = stage(best_lists(lists.union(found), k), "lists")
+        found = first_graph(nodes, wide, n, k, TABLES, seed=r)
+        lists = stage(best_lists(lists.union(found), wide, k), "lists")
         for _ in range(ROUNDS):
-            lists = stage(best_lists(lists.union(descend(lists, shorts, k)), k), "lists")
+            lists = stage(best_lists(lists.union(descend(lists, shorts, wide, k)), wide, k), "lists")
         groups = connected_components(links_of(lists, nodes, threshold).union(extra))
-        full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_last")).where((F.col("_n") >= k) & (F.col("_last") >= threshold - 1e-3))
-        full = stage(full.select(F.col("u").alias("node")).join(done, "node", "left_anti"), "saturated")
-        if not full.isEmpty():
-            out = exact_links(full, with_groups(nodes, groups), n, threshold).where("a <> b").select("a", "b")
-            groups, extra, done = joined(groups, out), stage(extra.union(out), "missed"), stage(done.union(full), "done")
-        got, missed = audit(nodes, groups, n, threshold, done=done)
+        full = full_lists(lists, wide, k).where(F.col("_last") >= threshold - 1e-3).select(F.col("u").alias("node"), "k").join(done, "node", "left_anti")
+        sizes = stage(groups.groupBy("component").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+        full = stage(full.join(groups, "node", "left").join(sizes, "component", "left").select("node", ((F.col("k") < ENLARGED) & (F.coalesce("_size", F.lit(1)) <= ENLARGED)).alias("_grow")), "saturated")
+        whole = full.where("not _grow").select("node")
+        if not whole.isEmpty():
+            out = exact_links(whole, with_groups(nodes, groups), n, threshold).where("a <> b").select("a", "b")
+            groups, extra, done = joined(groups, out), stage(extra.union(out), "missed"), stage(done.union(whole), "done")
+        grow = full.where("_grow").select("node", F.lit(ENLARGED).alias("k"))
+        if not grow.isEmpty():
+            wide = stage(wide.union(grow), "wide")
+            if r + 1 < MOST_ROUNDS:
+                continue
+        linked, good, missed, asked = audit(with_groups(nodes, groups), done, n, threshold, sample)
+        log.info("round %d: %d of %d asked vectors that have links lack none", r, good, linked)
+        done = stage(done.union(asked), "done")
         if not missed.isEmpty():
             groups, extra = joined(groups, missed), stage(extra.union(missed), "missed")
-        if got >= recall:
+        if good >= recall * linked:
             break
     else:  # the graph doesn't get there: all that is left is compared with all
-        left = stage(nodes.select("node").join(done, "node", "left_anti"), "asked")
+        left = stage(nodes.select("node").join(done, "node", "left_anti"), "unasked")
         groups = joined(groups, exact_links(left, with_groups(nodes, groups), n, threshold).where("a <> b").select("a", "b"))
     members = groups.join(nodes, "node").select("component", "node", "unit", "dim", "many")
     counts = link_counts(members, threshold)
