@@ -90,7 +90,7 @@ def test_near_vectors(spark):
 
 
 def test_toxicity(spark, docs, none):
-    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (2, 1, 0), (99, 0, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(1, 0, 1, "x", 1), (2, 1, 0, "y", 1), (2, 1, 0, "y", 2), (99, 0, 1, None, None), (3, 1, None, "", 0)], "doc_id long, quality int, toxic int, text string, _t int")
     for d, l in ((docs, labels), (docs, labels.limit(0)), (none, labels)):
         out = rows(toxicity.score(d, toxicity.fit(d, l, ~toxicity.held_out())))
         assert len(out) == d.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in out)
@@ -125,17 +125,17 @@ def test_language(docs, none):
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/x", "<p>"), (2, "https://A/x/#f", "<p>"), (3, None, None), (None, "http://a/x", ""), (1, "http://a/x", "<p>")], "page_id long, url string, html string")
     out = rows(warc.resolve_revisits(warc.parse_records(warc.capture_log(pages))))
-    assert len(out) == 4 and {r["status_out"] for r in out} <= {"resolved", "mismatch", "no response", "unverified"}
+    assert len(out) == 5 and {r["status_out"] for r in out} <= {"resolved", "mismatch", "no response", "unverified"}
     odd = spark.createDataFrame([(None, 1), ("", 1), ("WARC/1.1", 1), ("x\r\n\r\ny\r\n\r\nz", 1)], "record string, it int")
     parsed = warc.parse_records(odd)
     assert parsed.count() == 4 and rows(warc.resolve_revisits(parsed)) == []
 
 
 def test_token_counts(docs, none):
-    out = rows(token_counts.count_tokens(docs, edits=token_counts.derived_edits()))
+    out = rows(token_counts.count_tokens(docs, token_counts.derived_edits()))
     assert len(out) == len(DOCS)
     assert next(r for r in out if r["doc_id"] == 1)["tokens_before"] == 0
-    assert rows(token_counts.count_tokens(none, edits=token_counts.derived_edits())) == []
+    assert rows(token_counts.count_tokens(none, token_counts.derived_edits())) == []
 
 
 def test_pipeline(spark, docs):
@@ -146,3 +146,10 @@ def test_pipeline(spark, docs):
             if k + 1 < len(corpus_pipeline.STAGES):
                 assert d.columns == columns
     assert d.columns[:2] == ["doc_id", "piece"]
+
+
+def test_refused_marked_sections_keep_what_follows():
+    from corpusmill.llm.dom import Page
+
+    for section in ("<![y]</p>", "<![ x ]>", "<![foo[x]]>", "<!["):
+        assert "b" in "".join(p[2] for p in Page(f"<p>a</p>\n{section}<p>b</p>").pieces)
