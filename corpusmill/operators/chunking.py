@@ -5,43 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import approx_tokens, strip
+from ..functions.text import strip
+from ..functions.tokens import APPROXIMATE, TokenCounter
 
 # Budgets in tokens, and separators from the coarsest to the finest.
 TARGET, OVERLAP, LEAST = 900, 120, 50
 SEPARATORS = ["\n\n", "\n", ". ", " "]
 
 
-def split_by_headers(docs: DataFrame, *, key: str = "doc_url", body: str = "body") -> DataFrame:
-    """One row a section: key, pos, content, heading_path, and the key's other columns.
+def split_by_headers(docs: DataFrame, *, key: list[str], body: str = "body") -> DataFrame:
+    """One row a section: the documents' columns but for the body, pos, content, heading_path.
 
     Headings are lines of one to three ``#`` and a blank, or nothing, behind them; the heading line stays in the content.
-    Lines before the first heading are a section without a path. All happens within the row, without a shuffle: the
-    places of headings cut the array of lines, and a fold over the headings carries the levels that are open. (The outer
-    explode keeps the optimizer from adding a filter that would compute the sections twice.)
+    Lines before the first heading are a section without a path. The places of headings cut the array of lines within the
+    row; which headings are open at a section comes from windows over the document's sections, by the key that all later
+    windows and merges share. A key stands for one document.
     """
-    lines = F.split(F.col(body), "\n")
-    level = F.expr("transform(_lines, x -> length(regexp_extract(x, '^(#{1,3})( |$)', 1)))")
-    rows = docs.withColumn("_lines", lines).withColumn("_levels", level)
+    rows = docs.withColumn("_lines", F.split(F.col(body), "\n"))
+    rows = rows.withColumn("_levels", F.expr("transform(_lines, x -> length(regexp_extract(x, '^(#{1,3})( |$)', 1)))"))
     rows = rows.withColumn("_heads", F.expr("filter(sequence(0, size(_lines) - 1), i -> _levels[i] > 0 or i = 0)"))
-    # Open levels at each cut; a heading closes its own and deeper ones.
-    fold = """aggregate(_heads, cast(array() as array<struct<i:int,h1:string,h2:string,h3:string>>), (acc, i) -> concat(acc, array(
-        case when _levels[i] = 0 then named_struct('i', i, 'h1', cast(null as string), 'h2', cast(null as string), 'h3', cast(null as string))
-             when _levels[i] = 1 then named_struct('i', i, 'h1', trim(substr(_lines[i], 2)), 'h2', cast(null as string), 'h3', cast(null as string))
-             when _levels[i] = 2 then named_struct('i', i, 'h1', element_at(acc, -1).h1, 'h2', trim(substr(_lines[i], 3)), 'h3', cast(null as string))
-             else named_struct('i', i, 'h1', element_at(acc, -1).h1, 'h2', element_at(acc, -1).h2, 'h3', trim(substr(_lines[i], 4))) end)))"""
-    fold = fold.replace("element_at(acc, -1).h", "try_element_at(acc, -1).h")
-    rows = rows.withColumn("_cuts", F.expr(fold))
-    section = """transform(_cuts, (c, k) -> named_struct(
-        'content', array_join(slice(_lines, c.i + 1, coalesce(try_element_at(_heads, k + 2), size(_lines)) - c.i), '\\n'),
-        'heading_path', nullif(array_join(filter(array(c.h1, c.h2, c.h3), x -> x is not null and x <> ''), ' > '), '')))"""
-    rows = rows.withColumn("_sections", F.expr(section))
+    section = """transform(_heads, (i, k) -> named_struct(
+        'level', _levels[i], 'title', trim(substr(_lines[i], _levels[i] + 1)),
+        'content', array_join(slice(_lines, i + 1, coalesce(try_element_at(_heads, k + 2), size(_lines)) - i), '\\n')))"""
     keep = [c for c in docs.columns if c != body]
-    out = rows.select(*keep, F.posexplode_outer("_sections").alias("pos", "_s")).where("pos is not null")
-    return out.select(*keep, "pos", F.col("_s.content").alias("content"), F.col("_s.heading_path").alias("heading_path"))
+    # (The outer explode keeps the optimizer from adding a filter that would compute the sections twice.)
+    out = rows.withColumn("_sections", F.expr(section)).select(*keep, F.posexplode_outer("_sections").alias("pos", "_s")).where("pos is not null")
+    by = f"over (partition by {', '.join(key)} order by pos rows between unbounded preceding and current row)"
+    last = [f"last(case when _s.level = {n} then struct(pos as at, _s.title as title) end, true) {by} as _h{n}" for n in (1, 2, 3)]
+    out = out.selectExpr(*keep, "pos", "_s.content as content", *last)
+    # A heading closes its own and deeper levels: a deeper one counts if it came later.
+    after = lambda c, *above: f"case when {' and '.join(f'{c}.at > coalesce({a}.at, -1)' for a in above)} then {c}.title end"
+    path = f"array(_h1.title, {after('_h2', '_h1')}, {after('_h3', '_h1', '_h2')})"
+    return out.selectExpr(*keep, "pos", "content", f"nullif(array_join(filter({path}, x -> x is not null and x <> ''), ' > '), '') as heading_path")
 
 
 def recursive_split(text: str, size: int, overlap: int, count: Callable[[str], int], separators: list[str] = SEPARATORS) -> list[str]:
@@ -80,36 +78,29 @@ def recursive_split(text: str, size: int, overlap: int, count: Callable[[str], i
     return out
 
 
-def subsplit_oversized(sections: DataFrame, *, target: int = TARGET, overlap: int = OVERLAP, counter: Callable[[str], int] | None = None) -> DataFrame:
-    """Splits sections over the budget; (pos, part) orders the pieces. Only oversized rows visit a Python worker."""
-    import regex
-
-    from ..functions.text import TOKEN
-
-    count = counter
+def subsplit_oversized(sections: DataFrame, *, target: int = TARGET, overlap: int = OVERLAP, counter: TokenCounter = APPROXIMATE) -> DataFrame:
+    """Splits sections over the budget; (pos, part) orders the pieces. Python sees the text of oversized rows only."""
+    tally = counter.count
 
     @F.pandas_udf("array<string>")
     def split(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tally = count or (lambda t, p=regex.compile(TOKEN): len(p.findall(t)))
         for s in it:
-            yield s.map(lambda t: recursive_split(t, target, overlap, tally))
+            yield s.map(lambda t: recursive_split(t, target, overlap, tally) if isinstance(t, str) else None)
 
-    rows = sections.withColumn("_n", approx_tokens("content"))
-    cols = sections.columns
-    large = rows.where(F.col("_n") > target).select(*[c for c in cols if c != "content"], F.posexplode(split("content")).alias("part", "content"))
-    small = rows.where(F.col("_n") <= target).withColumn("part", F.lit(0))
-    order = [*cols, "part"]
-    return small.select(order).union(large.select(order))
+    keep = [c for c in sections.columns if c != "content"]
+    rows = sections.withColumn("_large", split(F.when(counter.column("content") > target, F.col("content"))))
+    return rows.select(*keep, F.posexplode(F.coalesce("_large", F.array("content"))).alias("part", "content"))
 
 
-def fixed_windows(sections: DataFrame, *, target: int = TARGET) -> DataFrame:
+def fixed_windows(sections: DataFrame, *, key: list[str], target: int = TARGET, counter: TokenCounter = APPROXIMATE) -> DataFrame:
     """A split that stays in the JVM: runs of lines whose running token count falls into one multiple of the budget."""
-    lines = sections.withColumn("_lines", F.split("content", "\n")).withColumn("_sizes", F.transform("_lines", lambda x: approx_tokens(x)))
-    fold = "aggregate(_sizes, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(cast(floor(a.at / {t}) as int)))), a -> a.out)".format(t=target)
-    lines = lines.withColumn("_bins", F.expr(fold))
-    parts = F.expr("transform(array_distinct(_bins), b -> array_join(transform(filter(sequence(0, size(_bins) - 1), i -> _bins[i] = b), i -> _lines[i]), '\\n'))")
-    keep = [c for c in sections.columns if c != "content"]
-    return lines.select(*keep, F.posexplode_outer(parts).alias("part", "content")).where("part is not null")
+    keep = [c for c in sections.columns if c not in ("content", "pos", *key)]
+    by = f"partition by {', '.join(key)}, pos"
+    lines = sections.select(*key, "pos", *keep, F.posexplode(F.split("content", "\n")).alias("_i", "_line")).withColumn("_n", counter.column("_line"))
+    bins = lines.selectExpr("*", f"floor((sum(_n) over ({by} order by _i) - _n) / {target}) as _bin")
+    runs = bins.groupBy(*key, "pos", "_bin").agg(F.sort_array(F.collect_list(F.struct("_i", "_line"))).alias("_lines"), *[F.first(c).alias(c) for c in keep])
+    content = F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n")
+    return runs.selectExpr("*", f"cast(row_number() over ({by} order by _bin) - 1 as int) as part").select(*key, "pos", *keep, "part", content.alias("content"))
 
 
 def strip_and_drop(pieces: DataFrame) -> DataFrame:
@@ -120,36 +111,48 @@ def _fold(rows: DataFrame, key: list[str], group: str) -> DataFrame:
     """Joins the contents of each group in order, with the first and last path."""
     item = F.struct("pos", "part", "content", "heading_path")
     out = rows.groupBy(*key, group).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    return out.select(*key, group, F.array_join(F.transform("_items", lambda x: x["content"]), "\n\n").alias("content"), F.get("_items", F.lit(0))["heading_path"].alias("heading_path"), F.element_at("_items", -1)["heading_path"].alias("_last_path"))
+    content = F.array_join(F.transform("_items", lambda x: x["content"]), "\n\n")
+    first, last = F.get("_items", F.lit(0))["heading_path"], F.element_at("_items", -1)["heading_path"]
+    return out.select(*key, group, content.alias("content"), first.alias("heading_path"), last.alias("_last_path"))
 
 
-def merge_small(pieces: DataFrame, *, key: list[str], least: int = LEAST, tokens: Callable[[str], Column] = approx_tokens) -> DataFrame:
+def merge_small(pieces: DataFrame, *, key: list[str], least: int = LEAST, counter: TokenCounter = APPROXIMATE) -> DataFrame:
     """A piece under ``least`` tokens joins the chunk before it, which keeps its path; islands instead of a loop."""
-    by = ", ".join(key)
-    rows = pieces.withColumn("_t", tokens("content"))
-    rows = rows.selectExpr("*", f"row_number() over (partition by {by} order by pos, part) as _k")
-    rows = rows.selectExpr("*", f"sum(case when _k = 1 or _t >= {least} then 1 else 0 end) over (partition by {by} order by pos, part rows between unbounded preceding and current row) as grp")
+    by = f"partition by {', '.join(key)} order by pos, part"
+    rows = pieces.withColumn("_t", counter.column("content"))
+    rows = rows.selectExpr("*", f"row_number() over ({by}) as _k")
+    starts = f"case when _k = 1 or _t >= {least} then 1 else 0 end"
+    rows = rows.selectExpr("*", f"sum({starts}) over ({by} rows between unbounded preceding and current row) as grp")
     return _fold(rows, key, "grp").drop("_last_path")
 
 
-def merge_leading(chunks: DataFrame, *, key: list[str], least: int = LEAST, tokens: Callable[[str], Column] = approx_tokens) -> DataFrame:
+def merge_leading(chunks: DataFrame, *, key: list[str], least: int = LEAST, counter: TokenCounter = APPROXIMATE) -> DataFrame:
     """A first chunk under ``least`` tokens goes in front of the second, which keeps its own path; done once."""
-    by = ", ".join(key)
-    rows = chunks.withColumn("_t", tokens("content"))
-    rows = rows.selectExpr("*", f"count(*) over (partition by {by}) as _n", f"max(case when grp = 1 then _t end) over (partition by {by}) as _first")
-    rows = rows.withColumn("_g", F.expr(f"case when grp = 1 and _n > 1 and _first < {least} then 2 else grp end")).withColumn("pos", F.col("grp")).withColumn("part", F.lit(0))
-    out = _fold(rows, key, "_g")
+    by = f"over (partition by {', '.join(key)})"
+    rows = chunks.withColumn("_t", counter.column("content"))
+    rows = rows.selectExpr("*", f"count(*) {by} as _n", f"max(case when grp = 1 then _t end) {by} as _first")
+    rows = rows.withColumn("_g", F.expr(f"case when grp = 1 and _n > 1 and _first < {least} then 2 else grp end"))
+    out = _fold(rows.withColumn("pos", F.col("grp")).withColumn("part", F.lit(0)), key, "_g")
     return out.select(*key, F.col("_g").alias("grp"), "content", F.col("_last_path").alias("heading_path"))
 
 
-def chunk_documents(docs: DataFrame, *, key: list[str], body: str = "body", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST, splitter: str = "none") -> DataFrame:
+def chunk_documents(
+    docs: DataFrame, *, key: list[str], body: str = "body", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST,
+    splitter: str = "recursive", counter: TokenCounter = APPROXIMATE,
+) -> DataFrame:
     """Chunks of every document: key, chunk_index from 0, content, heading_path, token_count.
 
     splitter: ``recursive`` (overlapping pieces, Arrow), ``windows`` (fixed windows in the JVM) or ``none``. One shuffle
-    deals the pieces by the key; all windows and merges share it.
+    deals the sections by the key; all windows and merges share it.
     """
-    sections = split_by_headers(docs.select(*key, F.col(body).alias("_body")), key=key[0], body="_body")
-    pieces = {"recursive": lambda s: subsplit_oversized(s, target=target, overlap=overlap), "windows": lambda s: fixed_windows(s, target=target), "none": lambda s: s.withColumn("part", F.lit(0))}[splitter](sections)
-    merged = merge_leading(merge_small(strip_and_drop(pieces), key=key, least=least), key=key, least=least)
-    by = ", ".join(key)
-    return merged.selectExpr(*key, f"cast(row_number() over (partition by {by} order by grp) - 1 as int) as chunk_index", "content", "heading_path").withColumn("token_count", approx_tokens("content"))
+    sections = split_by_headers(docs.select(*key, F.col(body).alias("_body")), key=key, body="_body")
+    if splitter == "recursive":
+        pieces = subsplit_oversized(sections, target=target, overlap=overlap, counter=counter)
+    elif splitter == "windows":
+        pieces = fixed_windows(sections, key=key, target=target, counter=counter)
+    else:
+        pieces = sections.withColumn("part", F.lit(0))
+    small = merge_small(strip_and_drop(pieces), key=key, least=least, counter=counter)
+    merged = merge_leading(small, key=key, least=least, counter=counter)
+    index = f"cast(row_number() over (partition by {', '.join(key)} order by grp) - 1 as int) as chunk_index"
+    return merged.selectExpr(*key, index, "content", "heading_path").withColumn("token_count", counter.column("content"))

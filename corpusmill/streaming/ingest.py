@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tokens import APPROXIMATE, TokenCounter
 from ..operators.chunking import chunk_documents
 from ..operators.store import VersionedStore
 
@@ -16,14 +17,14 @@ def stream_documents(spark: SparkSession, path: str, schema: str, files_per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def upsert_stream(docs: DataFrame, store: VersionedStore, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+def upsert_stream(docs: DataFrame, store: VersionedStore, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None, counter: TokenCounter = APPROXIMATE) -> StreamingQuery:
     """Each micro-batch of (doc_url, doc_title, section, body) becomes chunks in the store.
 
     A repeated batch changes nothing: the upsert is idempotent, and the checkpoint remembers the files that are done.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        chunks = chunk_documents(batch, key=["doc_url", "doc_title", "section"])
+        chunks = chunk_documents(batch, key=["doc_url", "doc_title", "section"], counter=counter)
         chunks = embed(chunks) if embed else chunks.withColumn("embedding", F.array().cast("array<float>"))
         store.upsert(chunks.withColumn("metadata", F.lit("{}")).withColumn("pos", F.col("chunk_index")))
 
