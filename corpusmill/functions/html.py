@@ -105,7 +105,7 @@ class _Markdown(TolerantParser):
     def __init__(self, html: str, within: str | None):
         super().__init__(convert_charrefs=True)
         self.out, self.stack, self.skip, self.pre, self.href, self.lists, self.cells = [], [], 0, 0, [], [], None
-        self.within, self.inside = within, within is None
+        self.within, self.inside = within, int(within is None)  # how many elements of that name are open
         self.feed(html)
         self.close()
 
@@ -126,14 +126,14 @@ class _Markdown(TolerantParser):
             while self.stack:
                 t, n = self.stack.pop()
                 self.skip -= n
+                self.inside -= t == self.within
                 if t in ("b", "strong"):
                     self._put("**")
                 if t == "p":
                     break
         self.stack.append((tag, noise))
         self.skip += noise
-        if tag == self.within:
-            self.inside = True
+        self.inside += tag == self.within
         if tag == "table":
             self._put("\n\n")
         elif tag == "tr":
@@ -186,8 +186,7 @@ class _Markdown(TolerantParser):
             elif t in BLOCKS and t not in ("li",):
                 self._put("\n\n")
             self.skip -= n
-            if t == self.within:
-                self.inside = False
+            self.inside -= t == self.within
             if t == tag:
                 break
 

@@ -32,7 +32,7 @@ def url_slug(url: Column | str, base: str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Capital first letter in each run of letters; a run ends at any other character, as in ``Don'T``."""
     runs = F.regexp_extract_all(col(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
 
 
 def title_from_url(url: Column | str) -> Column:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Provider = Callable[[list[str]], list[list[float]]]
+#: Gives a vector a text in their order, or (index, vector) pairs in any order.
+Provider = Callable[[list[str]], list]
 
 # USD per million tokens, default dimension and batch.
 PRICES = {"text-embedding-3-small": 0.02, "text-embedding-3-large": 0.13}
@@ -51,6 +52,13 @@ def with_retry(provider: Provider, texts: list[str], attempts: int = 5, least: f
     return []
 
 
+def by_index(items: list) -> list[list[float]]:
+    """Vectors in the order of their texts, where a provider says which text each belongs to."""
+    if items and isinstance(items[0], tuple):
+        return [v for _, v in sorted(items, key=lambda x: x[0])]
+    return items
+
+
 def embed_texts(rows: DataFrame, provider: Provider, *, text: str = "content", dimension: int = DIMENSION, batch: int = BATCH) -> DataFrame:
     """Adds ``embedding``. Texts go to the provider in batches of a partition's rows; a wrong number or size ends the run."""
 
@@ -59,7 +67,7 @@ def embed_texts(rows: DataFrame, provider: Provider, *, text: str = "content", d
         for s in it:
             texts, out = s.tolist(), []
             for k in range(0, len(texts), batch):
-                got = with_retry(provider, texts[k : k + batch])
+                got = by_index(with_retry(provider, texts[k : k + batch]))
                 if len(got) != len(texts[k : k + batch]) or any(len(v) != dimension for v in got):
                     raise ValueError("the provider broke its contract: one vector of the given size a text")
                 out += got
@@ -76,7 +84,7 @@ def batch_plan(rows: DataFrame, batch: int = BATCH, *, order: str) -> DataFrame:
 
 def estimate_cost(total_tokens, model: str):
     """USD of so many tokens (a column or a number)."""
-    if model not in PRICES:
+    if model not in PRICES:  # fixed value: the message of the contract
         raise ValueError(f"precio desconocido para el modelo {model}")
     return total_tokens / 1_000_000 * PRICES[model]
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import report_cell
+from ..staging import stage
 from .embedding import estimate_cost
+from .headings import EMPTY_HEADING_LIMIT
 
 
 def token_stats(chunks: DataFrame, tokens: str = "token_count") -> DataFrame:
@@ -39,19 +41,27 @@ def index_dry_run(chunks: DataFrame, model: str, *, section: str = "section") ->
 def report_listing(documents: DataFrame) -> DataFrame:
     """Rows of the report, numbered in (section, url) order.
 
-    Sections are numbered on their own and shifted by the documents of earlier sections.
+    Rows are dealt by ranges of that order, however large a section is; each range is numbered on its own and shifted by
+    the rows of earlier ranges, of which there are as many as shuffle partitions.
     """
-    per = documents.groupBy("section").agg(F.count(F.lit(1)).alias("_n")).selectExpr("section as _s", "sum(_n) over (order by section) - _n as _before")
-    rows = documents.selectExpr("*", "row_number() over (partition by section order by url) as _k").join(F.broadcast(per), F.col("section") == F.col("_s"))
+    order = "section, url, title, word_count"
+    ranged = documents.select("section", "word_count", "title", "url").repartitionByRange("section", "url", "title")
+    ranged = stage(ranged.withColumn("_range", F.spark_partition_id()), "listing")
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).selectExpr("_range", "sum(_n) over (order by _range) - _n as _before")
+    rows = ranged.selectExpr("*", f"row_number() over (partition by _range order by {order}) as _k").join(before, "_range")
     return rows.select((F.col("_before") + F.col("_k")).alias("n"), "section", "word_count", report_cell("title").alias("title"), "url")
 
 
 def render_report(manifest: dict, sections: list, words: dict, empty: dict, titles: list, listing: list, failed: list) -> str:
     """Markdown of collected figures; listings are those of a bounded sample."""
-    verdict = f"> [!{empty['severity']}]\n> **{empty['empty_pct']:.1f}%** of the documents have an empty heading."
-    out = ["# Dataset report", "", "## Figures", "", verdict, "", "| Figure | Value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in manifest.items()], ""]
+    share = f"**{empty['empty_pct']:.1f}%** of the documents have an empty heading (limit {EMPTY_HEADING_LIMIT:.0f}%)."
+    verdict = f"> [!{empty['severity']}]\n> {share}"
+    out = ["# Dataset report", "", "Figures of one run, made from its manifest and the Markdown that it left.", ""]
+    out += ["## Figures", "", verdict, "", "| Figure | Value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in manifest.items()], ""]
     out += ["## Sections", "", "| Section | In manifest | With Markdown |", "| --- | ---: | ---: |", *[f"| `{r['section']}` | {r['in_manifest']} | {r['with_markdown']} |" for r in sections], ""]
-    out += ["## Words", "", "| Figure | Value |", "| --- | ---: |", *[f"| {k} | {v} |" for k, v in words.items()], ""]
+    out += ["## Words of documents with Markdown", "", "| Figure | Value |", "| --- | ---: |", *[f"| {k} | {v} |" for k, v in words.items()], ""]
+    out += ["## What an empty heading is", "", "1. Nothing but blank lines stands between it and the next heading.", "2. The next heading has the same level or a higher one.", ""]
+    out += ["### Why the second condition", "", "A parent heading that goes straight to its first child is no gap; without the condition it would count as one.", "", share, ""]
     out += ["## Empty headings", "", verdict, "", "| Figure | Value |", "| --- | ---: |", f"| Documents | {empty['docs_with_empty']} / {empty['docs']} |", f"| Headings | {empty['empty_total']} |", ""]
     if titles:
         out += ["| Frequency | Title |", "| ---: | --- |", *[f"| {r['n']} | `{r['title']}` |" for r in titles], ""]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
+from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,7 @@ def balanced_sample(candidates: DataFrame, target: int, *, first: str, second: s
     Each stratum gives its first members in hash order (a bounded top-k, so that no stratum is sorted as a whole); the
     number of sections is two, and their counts are all that reaches the driver.
     """
+    candidates = candidates.drop("ord")
     n = {r[0]: r[1] for r in candidates.where(F.col("section").isin(first, second)).groupBy("section").count().collect()}
     a, b = quotas(target, share, n.get(first, 0), n.get(second, 0))
     parts = [candidates.where(F.col("section") == s).orderBy(hash_order(seed, "url"), "url").limit(k) for s, k in ((first, a), (second, b))]
@@ -44,17 +45,31 @@ def balanced_sample(candidates: DataFrame, target: int, *, first: str, second: s
     return picked.withColumn("_o", hash_order(seed + "-order", "url")).selectExpr("* except (_o)", "row_number() over (order by _o, url) as ord")
 
 
-def robots_allowed(url_path: Column | str, rules: list[tuple[str, bool]]) -> Column:
-    """Whether a path may be fetched: the longest rule (prefix, allowed) that it starts with decides; none allows.
+def parse_robots(text: str | None, agent: str) -> list[tuple[str, bool]]:
+    """Rules (prefix, allowed) of a robots file for an agent, in their order: those of the first group that names it, else
+    those of the group for all. A rule that disallows nothing allows all; null, no file, gives no rules."""
+    parser = RobotFileParser()
+    parser.parse((text or "").splitlines())
+    groups = [*parser.entries, *([parser.default_entry] if parser.default_entry else [])]
+    found = next((g for g in groups if g.applies_to(agent)), None)
+    return [("" if r.path == "*" else r.path, r.allowance) for r in found.rulelines] if found else []
 
-    Of two rules of one length, the allowing one wins. An empty rule list (no robots file) allows everything.
-    """
+
+def robots_allowed(url_path: Column | str, rules: list[tuple[str, bool]]) -> Column:
+    """Whether a path may be fetched: the first rule (prefix, allowed) that it starts with decides; none allows."""
     out = F.lit(True)
-    for prefix, allowed in sorted((r for r in rules if r[0]), key=lambda r: (len(r[0]), r[1])):
+    for prefix, allowed in reversed(rules):
         out = F.when(col(url_path).startswith(prefix), F.lit(allowed)).otherwise(out)
     return out
 
 
+def cast_section(rows: DataFrame, sections: tuple[str, ...]) -> DataFrame:
+    """The rows, if all their sections are among the wanted ones."""
+    if bad := rows.where(~F.coalesce(F.col("section").isin(*sections), F.lit(False))).select("section").first():
+        raise ValueError(f"unknown section {bad[0]}")
+    return rows
+
+
 def assert_allowed(selected: DataFrame, allowed: Column, order: str = "ord") -> DataFrame:
     bad = selected.where(~allowed)
     examples = [r["url"] for r in bad.orderBy(order).limit(3).collect()]
@@ -118,7 +133,3 @@ def reprocess(manifest: DataFrame, pages: DataFrame) -> DataFrame:
         pick("error_message", F.concat_ws(": ", "_et", "_e"), null).alias("error_message"),
         F.when(none, "preserved").when(bad, "fail").otherwise("ok").alias("outcome"),
     )
-
-
-def batches(n: int, size: int) -> int:
-    return math.ceil(n / size)

@@ -18,12 +18,17 @@ class SourceAdapter(Protocol):
     def fetch(self, selected: DataFrame) -> DataFrame: ...
 
 
+_LOCS = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _corrupt_record string"
+
+
 def parse_sitemaps(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row an entry: is_index, loc, ord, with the other columns. Repeats and order stay, blank entries go."""
+    """One row an entry: is_index, loc, ord, with the other columns. Repeats and order stay, blank entries go, and so do
+    texts that are no well-formed XML: they end neither the job nor the run."""
+    parsed = F.from_xml(F.regexp_replace(F.col(xml), r"(?s)^\s+", ""), _LOCS, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
     is_index = F.col(xml).rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<([A-Za-z0-9]+:)?sitemapindex[\s>]")
-    locs = F.when(is_index, F.xpath(xml, F.lit("//sitemap/loc/text()"))).otherwise(F.xpath(xml, F.lit("//url/loc/text()")))
     keep = [c for c in sitemaps.columns if c != xml]
-    rows = sitemaps.select(*keep, is_index.alias("is_index"), F.posexplode(locs).alias("ord", "loc"))
+    rows = sitemaps.select(*keep, is_index.alias("is_index"), parsed.alias("_x")).where("_x is not null and _x._corrupt_record is null")
+    rows = rows.select(*keep, "is_index", F.posexplode(F.expr("case when is_index then _x.sitemap.loc else _x.url.loc end")).alias("ord", "loc"))
     return rows.withColumn("loc", strip("loc")).where("loc <> ''")
 
 
@@ -86,5 +91,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path, multiLine=True)
 
 
+def read_manifest_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of a manifest that ``sinks.write_manifest`` wrote, with their place ``ord``."""
+    fields = MANIFEST.split("array<struct<")[1].removesuffix(">>").replace(":", " ")
+    return spark.read.schema(f"ord int, {fields}").json(f"{path}/documents")
+
+
 def manifest_documents(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.posexplode("documents").alias("ord", "d")).select("ord", "d.*")

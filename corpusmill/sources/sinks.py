@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import front_matter
 
 
-def write_raw_pages(pages: DataFrame, path: str) -> None:
-    """Raw pages by slug, before any extraction, so that failed ones keep theirs; a repeated slug is one row."""
-    pages.select("slug", "url", "html").dropDuplicates(["slug"]).write.mode("overwrite").parquet(path)
+def write_raw_pages(pages: DataFrame, path: str, order: str = "page_id") -> None:
+    """Raw pages by slug, before any extraction, so that failed ones keep theirs; of a repeated slug, the last one."""
+    last = F.max_by(F.struct("url", "html"), F.struct(order, "url", "html")).alias("_p")
+    pages.groupBy("slug").agg(last).select("slug", "_p.*").write.mode("overwrite").parquet(path)
 
 
 def markdown_files(docs: DataFrame) -> DataFrame:
@@ -18,17 +19,16 @@ def markdown_files(docs: DataFrame) -> DataFrame:
     return docs.select("slug", F.concat(front_matter("url", "title", "section", "scraped_at", "word_count"), F.col("body"), F.lit("\n")).alias("md"))
 
 
-def manifest_row(documents: DataFrame, discovered: int, seconds: float, order: str = "ord") -> DataFrame:
-    """The whole result as one JSON text, documents in their order.
+_DOCUMENT = ["url", "title", "section", "html_raw_path", "markdown_path", "scraped_at", "word_count", "status", "error_message"]
 
-    The format asks for one value; a run's documents are those of a bounded sample. A large set is kept as a table.
-    """
-    cols = ["url", "title", "section", "html_raw_path", "markdown_path", "scraped_at", "word_count", "status", "error_message"]
-    item = F.struct(F.col(order).alias("_o"), F.struct(*cols).alias("d"))
-    one = documents.agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["d"]).alias("documents"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("success", "total_downloaded"), ("failed", "total_failed"), ("skipped", "total_skipped"))])
-    whole = F.struct(F.lit(discovered).alias("total_discovered"), "total_downloaded", "total_failed", "total_skipped", F.lit(float(seconds)).alias("duration_seconds"), "documents")
-    return one.select(F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
 
+def manifest_counters(documents: DataFrame, discovered: int, seconds: float) -> DataFrame:
+    counts = [F.count_if(F.col("status") == s).alias(f"total_{n}") for s, n in (("success", "downloaded"), ("failed", "failed"), ("skipped", "skipped"))]
+    return documents.agg(F.lit(discovered).alias("total_discovered"), *counts, F.lit(float(seconds)).alias("duration_seconds"))
 
-def write_manifest(documents: DataFrame, path: str, discovered: int, seconds: float) -> None:
-    manifest_row(documents, discovered, seconds).write.mode("overwrite").text(path)
+
+def write_manifest(documents: DataFrame, path: str, discovered: int, seconds: float, order: str = "ord") -> None:
+    """Counters as one JSON line in ``counters``, documents as JSON lines in ``documents``, dealt by ranges of their order."""
+    rows = documents.select(F.col(order).alias("ord"), *_DOCUMENT).repartitionByRange("ord").sortWithinPartitions("ord")
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/documents")
+    manifest_counters(documents, discovered, seconds).write.mode("overwrite").json(f"{path}/counters")
