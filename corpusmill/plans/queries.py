@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
+from ..functions.tokens import vocabulary_counter
 from ..operators import chunking, embedding, headings, reporting, retrieval, selection, store
 from ..sources import documents as S
 from ..sources import sinks
+from ..staging import new_path
 from ..streaming import ingest
 from . import inputs as I  # noqa: E741
 from .inputs import sql_strip, sql_tokens, sql_words, table
@@ -56,18 +58,25 @@ def classify_section(spark, d):
     return I.candidates(spark, d)
 
 
-_RULES = [("/en/", False), ("/en/1", True), ("/de/9", False)]
+_ROBOTS = """User-agent: other
+Disallow: /
+
+User-agent: *
+Allow: /en/1
+Disallow: /en/
+Disallow: /de/9
+"""
 _PATH = "regexp_extract(url, '^https?://[^/]+(/.*)$', 1)"
 
 
 @query(f"WITH {I.CANDIDATES} SELECT page_id, url, CASE WHEN starts_with({_PATH}, '/en/1') THEN true WHEN starts_with({_PATH}, '/de/9') OR starts_with({_PATH}, '/en/') THEN false ELSE true END AS allowed FROM c")
 def robots_filter(spark, d):
-    return I.candidates(spark, d).select("page_id", "url", selection.robots_allowed(F.expr(_PATH), _RULES).alias("allowed"))
+    return I.candidates(spark, d).select("page_id", "url", selection.robots_allowed(F.expr(_PATH), selection.parse_robots(_ROBOTS, "mill/1.0")).alias("allowed"))
 
 
-@query(f"WITH {I.CANDIDATES} SELECT url FROM c WHERE starts_with({_PATH}, '/en/') AND NOT starts_with({_PATH}, '/en/1') ORDER BY page_id LIMIT 3")
+@query(f"WITH {I.CANDIDATES} SELECT url FROM c WHERE starts_with({_PATH}, '/en/') AND NOT starts_with({_PATH}, '/en/1') OR starts_with({_PATH}, '/de/9') ORDER BY page_id LIMIT 3")
 def forbidden_examples(spark, d):
-    return I.candidates(spark, d).where(~selection.robots_allowed(F.expr(_PATH), [r for r in _RULES if "en" in r[0]])).orderBy("page_id").limit(3).select("url")
+    return I.candidates(spark, d).where(~selection.robots_allowed(F.expr(_PATH), selection.parse_robots(_ROBOTS, "mill/1.0"))).orderBy("page_id").limit(3).select("url")
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(replace(url, 'https:/', ''), '/+$', ''), '/', '__', 'g') AS slug, length(html) AS chars FROM pages")
@@ -140,10 +149,24 @@ def render_summary(spark, d):
     return I.documents_found(spark, d).select("doc_id", T.short_title("title", 3).alias("title"))
 
 
-@query("WITH a AS (SELECT url, length(html) AS chars, count(*) AS n FROM pages GROUP BY ALL) SELECT url, max(chars) AS chars, CAST(sum(n) AS BIGINT) AS times FROM a GROUP BY url")
+_SLUG = "regexp_replace(regexp_replace(replace(url, 'https:/', ''), '/+$', ''), '/', '__', 'g')"
+
+
+@query(f"SELECT {_SLUG} AS slug, arg_max(url, page_id) AS url, length(arg_max(html, page_id)) AS chars FROM pages GROUP BY ALL")
 def write_raw_html(spark, d):
-    """Raw pages by address as they are stored: one row an address."""
-    return table(spark, d, "pages").groupBy("url").agg(F.max(F.length("html")).alias("chars"), F.count(F.lit(1)).alias("times"))
+    """Raw pages as the sink leaves them: one row a slug, the last page's."""
+    path = new_path(spark, "raw")
+    sinks.write_raw_pages(table(spark, d, "pages").select("page_id", T.url_slug("url", I.BASE).alias("slug"), "url", "html"), path)
+    return spark.read.parquet(path).select("slug", "url", F.length("html").alias("chars"))
+
+
+@query(f"WITH {I.FOUND} SELECT doc_id AS ord, url, title, section, word_count, status FROM u")
+def write_manifest(spark, d):
+    """A manifest's documents as they are read back."""
+    path, null = new_path(spark, "manifest"), F.lit(None).cast("string")
+    docs = I.documents_found(spark, d).withColumns({c: null for c in ("html_raw_path", "markdown_path", "scraped_at", "error_message")})
+    sinks.write_manifest(docs, path, 1, 0.0, order="doc_id")
+    return S.read_manifest_documents(spark, path).select(F.col("ord").cast("long").alias("ord"), "url", "title", "section", "word_count", "status")
 
 
 # Scalar functions
@@ -167,9 +190,9 @@ def clean_markdown(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_markdown(noisy).alias("md"))
 
 
-@query(f"SELECT doc_id, {sql_strip("replace(' ' || substr(text, 1, 40) || ' ¶ ', '¶', '')")} AS title FROM documents")
+@query(f"SELECT doc_id, {sql_strip("replace(' ' || text || ' ¶ ', '¶', '')")} AS title FROM documents")
 def clean_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean_title(F.concat(F.lit(" "), F.substring("text", 1, 40), F.lit(" ¶ "))).alias("title"))
+    return table(spark, d, "documents").select("doc_id", T.clean_title(F.concat(F.lit(" "), F.col("text"), F.lit(" ¶ "))).alias("title"))
 
 
 @query(f"SELECT doc_id, CAST({sql_words('text')} AS INT) AS words FROM documents")
@@ -224,46 +247,58 @@ def count_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", T.approx_tokens("text").alias("tokens"))
 
 
+@query()
+def count_tokens_vocabulary(spark, d):
+    """By a vocabulary file; checked against the tokenizer itself."""
+    import public_tokenizers
+
+    counter = vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    return table(spark, d, "documents").select("doc_id", counter.column("text").alias("tokens"))
+
+
+def _sections(spark, d):
+    return chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key=["doc_id"])
+
+
 @query(f"WITH {I.SECTIONS} SELECT doc_id, pos, content, heading_path FROM s")
 def split_by_headers(spark, d):
-    return chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id").select("doc_id", "pos", "content", "heading_path")
+    return _sections(spark, d).select("doc_id", "pos", "content", "heading_path")
 
 
 @query(f"WITH {I.SECTIONS} SELECT heading_path, count(*) AS sections FROM s GROUP BY ALL")
 def heading_path(spark, d):
-    return chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id").groupBy("heading_path").agg(F.count(F.lit(1)).alias("sections"))
+    return _sections(spark, d).groupBy("heading_path").agg(F.count(F.lit(1)).alias("sections"))
 
 
-@query()
+@query(f"WITH {I.SECTIONS}, {I.sql_split(200, 40, 'w0')} SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id, pos ORDER BY ord) - 1 AS INT) AS part, content FROM w0")
 def subsplit_oversized(spark, d):
-    s = chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id")
-    return chunking.subsplit_oversized(s, target=200, overlap=40).select("doc_id", "pos", "part", "content")
+    return chunking.subsplit_oversized(_sections(spark, d), target=200, overlap=40).select("doc_id", "pos", "part", "content")
 
 
 @query(f"""WITH {I.SECTIONS}, a AS (SELECT doc_id, pos, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS i FROM s),
 r AS (SELECT *, (sum({sql_tokens("line")}) OVER (PARTITION BY doc_id, pos ORDER BY i) - {sql_tokens("line")}) // 200 AS bin FROM a)
 SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY doc_id, pos ORDER BY bin) - 1 AS INT) AS part, string_agg(line, chr(10) ORDER BY i) AS content FROM r GROUP BY doc_id, pos, bin""")
 def fixed_windows(spark, d):
-    s = chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id")
-    return chunking.fixed_windows(s, target=200).select("doc_id", "pos", "part", "content")
+    return chunking.fixed_windows(_sections(spark, d), key=["doc_id"], target=200).select("doc_id", "pos", "part", "content")
 
 
 @query(f"WITH {I.SECTIONS}, a AS (SELECT doc_id, pos, {sql_strip('content')} AS content FROM s) SELECT * FROM a WHERE content <> ''")
 def strip_drop_empty(spark, d):
-    s = chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id")
-    return chunking.strip_and_drop(s).select("doc_id", "pos", "content")
+    return chunking.strip_and_drop(_sections(spark, d)).select("doc_id", "pos", "content")
+
+
+def _merged(spark, d):
+    return chunking.merge_small(chunking.strip_and_drop(chunking.subsplit_oversized(_sections(spark, d))), key=["doc_id"])
 
 
 @query(f"WITH {I.MERGED} SELECT doc_id, grp, content, heading_path FROM m")
 def merge_small(spark, d):
-    s = chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id").withColumn("part", F.lit(0))
-    return chunking.merge_small(chunking.strip_and_drop(s), key=["doc_id"]).select("doc_id", F.col("grp"), "content", "heading_path")
+    return _merged(spark, d).select("doc_id", "grp", "content", "heading_path")
 
 
 @query(f"WITH {I.CHUNKS} SELECT doc_id, g2 AS grp, content, heading_path FROM y")
 def merge_leading(spark, d):
-    s = chunking.split_by_headers(I.markdown(spark, d).select("doc_id", "body"), key="doc_id").withColumn("part", F.lit(0))
-    return chunking.merge_leading(chunking.merge_small(chunking.strip_and_drop(s), key=["doc_id"]), key=["doc_id"]).select("doc_id", "grp", "content", "heading_path")
+    return chunking.merge_leading(_merged(spark, d), key=["doc_id"]).select("doc_id", "grp", "content", "heading_path")
 
 
 @query(f"WITH {I.CHUNKS} SELECT doc_id, chunk_index, content, heading_path, token_count FROM k")
@@ -276,11 +311,14 @@ def chunk_index(spark, d):
     return I.chunks(spark, d).groupBy("doc_id").agg(F.max("chunk_index").alias("last_index"), F.count(F.lit(1)).alias("chunks"))
 
 
-@query("SELECT doc_id, 'https://x.example.org/' || doc_id AS url, 0 AS chunk_index FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 9 <> 0 AND text <> ''")
+_LOADED = "b AS (SELECT doc_id, lang, source, regexp_replace(text || chr(10), '^\\n+', '') AS body FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 9 <> 0)"
+
+
+@query(f"WITH {I.sql_chunks(_LOADED)} SELECT doc_id, 'https://x.example.org/' || doc_id AS url, chunk_index, token_count FROM k")
 def load_and_chunk(spark, d):
-    """Good files only; bodies without headings are one chunk each."""
+    """Good files only; their bodies have no headings and are split by the budget."""
     good = S.good_documents(S.load_markdown(I.raw_files(spark, d)), mode="permissive")
-    return chunking.chunk_documents(good, key=["doc_id", "url"]).select("doc_id", "url", "chunk_index")
+    return chunking.chunk_documents(good, key=["doc_id", "url"]).select("doc_id", "url", "chunk_index", "token_count")
 
 
 # Aggregations
@@ -443,35 +481,51 @@ def batch_plan(spark, d):
     return embedding.batch_plan(table(spark, d, "documents"), order="doc_id").withColumn("texts", F.col("texts").cast("long"))
 
 
-@query("SELECT vec_id, 'no chunk' AS breach FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT vec_id, 'no vector' FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id, 'dimension' FROM embeddings WHERE vec_id % 5 <> 0 AND len(embedding) <> 63")
+@query("""WITH c AS (SELECT doc_id AS vec_id FROM labels), v AS (SELECT vec_id, len(CASE WHEN label = 0 THEN embedding[1:32] ELSE embedding END) AS n FROM embeddings)
+SELECT vec_id, 'no vector' AS breach FROM c ANTI JOIN v USING (vec_id) UNION ALL SELECT vec_id, 'no chunk' FROM v ANTI JOIN c USING (vec_id) UNION ALL SELECT vec_id, 'dimension' FROM v WHERE n <> 64""")
 def embed_contract(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "embedding")
-    out = embedding.contract_breaches(v.where("vec_id % 7 <> 0").select("vec_id"), v.where("vec_id % 5 <> 0"), 63, ["vec_id"])
-    return out.where("breach <> 'no chunk'").union(v.where("vec_id % 7 = 0").select("vec_id", F.lit("no chunk").alias("breach"))).union(v.where("vec_id % 35 = 0").select("vec_id", F.lit("no vector").alias("breach")))
+    """Labelled documents as chunks, all vectors as theirs; those of one label are cut short."""
+    short = F.when(F.col("label") == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    vectors = table(spark, d, "embeddings").select("vec_id", short.alias("embedding"))
+    return embedding.contract_breaches(table(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), vectors, 64, ["vec_id"])
 
 
 # Search (an extension)
-@query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 9) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+# Queries are all rows whose id is divisible by 50; they meet all rows.
+def _vector_lists(spark, d, k):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.vector_topk(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v, k, id_col="vec_id", vec_col="embedding")
+
+
+def _trigram_lists(spark, d, k):
+    t = table(spark, d, "documents").select("doc_id", "text")
+    return retrieval.trigram_topk(t.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), t, k, id_col="doc_id", text_col="text")
+
+
+_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank"
+_VECTORS = f"""v AS (SELECT query_id, id, score, {_BEST} FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0))"""
+_GRAMS = "list_distinct(flatten(list_transform(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_TRIGRAMS = f"""g AS (SELECT doc_id, text, {_GRAMS} AS a FROM documents),
+t AS (SELECT query_id, id, score, {_BEST} FROM (SELECT query_id, id, round(coalesce(n / nullif(x + y - n, 0), 0), 9) AS score FROM
+  (SELECT q.doc_id AS query_id, r.doc_id AS id, len(list_intersect(q.a, r.a)) AS n, len(q.a) AS x, len(r.a) AS y FROM g q, g r WHERE q.doc_id % 50 = 0)))"""
+
+
+@query(f"WITH {_VECTORS} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM v WHERE rank <= 10")
 def vector_topk(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id = 0").select("embedding").first()[0]
-    return retrieval.vector_topk(v, q, 10, id_col="vec_id", vec_col="embedding").withColumn("score", F.round("score", 9))
+    return _vector_lists(spark, d, 10)
 
 
-@query("""WITH g AS (SELECT doc_id, list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS a FROM documents),
-q AS (SELECT list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS b FROM benchmark WHERE item_id = 0)
-SELECT doc_id, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS score FROM g, q ORDER BY score DESC, doc_id LIMIT 10""")
+@query(f"WITH {_TRIGRAMS} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM t WHERE rank <= 10")
 def trigram_similarity(spark, d):
-    q = table(spark, d, "benchmark").where("item_id = 0").select("text").first()[0]
-    return retrieval.trigram_topk(table(spark, d, "documents"), q, 10, id_col="doc_id", text_col="text")
+    return _trigram_lists(spark, d, 10)
 
 
-@query("""WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1]::DOUBLE DESC, vec_id) AS k FROM embeddings ORDER BY k LIMIT 50), b AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[2]::DOUBLE DESC, vec_id) AS k FROM embeddings ORDER BY k LIMIT 50)
-SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, coalesce(1 / (60 + a.k), 0) + coalesce(1 / (60 + b.k), 0) AS score FROM a FULL JOIN b ON a.vec_id = b.vec_id ORDER BY score DESC, 1 LIMIT 10""")
+@query(f"""WITH {_VECTORS}, {_TRIGRAMS}, f AS (SELECT query_id, id, coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0) AS score FROM (SELECT * FROM v WHERE rank <= 50) a FULL JOIN (SELECT * FROM t WHERE rank <= 50) b USING (query_id, id)),
+r AS (SELECT *, {_BEST} FROM f) SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def hybrid_fusion(spark, d):
-    v = table(spark, d, "embeddings")
-    top = lambda k: v.select("vec_id", F.col("embedding")[k].cast("double").alias("score")).orderBy(F.desc("score"), "vec_id").limit(50)
-    return retrieval.reciprocal_rank_fusion(top(0), top(1), 10, id_col="vec_id")
+    """The 50 nearest vectors and the 50 most similar texts of each query; vectors and documents share their ids."""
+    return retrieval.reciprocal_rank_fusion(_vector_lists(spark, d, 50), _trigram_lists(spark, d, 50), 10)
 
 
 @query("SELECT page_id, 'https://invented.example.org/' || page_id AS url FROM pages WHERE page_id % 3 = 0")
@@ -506,8 +560,11 @@ def last_seen_at(spark, d):
     return retrieval.touch_last_seen(v, v.where("vec_id % 4 = 0"), F.lit(2), key=["vec_id"])
 
 
-@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS score FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 50) ORDER BY score DESC, doc_id LIMIT 10")
+@query(f"""WITH {_TRIGRAMS}, f AS (SELECT query_id, id, CAST(-abs(length(q.text) - length(r.text)) AS DOUBLE) AS score FROM t JOIN documents q ON query_id = q.doc_id JOIN documents r ON id = r.doc_id WHERE rank <= 50),
+r AS (SELECT *, {_BEST} FROM f) SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def rerank(spark, d):
-    """The ten longest of a list of fifty, by a scorer that only sees texts."""
-    few = table(spark, d, "documents").orderBy("doc_id").limit(50)
-    return retrieval.rerank(few, lambda texts: [float(len(t)) for t in texts], 10, id_col="doc_id", text_col="text")
+    """Of the 50 texts most similar to each query, the ten whose length is nearest to the query's."""
+    t = table(spark, d, "documents")
+    found = _trigram_lists(spark, d, 50).select("query_id", "id")
+    found = found.join(t.select(F.col("doc_id").alias("id"), "text"), "id").join(t.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    return retrieval.rerank(found, lambda qs, ts: [-abs(len(q) - len(t)) for q, t in zip(qs, ts)], 10)
