@@ -65,6 +65,8 @@ def test_sitemaps(spark):
     children = spark.createDataFrame([("c1", urls("https://a/en/1", "https://a/xx", "https://a/en/1")), ("c2", urls("https://a/en/2")), ("lost", None)], "loc string, xml string")
     got = [r["url"] for r in S.discover(root, children, [("/en/", "en")]).orderBy("ord").collect()]
     assert got == ["https://a/en/1", "https://a/en/1", "https://a/en/2"]
+    broken = spark.createDataFrame([("<urlset><url><loc>x</loc>",), ("junk",), (None,), (urls("y"),)], "xml string")
+    assert [r["loc"] for r in S.parse_sitemaps(broken).collect()] == ["y"]
 
 
 CODE = '<p>x</p><div class="codeblock-wrapper dark"><button>Copy</button><pre><code><span>SELECT</span> <span>f</span><span>(1)</span>\n<span>FROM t &lt; 2</span></code></pre></div><p>y</p>'
@@ -87,12 +89,38 @@ def test_to_markdown():
     assert not re.search("menu|buy|Copy|\nf", md)
 
 
+def test_nested_articles_stay_whole():
+    md = H.to_markdown("<body>menu<article><p>one</p><article><p>two</p></article><p>three</p></article><p>end</p></body>")
+    assert md.split() == ["one", "two", "three"]
+
+
+def test_markdown_keeps_the_words_of_all_pages(spark):
+    """Against a plain reading of the pages' one template."""
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in H.extract_pages(pages).select("html", "markdown").collect():
+        inner = r["html"][r["html"].index("<article>") : r["html"].index("</article>")]
+        plain = re.sub(r"[*#]", " ", r["markdown"])
+        assert plain.split() == re.sub(r"[*#]", " ", unescape(re.sub(r"<(?:p|br|/p|h1|/h1)>", " ", re.sub(r"</?(?:b|article)>", "", inner)))).split()
+
+
+def test_vector_literals_read_back(spark):
+    import numpy as np
+
+    for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("embedding", T.vector_literal("embedding").alias("t")).collect():
+        assert np.array_equal(np.array(r["t"].strip("[]").split(","), dtype=np.float32), np.array(r["embedding"], dtype=np.float32))
+
+
 def test_manifest_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "u1", "T", "sql", "a.html", "a.md", "2026-01-01T00:00:00Z", 5, "success", None), (2, "u2", None, "sql", None, None, "2026-01-01T00:00:00Z", 0, "failed", "é")], "ord int, url string, title string, section string, html_raw_path string, markdown_path string, scraped_at string, word_count int, status string, error_message string")
     sinks.write_manifest(docs, str(tmp_path / "m"), 9, 1.5)
-    m = S.read_manifest(spark, str(tmp_path / "m"))
+    m = spark.read.json(str(tmp_path / "m/counters"))
     assert m.first()["total_discovered"] == 9 and m.first()["total_failed"] == 1
-    assert [r["error_message"] for r in S.manifest_documents(m).orderBy("ord").collect()] == [None, "é"]
+    assert [r["error_message"] for r in S.read_manifest_documents(spark, str(tmp_path / "m")).orderBy("ord").collect()] == [None, "é"]
+    one = '{"total_discovered": 2, "documents": [{"url": "u1", "status": "success"}, {"url": "u2", "error_message": "é"}]}'
+    (tmp_path / "one.json").write_text(one)
+    assert [r["error_message"] for r in S.manifest_documents(S.read_manifest(spark, str(tmp_path / "one.json"))).orderBy("ord").collect()] == [None, "é"]
 
 
 def test_markdown_folder(spark, tmp_path):

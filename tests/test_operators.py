@@ -7,7 +7,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import TOKEN
+from corpusmill.functions.text import TOKEN, similarity, trigrams
+from corpusmill.functions.tokens import vocabulary_counter
 from corpusmill.operators import chunking, embedding, headings, reporting, retrieval, selection, store
 from corpusmill.streaming import ingest
 
@@ -16,7 +17,7 @@ def count(t):
     return len(regex.findall(TOKEN, t))
 
 
-def fold(body, least):
+def fold(body, least, split=lambda t: [t]):
     """A loop over lines with a stack of headings, then both merges."""
     sections, stack, lines = [], {}, []
     for line in body.split("\n"):
@@ -31,7 +32,7 @@ def fold(body, least):
         lines.append(line)
     sections.append(("\n".join(lines), path))
     out = []
-    for text, path in ((t.strip(), p) for t, p in sections):
+    for text, path in ((piece.strip(), p) for t, p in sections for piece in split(t)):
         if text and out and count(text) < least:
             out[-1] = (f"{out[-1][0]}\n\n{text}", out[-1][1])
         elif text:
@@ -54,6 +55,31 @@ def test_chunks_equal_a_loop(spark):
         assert got.get(k, []) == fold(b, 6), b
 
 
+def test_a_vocabulary_file_counts_everywhere(spark):
+    import public_tokenizers
+
+    counter = vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "# Big\n\n" + "\n\n".join(f"Unquestionably{k} incomprehensible, isn't it {k}?" for k in range(40))
+    docs = spark.createDataFrame([("u", text), ("v", "short"), ("w", "")], "doc_url string, body string")
+    out = chunking.chunk_documents(docs, key=["doc_url"], target=100, overlap=20, least=5, counter=counter).collect()
+    assert all(r["token_count"] == counter.count(r["content"]) <= 100 for r in out) and {r["doc_url"] for r in out} == {"u", "v"}
+    assert sum(r["doc_url"] == "u" for r in out) > 6
+    assert [r["n"] for r in docs.select(counter.column("body").alias("n")).collect()] == [counter.count(t) for t in (text, "short", "")]
+
+
+def test_chunks_of_documents_equal_a_loop_with_splitting(spark):
+    """Default budgets scaled down, so that many sections are split; pieces come from the plain recursion."""
+    rng, bodies = random.Random(8), []
+    for _ in range(60):
+        bodies.append("\n".join(rng.choice(["", "# A", "## B", " ".join(f"w{rng.randint(0, 9)}" + rng.choice(["", ". b", "."]) for _ in range(rng.randint(1, 60)))]) for _ in range(rng.randint(1, 12))))
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_url long, body string")
+    got = {}
+    for r in chunking.chunk_documents(docs, key=["doc_url"], target=30, overlap=8, least=6).orderBy("doc_url", "chunk_index").collect():
+        got.setdefault(r["doc_url"], []).append((r["content"], r["heading_path"]))
+    for k, b in enumerate(bodies):
+        assert got.get(k, []) == fold(b, 6, lambda t: chunking.recursive_split(t, 30, 8, count)), b
+
+
 def test_oversized_sections(spark):
     text = "# Big\n\n" + "\n\n".join(f"Paragraph {k} has some words in it. And a second sentence." for k in range(60))
     docs = spark.createDataFrame([("u", text)], "doc_url string, body string")
@@ -92,10 +118,20 @@ def test_selection(spark):
     assert sorted(r["ord"] for r in got.collect()) == list(range(1, 11))
     assert got.orderBy("ord").collect() == selection.balanced_sample(c, 10, first="sql", second="mig").orderBy("ord").collect()
     with pytest.raises(selection.RunAborted):
-        selection.assert_allowed(got, selection.robots_allowed("url", [("https://a/sql", False)]))
+        selection.assert_allowed(got, selection.robots_allowed("url", [("https://a/sql/1", True), ("https://a/sql", False)]))
     selection.assert_allowed(got, selection.robots_allowed("url", []))
     with pytest.raises(ValueError):
         selection.fetch_schedule(got, 0)
+    with pytest.raises(ValueError, match="mig"):
+        selection.cast_section(c, ("sql",))
+
+
+def test_robots_rules():
+    text = "# x\nUser-agent: Mill\nUser-agent: other\nDisallow: /a\nAllow: /\n\nUser-agent: *\nDisallow:\n"
+    assert selection.parse_robots(text, "mill/2.0") == [("/a", False), ("/", True)]
+    assert selection.parse_robots(text, "someone") == [("", True)]
+    assert selection.parse_robots(None, "mill") == []
+    assert selection.parse_robots("User-agent: *\nDisallow: /", "x") == [("/", False)]
 
 
 def test_fail_gate(spark):
@@ -123,6 +159,42 @@ def test_versioned_store(spark, tmp_path):
     assert s.healthy()
 
 
+def sections_of(s):
+    return s._head()[1]["sections"]
+
+
+def test_an_upsert_rewrites_touched_sections_only(spark, tmp_path):
+    s = store.VersionedStore(spark, f"file://{tmp_path}/store")
+    s.upsert(incoming(spark, [("a", 0, "x")]).union(incoming(spark, [("m", 0, "y"), ("m", 1, "z")]).withColumn("section", F.lit("mig"))))
+    before = sections_of(s)
+    assert s.upsert(incoming(spark, [("b", 0, "new")])) == {"chunks_created": 1, "chunks_updated": 0, "chunks_deleted": 0}
+    assert len([d for d in sections_of(s).values() if d in before.values()]) == 1 and s.read().count() == 4
+    # A document that moves to another section takes its old rows along.
+    assert s.upsert(incoming(spark, [("m", 0, "moved")])) == {"chunks_created": 0, "chunks_updated": 1, "chunks_deleted": 1}
+    assert {(r["doc_url"], r["section"], r["id"]) for r in s.read().collect()} >= {("b", "sql", 4)}
+    assert {(r["doc_url"], r["chunk_index"], r["section"]) for r in s.read().collect()} == {("a", 0, "sql"), ("b", 0, "sql"), ("m", 0, "sql")}
+
+
+def test_a_second_writer_and_a_failed_one_change_nothing(spark, tmp_path):
+    s = store.VersionedStore(spark, f"file://{tmp_path}/store")
+    s.upsert(incoming(spark, [("a", 0, "x")]))
+    number, head = s._head()
+    s.upsert(incoming(spark, [("b", 0, "y")]))
+    with pytest.raises(store.ConcurrentWrite):
+        s._commit(number + 1, head)
+    (tmp_path / "store/log/.draft-broken").write_text("")  # what a writer leaves that died while writing
+    with pytest.raises(Exception):
+        s.upsert(incoming(spark, [("c", 0, "y")]).withColumn("token_count", F.raise_error(F.lit("stop")).cast("int")))
+    assert s.version() == number + 1 and s.read().count() == 2 and s.healthy()
+
+
+def test_ensure_schema_twice(spark):
+    for _ in range(2):
+        store.ensure_schema(spark, "chunks_of_a_test")
+    assert spark.table("chunks_of_a_test").count() == 0
+    spark.sql("drop table chunks_of_a_test")
+
+
 def test_ids_are_dense(spark):
     made = [(f"d{k % 37}", k // 37, "x") for k in range(300)]
     out = store.upsert(spark.createDataFrame([], store.SCHEMA), incoming(spark, made)).collect()
@@ -141,6 +213,9 @@ def test_embedding(spark):
     assert embedding.estimate_cost(3000, "text-embedding-3-small") == pytest.approx(0.00006)
     with pytest.raises(ValueError):
         embedding.estimate_cost(1, "none")
+    assert embedding.by_index([(1, [2.0]), (0, [1.0])]) == [[1.0], [2.0]] and embedding.by_index([[3.0]]) == [[3.0]]
+    turned = {r["k"]: r["embedding"] for r in embedding.embed_texts(docs, lambda t: list(enumerate(p(t)))[::-1], dimension=8, batch=3).collect()}
+    assert turned == out
     assert embedding.cost_confirmed(0.10) and not embedding.cost_confirmed(0.11) and embedding.cost_confirmed(5, lambda _: " Sí ")
 
 
@@ -169,13 +244,26 @@ def test_report(spark):
     assert reporting.token_stats(spark.createDataFrame([], "token_count int")).first()["median_tokens"] is None
 
 
-def test_search(spark):
-    v = spark.createDataFrame([(k, [math.cos(k / 10), math.sin(k / 10)]) for k in range(20)], "k int, v array<double>")
-    top = retrieval.vector_topk(v, [1.0, 0.0], 3, id_col="k", vec_col="v").collect()
-    assert [r["k"] for r in top] == [0, 1, 2]
-    a = spark.createDataFrame([(1, 0.9), (2, 0.8)], "k int, score double")
-    b = spark.createDataFrame([(2, 5.0), (3, 4.0)], "k int, score double")
-    assert [r["k"] for r in retrieval.reciprocal_rank_fusion(a, b, 3, id_col="k").collect()] == [2, 1, 3]
+def test_search(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 7)
+    data = [(k, [math.cos(k / 10), math.sin(k / 10)]) for k in range(20)] + [(20, [0.0, 0.0]), (21, None), (22, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(data, "k long, v array<double>")
+    got = {}
+    for r in retrieval.vector_topk(v.withColumnRenamed("k", "query_id"), v, 3, id_col="k", vec_col="v").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 9) if len(a) == len(b) else 0.0
+    for k, x in data[:20]:
+        assert got[k] == sorted(((j, dot(x, y)) for j, y in data if y), key=lambda t: (-t[1], t[0]))[:3]
+    texts = ["a cat", "The cats", "dogs", "", "cat a"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    pairs = {(r["query_id"], r["id"]): r["score"] for r in retrieval.trigram_topk(t.withColumnRenamed("k", "query_id"), t, 5, id_col="k", text_col="t").collect()}
+    exact = t.alias("a").join(t.select(F.col("k").alias("j"), F.col("t").alias("u"))).select("k", "j", F.round(similarity(trigrams("t"), trigrams("u")), 9).alias("s"))
+    assert pairs == {(r["k"], r["j"]): r["s"] for r in exact.collect()}
+    a = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "query_id long, id long, rank int")
+    b = spark.createDataFrame([(7, 2, 1), (7, 3, 2), (8, 1, 1)], "query_id long, id long, rank int")
+    fused = retrieval.reciprocal_rank_fusion(a, b, 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in fused] == [(7, 2), (7, 1), (7, 3), (8, 1)]
 
 
 def test_stream_upserts_once(spark, tmp_path):
