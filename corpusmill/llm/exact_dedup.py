@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, incoming: Column, *, id_col: str = "doc_id", te
     wherever two rows share a digest, so that colliding digests give separate groups; a digest that occurs once needs no
     text. Copies are combined before each shuffle; the last join meets a hot digest, which adaptive execution splits.
 
-    Defined cases: a null text counts as empty; null ids are kept as rows (the largest non-null id of a group stays, and
+    Defined cases: a null text counts as empty; very long texts are hashed and compared whole; rows that tie for the largest
+    id (a repeated one) all stay; null ids are kept as rows (the largest non-null id of a group stays, and
     a group of null ids only keeps none); rows that repeat an id each give a row; an empty table gives an empty result;
     other columns are ignored. Returns doc_id, keep_id, group_size, kept, text_sha256.
     """

@@ -128,8 +128,8 @@ def predict(texts: list[str | None], model: Model, batch: int = 64) -> tuple[np.
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language and score of every whole text. Rows: doc_id, lang_pred, score.
 
-    Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is all if nothing could be
-    learned; null and repeated ids give a row each; an empty table gives an empty result; other columns are ignored.
+    Defined cases: a null or empty text, or one without a letter, is ``und`` with score 0, and so is all if nothing could
+    be learned; very long texts are read to their end; of languages that tie, the first by name is told; null and repeated ids give a row each; an empty table gives an empty result; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -52,7 +52,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     hash, the bucket in which the running sum passes the budget is found in each source, and only that bucket is summed
     anew by its next bits, until all bits are fixed. Rows of one hash (the same id) go together.
 
-    Defined cases: null text has size 0; the null source is a source of its own, last in order; an empty table gives an
+    Defined cases: null text has size 0; very long texts are counted whole and may alone exceed a small source's target, so
+    that it takes none; rows that tie by hash go together; the null source is a source of its own, last in order; an empty table gives an
     empty result; rows with a null id share one hash; other columns are ignored. Returns doc_id, size, source_size,
     target, taken, and on demand source.
     """

@@ -270,7 +270,8 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bucket with every text that has one shingle more or less.
 
     Defined cases: null text counts as empty; texts without words are one class; a text of one to four words has one
-    shingle; rows that repeat an id share its class (their texts, if they differ, all count for it); a null id
+    shingle; very long texts are sketched and aligned whole, the latter within its band; ties of hashes go by the place in
+    the text; rows that repeat an id share its class (their texts, if they differ, all count for it); a null id
     is a class of its own; an empty table gives an empty result; other columns are ignored. Returns doc_id, class_id
     (least doc_id), class_size, kept.
     """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm import exact_dedup, html_text, language_id, mixing, near_dedup, near_vectors, packing, token_counts, toxicity, warc
+from corpusmill.staging import stage
 
 LONG = " ".join(f"word{k % 977}" for k in range(30_000))
 CLASH = "_text string, _sha binary, key long, node long, a long, b long, n long, _id long, shard int, _h long, size long, _group int, component long, _times int"
@@ -142,7 +143,7 @@ def test_pipeline(spark, docs):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for d in (docs.select(columns), docs.select(columns).limit(0)):
         for k, (_, step) in enumerate(corpus_pipeline.STAGES):
-            d = corpus_pipeline.stage(step(spark, d, ""), "test")
+            d = stage(step(spark, d, ""), "test")
             if k + 1 < len(corpus_pipeline.STAGES):
                 assert d.columns == columns
     assert d.columns[:2] == ["doc_id", "piece"]

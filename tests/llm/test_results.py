@@ -16,6 +16,7 @@ from corpusmill.llm.common import connected_components
 from corpusmill.llm.dom import Page, node_features
 from corpusmill.llm.tokens import default_vocabulary, token_ids
 from corpusmill.llm.warc import capture_log, parse_records, resolve_revisits
+from corpusmill.staging import stage
 
 DIR = "/root/testdata/sf0.001"
 
@@ -190,7 +191,7 @@ def test_pipeline_keeps_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s" if t != b else None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = Counter({(1, a): 1, (2, b): 1, (None, c): 1, (None, d): 1, (3, c[:60]): 1, (3, d[:90]): 1})
     for step in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
-        docs = corpus_pipeline.stage(step(spark, docs, ""), "test")
+        docs = stage(step(spark, docs, ""), "test")
         assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == left
     size = {len(t.split()): t for _, t in rows}
     times = Counter({(r["doc_id"], size[r["size"]]): r["taken"] // r["size"] for r in mixing.mix(docs).collect()})
@@ -377,7 +378,7 @@ def test_kept_trees_take_later_edit_logs(spark, docs):
     text = {r["doc_id"]: r["text"] for r in some.collect()}
     trees = token_counts.build_trees(some)
     for step in range(3):
-        trees = corpus_pipeline.stage(trees.select("doc_id", "text", "chars", "tokens"), "trees")
+        trees = stage(trees.select("doc_id", "text", "chars", "tokens"), "trees")
         edits = [(i, k, 700 * k + 31 * step, 5 * k, f" put in {step}") for i in sorted(text)[:-2] for k in (2, 1)]
         for i, _, at, gone, new in sorted(edits, key=lambda e: e[:2]):
             text[i] = text[i][:at] + new + text[i][at + gone :]
