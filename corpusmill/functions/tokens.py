@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import TOKEN, approx_tokens
+from .text import approx_tokens
 
 
 @dataclass(frozen=True)
@@ -21,15 +22,10 @@ class TokenCounter:
     column: Callable[[Column | str], Column]
 
 
-@lru_cache(maxsize=1)
-def _pattern():
-    import regex
-
-    return regex.compile(TOKEN)
-
-
+#: ``functions.text.TOKEN`` in Python's own notation.
+_TOKEN = re.compile(r"\w+|[^\w \t\n\r\f]")
 #: Runs of letters, digits and underscores, and single other signs.
-APPROXIMATE = TokenCounter(lambda text: len(_pattern().findall(text)), approx_tokens)
+APPROXIMATE = TokenCounter(lambda text: len(_TOKEN.findall(text)), approx_tokens)
 
 
 @lru_cache(maxsize=4)

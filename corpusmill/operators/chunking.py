@@ -16,13 +16,13 @@ TARGET, OVERLAP, LEAST = 900, 120, 50
 SEPARATORS = ["\n\n", "\n", ". ", " "]
 
 
-def split_by_headers(docs: DataFrame, *, key: list[str], body: str = "body") -> DataFrame:
-    """One row a section: the documents' columns but for the body, pos, content, heading_path.
+def cut_sections(docs: DataFrame, body: str = "body") -> DataFrame:
+    """One row a section: the documents' columns but for the body, pos, content, and the heading's level (0: none) and
+    title.
 
     Headings are lines of one to three ``#`` and a blank, or nothing, behind them; the heading line stays in the content.
-    Lines before the first heading are a section without a path. The places of headings cut the array of lines within the
-    row; which headings are open at a section comes from windows over the document's sections, by the key that all later
-    windows and merges share. A key stands for one document.
+    Lines before the first heading are a section of their own. The places of headings cut the array of lines within the
+    row, without a shuffle.
     """
     rows = docs.withColumn("_lines", F.split(F.col(body), "\n"))
     rows = rows.withColumn("_levels", F.expr("transform(_lines, x -> length(regexp_extract(x, '^(#{1,3})( |$)', 1)))"))
@@ -33,13 +33,25 @@ def split_by_headers(docs: DataFrame, *, key: list[str], body: str = "body") ->
     keep = [c for c in docs.columns if c != body]
     # (The outer explode keeps the optimizer from adding a filter that would compute the sections twice.)
     out = rows.withColumn("_sections", F.expr(section)).select(*keep, F.posexplode_outer("_sections").alias("pos", "_s")).where("pos is not null")
-    by = f"over (partition by {', '.join(key)} order by pos rows between unbounded preceding and current row)"
-    last = [f"last(case when _s.level = {n} then struct(pos as at, _s.title as title) end, true) {by} as _h{n}" for n in (1, 2, 3)]
-    out = out.selectExpr(*keep, "pos", "_s.content as content", *last)
+    return out.selectExpr(*keep, "pos", "_s.level as _level", "_s.title as _title", "_s.content as content")
+
+
+def heading_paths(sections: DataFrame, *, key: list[str]) -> DataFrame:
+    """Sections, or their parts, with heading_path in place of level and title. Which headings are open comes from windows
+    over a document's sections, by the key that all later windows and merges share. A key stands for one document."""
+    keep = [c for c in sections.columns if c not in ("_level", "_title")]
+    by = f"over (partition by {', '.join(key)} order by pos{', part' if 'part' in keep else ''} rows between unbounded preceding and current row)"
+    last = [f"last(case when _level = {n} then struct(pos as at, _title as title) end, true) {by} as _h{n}" for n in (1, 2, 3)]
+    out = sections.selectExpr(*keep, *last)
     # A heading closes its own and deeper levels: a deeper one counts if it came later.
     after = lambda c, *above: f"case when {' and '.join(f'{c}.at > coalesce({a}.at, -1)' for a in above)} then {c}.title end"
     path = f"array(_h1.title, {after('_h2', '_h1')}, {after('_h3', '_h1', '_h2')})"
-    return out.selectExpr(*keep, "pos", "content", f"nullif(array_join(filter({path}, x -> x is not null and x <> ''), ' > '), '') as heading_path")
+    return out.selectExpr(*keep, f"nullif(array_join(filter({path}, x -> x is not null and x <> ''), ' > '), '') as heading_path")
+
+
+def split_by_headers(docs: DataFrame, *, key: list[str], body: str = "body") -> DataFrame:
+    """One row a section: the documents' columns but for the body, pos, content, heading_path (null without a heading)."""
+    return heading_paths(cut_sections(docs, body), key=key)
 
 
 def recursive_split(text: str, size: int, overlap: int, count: Callable[[str], int], separators: list[str] = SEPARATORS) -> list[str]:
@@ -143,16 +155,17 @@ def chunk_documents(
     """Chunks of every document: key, chunk_index from 0, content, heading_path, token_count.
 
     splitter: ``recursive`` (overlapping pieces, Arrow), ``windows`` (fixed windows in the JVM) or ``none``. One shuffle
-    deals the sections by the key; all windows and merges share it.
+    deals the pieces by the key; all windows and merges share it. The recursive split comes before it, where documents are
+    read.
     """
-    sections = split_by_headers(docs.select(*key, F.col(body).alias("_body")), key=key, body="_body")
+    sections = cut_sections(docs.select(*key, F.col(body).alias("_body")), "_body")
     if splitter == "recursive":
         pieces = subsplit_oversized(sections, target=target, overlap=overlap, counter=counter)
     elif splitter == "windows":
         pieces = fixed_windows(sections, key=key, target=target, counter=counter)
     else:
         pieces = sections.withColumn("part", F.lit(0))
-    small = merge_small(strip_and_drop(pieces), key=key, least=least, counter=counter)
+    small = merge_small(strip_and_drop(heading_paths(pieces, key=key)), key=key, least=least, counter=counter)
     merged = merge_leading(small, key=key, least=least, counter=counter)
     index = f"cast(row_number() over (partition by {', '.join(key)} order by grp) - 1 as int) as chunk_index"
     return merged.selectExpr(*key, index, "content", "heading_path").withColumn("token_count", counter.column("content"))
