@@ -51,7 +51,8 @@ def load_markdown(files: DataFrame, raw: str = "raw") -> DataFrame:
     The header is what lies between the first two ``---`` anywhere; all five fields are required; the body loses its
     leading line ends only.
     """
-    parts = F.split(F.col(raw), "---", 3)
+    # (The outer explode cuts a file once: a filter on what follows cannot be moved below it, where it would cut again.)
+    files, parts = files.select("*", F.explode_outer(F.array(F.split(F.col(raw), "---", 3))).alias("_parts")), F.col("_parts")
     head = F.get(parts, F.lit(1))
     text = lambda name: F.regexp_replace(front_matter_field(head, rf'^{name}:[ \t]*(.*?)[ \t\r]*$'), r'^"(.*)"$', "$1")
     rows = files.withColumns({
@@ -61,7 +62,7 @@ def load_markdown(files: DataFrame, raw: str = "raw") -> DataFrame:
     })
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in ("url", "title", "section", "scraped_at", "word_count")]), lambda x: x.isNotNull())
     reject = F.when(F.col(raw).isNull() | ~F.col(raw).startswith("---"), "no front matter").when(F.size(parts) < 3, "front matter is not closed").when(F.size(missing) > 0, F.concat(F.lit("missing or mistyped: "), F.array_join(missing, ", ")))
-    return rows.withColumn("reject", reject).drop(raw)
+    return rows.withColumn("reject", reject).drop(raw, "_parts")
 
 
 def good_documents(loaded: DataFrame, mode: str = "strict") -> DataFrame:
