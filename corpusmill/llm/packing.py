@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import read_table, stage
 from .tokens import default_vocabulary, token_ids
 
-#: Pieces of one length are ranked in groups of about this many.
+#: Pieces are ranked in groups of about this many; in as many groups as a group has pieces, if those would be more.
 ROWS_PER_GROUP = 2_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -114,7 +114,8 @@ def pack(docs: DataFrame, size: int = 1024, *, id_col: str = "doc_id", text_col:
     """
     cuts = stage(pieces(docs, size, id_col=id_col, text_col=text_col, end_id=end_id, vocabulary=vocabulary), "pieces")
     total = cuts.count()
-    groups = max(1, math.ceil(total / rows_per_group))
+    # Neither a group nor the list of groups, over which a length's earlier pieces are summed, outgrows the root of all.
+    groups = max(1, math.ceil(min(total / rows_per_group, math.sqrt(total))))
     cuts = cuts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     sizes = stage(cuts.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}

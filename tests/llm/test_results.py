@@ -252,6 +252,18 @@ def test_pieces_are_the_documents_ids(spark, docs):
     assert {r["doc_id"] for r in got} == set(some)
 
 
+@pytest.mark.parametrize("rows_per_group", [1, 10**6])
+def test_packing_whatever_its_groups(docs, rows_per_group):
+    """As many groups as a group has pieces, and one group: the same pieces in as many sequences, none with a gap."""
+    out = packing.pack(docs, 256, rows_per_group=rows_per_group).toPandas()
+    every = packing.pieces(docs, 256).toPandas()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, out[key].to_numpy().tolist())) == sorted(map(tuple, every[key].to_numpy().tolist()))
+    assert out.sequence_id.nunique() == len(one_by_one(Counter(every.length.tolist()), 256))
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 256
+
+
 def test_mixing_comes_near_its_targets(docs):
     out = mixing.mix(docs).toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
     by = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), largest=("size", "max"))
