@@ -14,7 +14,8 @@ from .text import clean_markdown, clean_title, extraction_error, title_from_url,
 
 # Names of the HTML standard, and the code wrapper of the crawled site.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form iframe button svg select".split())
+DROPPED = frozenset("head title script style noscript template nav footer aside form iframe button svg select".split())
+HEAD = frozenset("base link meta title style script noscript template".split())
 BLOCKS = frozenset("html body article main section header div p h1 h2 h3 h4 h5 h6 ul ol li pre blockquote table tr dl dt dd figure figcaption hr".split())
 WRAPPER = "codeblock-wrapper"
 _NOISE = re.compile(r"(^|[\s_-])(ad|ads|advert|advertisement|banner|promo|sponsor|sidebar|cookie|comments?|breadcrumbs?|share|social|related|newsletter)($|[\s_-])", re.I)
@@ -106,6 +107,7 @@ class _Markdown(TolerantParser):
         super().__init__(convert_charrefs=True)
         self.out, self.stack, self.skip, self.pre, self.href, self.lists, self.cells = [], [], 0, 0, [], [], None
         self.within, self.inside = within, int(within is None)  # how many elements of that name are open
+        self.head = False
         self.feed(html)
         self.close()
 
@@ -113,11 +115,19 @@ class _Markdown(TolerantParser):
         if self.inside and not self.skip:
             (self.cells[-1] if self.cells else self.out).append(text)
 
+    def _end_head(self) -> None:
+        """A head that was left open ends at the first element, or text, that it can't hold."""
+        self.head = False
+        self.handle_endtag("head")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         names = " ".join(filter(None, (dict(attrs).get("class"), dict(attrs).get("id"))))
         noise = tag in DROPPED or bool(_NOISE.search(names))
-        if tag == "body":  # a head that was left open ends here
+        if self.head and tag not in HEAD:
+            self._end_head()
+        if tag == "body":  # so does what was left open in a head
             self.skip, self.stack = 0, []
+        self.head |= tag == "head"
         if tag in VOID:
             if tag == "br":
                 self._put(" \n" if not self.cells else " ")
@@ -191,15 +201,23 @@ class _Markdown(TolerantParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.head and data.strip() and self.stack and self.stack[-1][0] == "head":
+            self._end_head()
         self._put(data if self.pre else re.sub(r"\s+", " ", data))
 
 
 def to_markdown(html: str) -> str:
-    """Markdown of a page's main part: its article or main element, else its body without menus and the like."""
+    """Markdown of a page's main part: its article or main element, else its body without menus and the like.
+
+    A name that stands in a comment or script only, or an element without text, isn't that part.
+    """
     if not html or not html.strip():
         return ""
-    within = next((t for t in ("article", "main") if re.search(f"<{t}[\\s>]", html, re.I)), None)
-    text = "".join(_Markdown(clean_code(html), within).out)
+    html, text = clean_code(html), ""
+    for within in [*(t for t in ("article", "main") if re.search(f"<{t}[\\s>]", html, re.I)), None]:
+        text = "".join(_Markdown(html, within).out)
+        if text.strip():
+            break
     blocks, fenced = [], False
     for line in text.split("\n"):
         if line.strip() == "```":

@@ -94,6 +94,19 @@ def test_nested_articles_stay_whole():
     assert md.split() == ["one", "two", "three"]
 
 
+@pytest.mark.parametrize("html", [
+    "<html><head><title>t</title><article><p>kept</p></article>",
+    "<html><head><title>t</title><p>kept</p>",
+    "<head><title>t</title>kept",
+    "<head><title>t</title></head><body><!-- <article> --><p>kept</p></body>",
+    "<title>t</title><script>x = '<main>'</script><p>kept</p>",
+    "<body><article></article><main><p>kept</p></main></body>",
+    "<head><title>t</title><style>p {}</style><meta name='a'></head><p>kept</p>",
+])
+def test_to_markdown_finds_the_text_of_odd_pages(html):
+    assert H.to_markdown(html) == "kept"
+
+
 def test_markdown_keeps_the_words_of_all_pages(spark):
     """Against a plain reading of the pages' one template."""
     from html import unescape
