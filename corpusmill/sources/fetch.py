@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+
+from ..operators.selection import parse_robots, robots_allowed
+
+log = logging.getLogger(__name__)
 
 # Attempts and waits of the polite client.
 ATTEMPTS, LEAST_WAIT, MOST_WAIT = 3, 2.0, 10.0
@@ -50,3 +56,37 @@ def fetch_pages(selected: DataFrame, fetch: Callable[[str], str], *, rate: float
             yield pd.DataFrame(rows, columns=["url", "html", "error_type", "error"])
 
     return selected.select("url").repartition(partitions).mapInPandas(run, "url string, html string, error_type string, error string")
+
+
+class ScraperScope:
+    """A source while it is open: ``with ScraperScope(base, client) as s: s.pages(selected)``.
+
+    ``client`` opens what holds connections and gives a fetcher, which tasks must be able to unpickle. On entry the site's
+    robots rules are loaded; where there are none to be had, all is allowed. On exit the client is closed.
+    """
+
+    def __init__(self, base: str, client: Callable[[], AbstractContextManager[Callable[[str], str]]], *, agent: str = "corpusmill", rate: float = 5.0, partitions: int = 1):
+        self.base, self.agent, self.rate, self.partitions = base.rstrip("/"), agent, rate, partitions
+        self._client, self._held, self._fetch, self.robots = client, None, None, None
+
+    def __enter__(self) -> ScraperScope:
+        self._held = self._client()
+        self._fetch = self._held.__enter__()
+        try:
+            self.robots = self._fetch(f"{self.base}/robots.txt")
+        except FetchError as e:
+            log.warning("no robots rules (%s): all is allowed", e)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        held, self._held, self._fetch = self._held, None, None
+        held.__exit__(*error)
+
+    def allowed(self, url_path: Column | str) -> Column:
+        return robots_allowed(url_path, parse_robots(self.robots, self.agent))
+
+    def pages(self, selected: DataFrame) -> DataFrame:
+        """As of ``fetch_pages``; to be written while the scope is open."""
+        if self._fetch is None:
+            raise RuntimeError("the scope is not open")
+        return fetch_pages(selected, self._fetch, rate=self.rate, partitions=self.partitions)

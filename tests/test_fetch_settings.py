@@ -1,7 +1,9 @@
+from contextlib import contextmanager
+
 import pytest
 
 from corpusmill.settings import Settings
-from corpusmill.sources.fetch import FetchError, fetch_one, fetch_pages
+from corpusmill.sources.fetch import FetchError, ScraperScope, fetch_one, fetch_pages
 
 
 def test_settings():
@@ -34,3 +36,29 @@ def test_failures_are_rows(spark):
     assert out["a"]["html"] == "<p>a" and out["bad"]["error_type"] == "KeyError"
     with pytest.raises(ValueError):
         fetch_pages(spark.createDataFrame([("a",)], "url string"), fetch, rate=0)
+
+
+def _site(url):
+    if url.endswith("/none/robots.txt"):
+        raise FetchError("404")
+    return "User-agent: *\nDisallow: /private" if url.endswith("/robots.txt") else f"<p>{url}"
+
+
+def test_scope_opens_loads_rules_and_closes(spark):
+    seen = []
+
+    @contextmanager
+    def client():
+        seen.append("open")
+        yield _site
+        seen.append("closed")
+
+    urls = spark.createDataFrame([("/a",), ("/private/b",)], "url string")
+    with ScraperScope("https://x.example.org/", client, rate=1000) as scope:
+        assert scope.base == "https://x.example.org" and seen == ["open"]
+        assert [r[0] for r in scope.pages(urls.where(scope.allowed("url"))).select("html").collect()] == ["<p>/a"]
+    assert seen == ["open", "closed"]
+    with pytest.raises(RuntimeError):
+        scope.pages(urls)
+    with ScraperScope("https://x.example.org/none", client) as scope:
+        assert urls.where(scope.allowed("url")).count() == 2
