@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
 
-__all__ = ["connected_components", "mix64", "read_table", "stage"]
+__all__ = ["connected_components", "mix64", "number_in_order", "read_table", "stage"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,3 +81,46 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", round
     moved = stage(moved, "nodes")
     least = moved.groupBy("root").agg(F.min("node").alias("component"))
     return stage(moved.join(least, "root").select("node", "component"), "components")
+
+
+def number_in_order(rows: DataFrame, *order: str, name: str = "_at") -> DataFrame:
+    """Adds the place of each row, from 0, in the order of the columns: nulls first, strings bytewise.
+
+    Rows are dealt by ranges and numbered apart; each range is shifted by the rows of those before it, of which there are
+    as many as shuffle partitions. No key is held together: the last column should tell rows apart, so that equal keys can
+    be cut between ranges as well.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stage(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
+def _crc_of_bit(k: int) -> int:
+    """The polynomial's remainder of a byte that has one bit."""
+    c = 1 << k
+    for _ in range(8):
+        c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def crc_sql(octets: str) -> str:
+    """SQL of the unsigned crc32 of a list of bytes, which DuckDB lacks; the remainder of a byte is that of its bits together."""
+    low = "(xor(crc, octet) & 255)"
+    step = "crc >> 8"
+    for k in range(8):
+        step = f"xor({step}, (({low} >> {k}) & 1) * {_crc_of_bit(k)})"
+    return f"xor(list_reduce({octets}, lambda crc, octet: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def decimal_bytes_sql(number: str) -> str:
+    """SQL of the bytes of an integer's decimal text."""
+    return f"list_transform(string_split({number}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+
+
+def utf8_bytes_sql(text: str) -> str:
+    """SQL of the bytes of a text, made from its code points."""
+    tail = lambda down: f"(128 | ((u >> {down}) & 63))"
+    octets = f"CASE WHEN u < 128 THEN [u] WHEN u < 2048 THEN [192 | (u >> 6), {tail(0)}] WHEN u < 65536 THEN [224 | (u >> 12), {tail(6)}, {tail(0)}] ELSE [240 | (u >> 18), {tail(12)}, {tail(6)}, {tail(0)}] END"
+    return f"CASE WHEN {text} = '' THEN [] ELSE flatten(list_transform(list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT), lambda u: {octets})) END"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, mixing, near_dedup, near_vectors, packing, token_counts, toxicity, warc
+from . import exact_dedup, html_text, language_id, merkle, mixing, near_dedup, near_vectors, packing, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_revisits": warc.op9_revisits,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_near_vectors": near_vectors.OP4_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op9_revisits": warc.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
