@@ -279,24 +279,24 @@ def _sql_leaf(n_chars: str) -> str:
 OP11_SQL = f"""
 WITH RECURSIVE d AS (SELECT *, {crc_sql(decimal_bytes_sql("doc_id"))} % 7 = 0 AS asked FROM documents),
 leaves AS (SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf, CASE WHEN asked THEN {_sql_leaf("(n_chars + 1)")} ELSE {_sql_leaf("n_chars")} END AS changed FROM d),
-placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS m FROM leaves),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS m FROM leaves),
 tree AS (
-  SELECT coalesce('=' || lang, '') AS g, 0 AS level, at, leaf AS node, m FROM placed
+  SELECT coalesce('=' || lang, '') AS g, 0 AS level, pos, leaf AS node, m FROM placed
   UNION ALL
-  SELECT g, level + 1, at // 2, sha256(string_agg(node, '' ORDER BY at)), any_value((m + 1) // 2) FROM tree WHERE m > 1 GROUP BY g, level, at // 2),
+  SELECT g, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((m + 1) // 2) FROM tree WHERE m > 1 GROUP BY g, level, pos // 2),
 subroots AS (SELECT g, level AS height, node AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS place, count(*) OVER () AS k FROM tree WHERE m = 1),
 top AS (
-  SELECT 0 AS level, place AS at, subroot AS node, k AS m FROM subroots
+  SELECT 0 AS level, place AS pos, subroot AS node, k AS m FROM subroots
   UNION ALL
-  SELECT level + 1, at // 2, sha256(string_agg(node, '' ORDER BY at)), any_value((m + 1) // 2) FROM top WHERE m > 1 GROUP BY level, at // 2),
+  SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((m + 1) // 2) FROM top WHERE m > 1 GROUP BY level, pos // 2),
 l AS (SELECT p.*, coalesce('=' || p.lang, '') AS g, s.subroot, s.height, s.place, row_number() OVER () AS row FROM placed p JOIN subroots s ON coalesce('=' || p.lang, '') = s.g),
 steps AS (
-  SELECT l.row, t.level, t.level AS step, (l.at >> t.level) & 1 = 1 AS on_left, n.node AS sibling
+  SELECT l.row, t.level, t.level AS step, (l.pos >> t.level) & 1 = 1 AS on_left, n.node AS sibling
   FROM l JOIN (SELECT DISTINCT g, level FROM tree) t ON t.g = l.g AND t.level < l.height
-  LEFT JOIN tree n ON n.g = l.g AND n.level = t.level AND n.at = xor(l.at >> t.level, 1)
+  LEFT JOIN tree n ON n.g = l.g AND n.level = t.level AND n.pos = xor(l.pos >> t.level, 1)
   UNION ALL
   SELECT l.row, t.level, l.height + t.level, (l.place >> t.level) & 1 = 1, n.node
-  FROM l JOIN (SELECT DISTINCT level FROM top WHERE m > 1) t ON true LEFT JOIN top n ON n.level = t.level AND n.at = xor(l.place >> t.level, 1)),
+  FROM l JOIN (SELECT DISTINCT level FROM top WHERE m > 1) t ON true LEFT JOIN top n ON n.level = t.level AND n.pos = xor(l.place >> t.level, 1)),
 ways AS (SELECT row, list(struct_pack(l := on_left, s := coalesce(sibling, '')) ORDER BY step) AS way FROM steps GROUP BY row),
 told AS (
   SELECT l.doc_id, l.leaf, l.subroot, (SELECT node FROM top WHERE m = 1) AS root, sha256(coalesce(list_reduce(list_transform(w.way, lambda x: x.s), lambda a, b: a || b, ''), '')) AS proof_sha256,
