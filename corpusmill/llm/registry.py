@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, language_id, merkle, mixing, near_dedup, near_vectors, packing, token_counts, toxicity, warc
+from . import exact_dedup, html_text, language_id, merkle, mixing, near_dedup, near_vectors, packing, prefix_trie, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_revisits": warc.op9_revisits,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_shards": sharding.op13_shards,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op6_mix": mixing.OP6_SQL,
     "op9_revisits": warc.OP9_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_shards": sharding.OP13_SQL,
 }
