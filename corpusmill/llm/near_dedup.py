@@ -19,7 +19,7 @@ SMALL_BUCKET, BLOCK = 32, 256
 #: Texts of so many shingles also get exact keys: similar ones differ by one shingle at most, up to 2 / (1 - SIMILARITY).
 SHORT = range(4, 10)
 
-_FEATURES = "doc_id long, n long, h1 long, h2 long, sketch array<long>"
+_FEATURES = "doc_id long, sha string, n long, h1 long, h2 long, sketch array<long>"
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -99,21 +99,30 @@ def short_keys(shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.array([np.sum(mix64(x + np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(_BASE)), dtype=np.uint64) for x in left]))
 
 
+def sequence_hashes(words: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole sequence of words."""
+    at = np.arange(1, len(words) + 1, dtype=np.uint64)
+    return tuple(int(np.sum(mix64(words + at * np.uint64(c)), dtype=np.uint64).view(np.int64)) for c in (_BASE, 0xC2B2AE3D27D4EB4F))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", minima: int = MINIMA, sketches: int = SKETCHES) -> DataFrame:
-    """Per document: its number of shingles, two hashes of its whole sequence of words, and its sketches and short keys."""
+    """Per document: the digest of its text, its number of shingles, two hashes of its whole sequence of words, and its
+    sketches and short keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["_text"]):
+            for doc, sha, text in zip(pdf["doc_id"], pdf["sha"], pdf["_text"]):
                 words = word_hashes(text)
                 w = shingle_hashes(words)
-                at = np.arange(1, len(words) + 1, dtype=np.uint64)
-                h1, h2 = (int(np.sum(mix64(words + at * np.uint64(c)), dtype=np.uint64).view(np.int64)) for c in (_BASE, 0xC2B2AE3D27D4EB4F))
-                rows.append((doc, len(w), h1, h2, np.concatenate([order_sketches(w, minima, sketches), short_keys(w)]).view(np.int64) if len(w) else np.zeros(0, dtype=np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "sketch"])
+                rows.append((doc, sha, len(w), *sequence_hashes(words), np.concatenate([order_sketches(w, minima, sketches), short_keys(w)]).view(np.int64) if len(w) else np.zeros(0, dtype=np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "sha", "n", "h1", "h2", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = _texts(docs, id_col, text_col).select(F.col("_id").alias("doc_id"), F.sha2("_text", 256).alias("sha"), "_text")
     return rows.mapInPandas(run, _FEATURES)
 
 
@@ -170,15 +179,26 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return found + top - (v & ((1 << top) - 1)).bit_count() >= need
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shingle hashes of the documents in ``ids`` (column _id), four bytes each; a repeated id has one row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(ids.hint("merge"), "_id", "left_semi")
+def shingle_table(docs: DataFrame, nodes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, _s): shingle hashes, four bytes each, of the nodes (node, first, n, h1, h2), read from rows with the id ``first``.
+
+    Such rows may hold other texts as well: a row counts for the node whose hashes its words have.
+    """
+    wanted = nodes.select(F.col("first").alias("_id")).distinct()
+    rows = _texts(docs, id_col, text_col).join(wanted.hint("merge"), "_id", "left_semi")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "_s": [(shingle_hashes(word_hashes(t)) >> np.uint64(32)).astype("<u4").tobytes() for t in pdf["_text"]]})
+            out = []
+            for doc, text in zip(pdf["_id"], pdf["_text"]):
+                words = word_hashes(text)
+                w = shingle_hashes(words)
+                out.append((doc, len(w), *sequence_hashes(words), (w >> np.uint64(32)).astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["first", "n", "h1", "h2", "_s"])
 
-    return rows.mapInPandas(shingles, "_id long, _s binary").dropDuplicates(["_id"])
+    key = ["first", "n", "h1", "h2"]
+    found = rows.mapInPandas(shingles, "first long, n long, h1 long, h2 long, _s binary").dropDuplicates(key)  # equal in _s as well
+    return found.join(nodes.select("node", *key), key).select("node", "_s")
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -189,7 +209,7 @@ def verify(pairs: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY
             good = [aligned(np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4"), similarity) for x, y in zip(pdf["_sa"], pdf["_sb"])]
             yield pdf.loc[good, ["a", "b"]]
 
-    both = pairs.join(shingles.select(F.col("_id").alias("a"), F.col("_s").alias("_sa")), "a").join(shingles.select(F.col("_id").alias("b"), F.col("_s").alias("_sb")), "b")
+    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("_s").alias("_sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("_s").alias("_sb")), "b")
     return both.mapInPandas(check, "a long, b long")
 
 
@@ -211,7 +231,7 @@ def common_members(seqs: list[np.ndarray], chunk: int = 8192) -> np.ndarray:
 
 
 def verify_in_blocks(members: DataFrame, shingles: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links among the members (key, doc_id, c, rest) of large buckets, without giving out their pairs.
+    """Links among the members (key, node, c, rest) of large buckets, without giving out their pairs.
 
     c is the class by the links known so far; rest marks members of another class than the pivot's. A bucket's rest and
     its other members are dealt apart over parts of bounded size; each pair of parts of which one is of the rest is one
@@ -221,14 +241,14 @@ def verify_in_blocks(members: DataFrame, shingles: DataFrame, similarity: float
     """
     count = F.count_if("rest").alias("_r"), F.count_if(~F.col("rest")).alias("_t")
     parts = members.groupBy("key").agg(*count).where("_r > 0").select("key", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("_r", "_t")))
-    deal = F.when(F.col("rest"), F.pmod(F.xxhash64("doc_id"), F.col("_r"))).otherwise(F.col("_r") + F.pmod(F.xxhash64("doc_id"), F.col("_t")))
+    deal = F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("_r"))).otherwise(F.col("_r") + F.pmod(F.xxhash64("node"), F.col("_t")))
     dealt = members.join(stage(parts, "parts"), "key").withColumn("p", deal.cast("int"))
-    dealt = dealt.join(shingles.withColumnRenamed("_id", "doc_id"), "doc_id")
+    dealt = dealt.join(shingles, "node")
     meets = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("_r") + F.col("_t")).otherwise(F.col("_r")) - 1)
-    sent = dealt.withColumn("q", F.explode(meets)).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "doc_id", "c", "_s")
+    sent = dealt.withColumn("q", F.explode(meets)).select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "node", "c", "_s")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, part = pdf["doc_id"].to_numpy(), pdf["p"].to_numpy()
+        ids, part = pdf["node"].to_numpy(), pdf["p"].to_numpy()
         seqs = [np.frombuffer(x, dtype="<u4") for x in pdf["_s"]]
         size = np.array([len(x) for x in seqs])
         shared = common_members(seqs)
@@ -271,44 +291,44 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Defined cases: null text counts as empty; texts without words are one class; a text of one to four words has one
     shingle; very long texts are sketched and aligned whole, the latter within its band; ties of hashes go by the place in
-    the text; rows that repeat an id share its class (their texts, if they differ, all count for it); a null id
-    is a class of its own; an empty table gives an empty result; other columns are ignored. Returns doc_id, class_id
-    (least doc_id), class_size, kept.
+    the text. Each row is a document: rows that repeat an id are classed by their own texts, whatever the others' are, and
+    the order of rows doesn't matter. A row with a null id is a class of its own; an empty table gives an empty result;
+    other columns are ignored. Returns doc_id, class_id (least doc_id of the class), class_size (rows), kept (the least
+    doc_id's row; if several of a class have that id, the one with the least digest, and its repetitions), text_sha256.
     """
     made = stage(features(docs, id_col=id_col, text_col=text_col, minima=minima, sketches=sketches), "features")
     known = made.where("doc_id is not null")
-    nodes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
-    # An id with several texts ties their nodes together.
-    member = stage(known.join(nodes, ["n", "h1", "h2"]).select("doc_id", "node").distinct(), "members")
-    ties = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    shown = known.join(member.select("doc_id").where("doc_id = node"), "doc_id", "left_semi").where("n > 0").select("doc_id", "sketch")
-    shown = stage(shown.dropDuplicates(["doc_id"]), "sketches")
-
-    shared = shown.select("doc_id", F.explode("sketch").alias("key"))
+    # A node is a text, not an id; equal texts have equal sketches, whichever row gives them.
+    nodes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    shared = nodes.where("n > 0").select("node", F.explode("sketch").alias("key"))
     # Staged, as are other sums that meet their own rows again: a join of two shuffled sides can be split at a hot key.
-    sizes = stage(shared.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("_pivot")).where("_n > 1"), "sizes")
-    buckets = stage(shared.join(sizes, "key").select("key", "doc_id", "_n", "_pivot"), "buckets")
-    small, large = buckets.where(F.col("_n") <= small_bucket), buckets.where((F.col("_n") > small_bucket) & (F.col("doc_id") != F.col("_pivot")))
-    left, right = small.select("key", F.col("doc_id").alias("a")), small.select("key", F.col("doc_id").alias("b"))
+    sizes = stage(shared.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_pivot")).where("_n > 1"), "sizes")
+    buckets = stage(shared.join(sizes, "key").select("key", "node", "_n", "_pivot"), "buckets")
+    small, large = buckets.where(F.col("_n") <= small_bucket), buckets.where((F.col("_n") > small_bucket) & (F.col("node") != F.col("_pivot")))
+    left, right = small.select("key", F.col("node").alias("a")), small.select("key", F.col("node").alias("b"))
     pairs = left.join(right, "key").where("a < b").select("a", "b")
-    pairs = stage(pairs.union(large.select("_pivot", "doc_id")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    shingles = stage(shingle_table(docs, ids, id_col=id_col, text_col=text_col), "shingles")
+    pairs = stage(pairs.union(large.select("_pivot", "node")).distinct(), "pairs")
+    paired = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    asked = stage(nodes.drop("sketch").join(paired, "node", "left_semi"), "paired")
+    shingles = stage(shingle_table(docs, asked, id_col=id_col, text_col=text_col), "shingles")
     found = stage(verify(pairs, shingles, similarity), "links")
-    groups = connected_components(ties.union(found))
-    of = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    pivots = of.select(F.col("doc_id").alias("_pivot"), F.col("c").alias("_cp"))
-    marked = large.join(of, "doc_id", "left").join(pivots, "_pivot", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    marked = stage(marked.select("key", "doc_id", "c", (F.col("c") != F.coalesce("_cp", "_pivot")).alias("rest")), "marked")
+    groups = connected_components(found)
+    of = groups.withColumnRenamed("component", "c")
+    pivots = of.select(F.col("node").alias("_pivot"), F.col("c").alias("_cp"))
+    marked = large.join(of, "node", "left").join(pivots, "_pivot", "left").withColumn("c", F.coalesce("c", "node"))
+    marked = stage(marked.select("key", "node", "c", (F.col("c") != F.coalesce("_cp", "_pivot")).alias("rest")), "marked")
     more = stage(verify_in_blocks(marked, shingles, similarity), "more")
     if not more.isEmpty():
         groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    ids = made.select("doc_id")
-    tagged = ids.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
-    tagged = stage(tagged, "tagged")
-    sizes = stage(tagged.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).withColumnRenamed("class_id", "_c"), "classes")
-    out = tagged.join(sizes, F.col("class_id") == F.col("_c"), "left")
-    return out.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    classes = stage(nodes.join(groups, "node", "left").select("n", "h1", "h2", F.coalesce("component", "node").alias("c")), "grouped")
+    tagged = stage(known.join(classes, ["n", "h1", "h2"]).select("doc_id", "sha", "c"), "tagged")
+    sizes = tagged.groupBy("c").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("doc_id", "sha")).alias("_least"))
+    out = tagged.join(stage(sizes, "classes"), "c")
+    out = out.select("doc_id", F.col("_least.doc_id").alias("class_id"), "class_size", (F.struct("doc_id", "sha") == F.col("_least")).alias("kept"), F.col("sha").alias("text_sha256"))
+    alone = made.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(1).cast("long"), F.lit(True), "sha")
+    return out.union(alone)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
