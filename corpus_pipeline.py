@@ -30,13 +30,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that with the least id. A null id is a class of its own.
+    """One row of each class of near duplicates stays: that with the least id, and of several with that id the one whose
+    text has the least digest. A row with a null id is a class of its own.
 
-    Rows that share the id that stays all stay, whatever their texts. Null and empty texts are one class; texts of any
-    length are compared whole; an empty table gives an empty result; other columns stay as they are.
+    Rows are told apart by id and digest, so that no text goes of which no near copy stays. Null and empty texts are one
+    class; texts of any length are compared whole; an empty table gives an empty result; other columns stay as they are.
     """
-    kept = near_dedup.near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    kept = near_dedup.near_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_near_id"), F.col("text_sha256").alias("_near_sha")).distinct()
+    same = (docs["doc_id"] == F.col("_near_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_near_sha"))
+    return docs.join(kept.hint("merge"), same, "left_semi").union(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
