@@ -175,14 +175,43 @@ def test_near_vectors_finds_bridges_between_tight_clusters(spark, sample=32):
     assert np.minimum(out.n_links, hit.sum(axis=1)).sum() >= 0.99 * hit.sum() and (out.component_id.to_numpy() == root).mean() > 0.99
 
 
-def test_near_vectors_audit_sees_isolated_pairs_beside_a_hot_group(spark, monkeypatch):
+def test_near_vectors_compares_all_on_request(spark, monkeypatch):
     """The first graph finds a large group's links and no pair's; most links of the table are the group's."""
     rng, graph = np.random.default_rng(3), near_vectors.first_graph
     centres = rng.standard_normal((11, 64))
     rows = [centres[0] + 0.001 * rng.standard_normal(64) for _ in range(100)] + [c + 0.001 * rng.standard_normal(64) for c in centres[1:] for _ in range(2)]
     monkeypatch.setattr(near_vectors, "first_graph", lambda *a, **b: graph(*a, **b).where("u < 100 and v < 100"))
-    got = vector_result(spark, {k: v.tolist() for k, v in enumerate(rows)})
-    assert got == {k: (99, 0) for k in range(100)} | {k: (1, k // 2 * 2) for k in range(100, 120)}
+    out = near_vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>"), exhaustive=True).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {k: (99, 0) for k in range(100)} | {k: (1, k // 2 * 2) for k in range(100, 120)}
+
+
+@pytest.mark.parametrize("n, pairs, size", [(2000, 0, 2), (2000, 300, 2), (20_100, 100, 2), (6000, 100, 20)])
+def test_near_vectors_takes_a_tenth_of_all_products(spark, n, pairs, size):
+    """Random vectors with groups planted at the threshold and above: recall, and products counted."""
+    rng = np.random.default_rng(n + pairs)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for g in range(pairs):
+        for k in range(1, size):
+            off = rng.standard_normal(64)
+            off -= (off @ x[g * size]) * x[g * size]
+            c = rng.uniform(0.951, 0.999) if size == 2 else 0.985
+            x[g * size + k] = c * x[g * size] + np.sqrt(1 - c * c) * off / np.linalg.norm(off)
+    want = {(a, b) for g in range(pairs) for a in range(g * size, (g + 1) * size) for b in range(a) if b >= g * size and x[a] @ x[b] >= 0.95}
+    products = spark.sparkContext.accumulator(0)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = near_vectors.near_vectors(frame, products=products).toPandas().set_index("vec_id").sort_index()
+    assert 0 < products.value < n * n * (0.1 if size == 2 else 0.2)
+    linked = sum(out.component_id[a] == out.component_id[b] for a, b in want)
+    assert linked >= 0.99 * len(want) and out.n_links.sum() >= 0.99 * 2 * len(want)
+    assert (out.n_links.iloc[pairs * size :] == 0).all()
+
+
+def test_audit_intervals():
+    none, some = near_vectors.Audit(100, 0, 0), near_vectors.Audit(100, 50, 49)
+    assert none.interval == (0.0, 1.0) and "unmeasured" in str(none) and "3.0%" in str(none)
+    low, high = some.interval
+    assert low < 0.98 < high and 0.89 < low and high > 0.995
 
 
 def test_pipeline_keeps_null_and_repeated_ids(spark):
