@@ -9,47 +9,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, stage
-from .tokens import default_vocabulary, token_ids
+from .tokens import Borders, borders_of, default_vocabulary, token_ids
 
 #: Characters after which a leaf ends at the next certain border.
 STRIDE = 512
+#: Borders that need no vocabulary.
+BORDERS = Borders()
 
 
-def is_border(text: str, at: int) -> bool:
-    """Whether pre-tokenisation has a border before ``at`` whatever else the text holds: one blank between others.
-
-    A run of letters, digits or signs takes a single blank in front of it with it, and none behind it, so that counts on
-    both sides add up.
-    """
-    return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()
-
-
-def leaves_of(text: str, stride: int = STRIDE) -> list[str]:
-    out, start = [], 0
-    at = text.find(" ", stride)
-    while at >= 0:
-        if is_border(text, at):
+def leaves_of(text: str, stride: int = STRIDE, border: Borders = BORDERS) -> list[str]:
+    """The text in leaves: each ends at the first border behind ``stride`` characters."""
+    out, start, at = [], 0, stride
+    while at < len(text):
+        if border(text, at):
             out.append(text[start:at])
-            start = at
-            at = text.find(" ", start + stride)
+            start, at = at, at + stride
         else:
-            at = text.find(" ", at + 1)
+            at += 1
     return [*out, text[start:]]
 
 
 class TokenTree:
     """A binary tree over a text's leaves that keeps the sums of characters and tokens."""
 
-    def __init__(self, text: str, count: Callable[[str], int], stride: int = STRIDE):
-        self.count, self.stride = count, stride
+    def __init__(self, text: str, count: Callable[[str], int], stride: int = STRIDE, border: Borders = BORDERS):
+        self.count, self.stride, self.border = count, stride, border
         self.encoded_leaves = self.encoded_chars = 0
-        self._build(leaves_of(text, stride), None)
+        self._build(leaves_of(text, stride, border), None)
 
     @classmethod
-    def stored(cls, text: str, chars: list[int], tokens: list[int], count: Callable[[str], int], stride: int = STRIDE) -> TokenTree:
+    def stored(cls, text: str, chars: list[int], tokens: list[int], count: Callable[[str], int], stride: int = STRIDE, border: Borders = BORDERS) -> TokenTree:
         """A tree as it was kept: nothing is encoded."""
         tree = cls.__new__(cls)
-        tree.count, tree.stride, tree.encoded_leaves, tree.encoded_chars = count, stride, 0, 0
+        tree.count, tree.stride, tree.border, tree.encoded_leaves, tree.encoded_chars = count, stride, border, 0, 0
         tree.width, tree.chars, tree.tokens, tree.texts = len(chars) // 2, list(chars), list(tokens), []
         at = 0
         for n in tree.chars[tree.width :]:
@@ -109,14 +101,15 @@ class TokenTree:
         b, to = self.leaf_at(max(start, end - 1)) if end > start else (a, at - 1)
         to += 1
         text = self.texts[a][:at] + inserted + self.texts[b][to:]
-        # A leaf's first border stands if its blank and the letter behind it do; else the leaf before takes part.
-        while a > 0 and (at < 2 or not text or not self._holds(a, text)):
+        # A border stands if nothing near it has changed; else the leaf on its other side takes part.
+        head, tail = at, len(self.texts[b]) - to
+        while a > 0 and head < self.border.context:
             a -= 1
-            at = len(self.texts[a])
+            head += len(self.texts[a])
             text = self.texts[a] + text
-        # The next leaf's border stands if what is now in front of it is no white space.
-        while b + 1 < len(self.texts) and (not self.texts[b + 1] or not text or text[-1].isspace()):
+        while b + 1 < len(self.texts) and tail < self.border.context:
             b += 1
+            tail += len(self.texts[b])
             text += self.texts[b]
         self.encoded_leaves += sum(bool(self.texts[k]) for k in range(a, b + 1)) or 1
         for k in range(a + 1, b + 1):
@@ -126,17 +119,11 @@ class TokenTree:
         if len(text) > 8 * self.stride:  # a leaf that has grown is split, the others keep their counts
             texts, tokens = [], []
             for k, t in enumerate(self.texts):
-                parts = leaves_of(t, self.stride) if k == a else [t] if t else []
+                parts = leaves_of(t, self.stride, self.border) if k == a else [t] if t else []
                 texts += parts
                 tokens += [self.count(x) for x in parts] if k == a else [self.tokens[self.width + k]] * len(parts)
             self._build(texts or [""], tokens or [0])
 
-    def _holds(self, leaf: int, text: str) -> bool:
-        before = leaf - 1
-        while before >= 0 and not self.texts[before]:
-            before -= 1
-        return before < 0 or (len(text) > 1 and text[0] == " " and not text[1].isspace() and not self.texts[before][-1].isspace())
-
     def text(self) -> str:
         return "".join(self.texts)
 
@@ -152,9 +139,9 @@ def build_trees(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = token_ids(vocabulary)
+        encode, border = token_ids(vocabulary), borders_of(vocabulary)
         for pdf in batches:
-            trees = [TokenTree(t, lambda x: len(encode(x)) if x else 0, stride) for t in pdf["text"]]
+            trees = [TokenTree(t, lambda x: len(encode(x)) if x else 0, stride, border) for t in pdf["text"]]
             yield pdf.assign(chars=[t.chars for t in trees], tokens=[t.tokens for t in trees])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -172,11 +159,11 @@ def edit_trees(trees: DataFrame, edits: str | Column = "edits", *, vocabulary: s
     columns = [c.split()[0] for c in head.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = token_ids(vocabulary)
+        encode, border = token_ids(vocabulary), borders_of(vocabulary)
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                tree = TokenTree.stored(r.text, r.chars, r.tokens, lambda t: len(encode(t)) if t else 0, stride)
+                tree = TokenTree.stored(r.text, r.chars, r.tokens, lambda t: len(encode(t)) if t else 0, stride, border)
                 before, leaves = tree.total, tree.leaves
                 for e in r.changes:
                     tree.edit(int(e["start"] or 0), int(e["deleted"] or 0), e["inserted"] or "")
@@ -202,13 +189,13 @@ def with_edits(trees: DataFrame, edits: DataFrame, *, id_col: str = "doc_id") ->
 def count_tokens(docs: DataFrame, edits: Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, stride: int = STRIDE) -> DataFrame:
     """Tokens of every document before and after its edits, which ``edits`` makes of its doc_id and text.
 
-    Every document gets a tree over leaves that end at certain pre-token borders; the trees are kept as a table. An edit
+    Every document gets a tree over leaves that end at places that no token crosses for certain (``tokens.Borders``); the trees are kept as a table. An edit
     changes the leaves that it touches, and neighbours where it may have moved their border; those are encoded again and
     sums are updated up to the root. Nothing is shuffled; an edit log of its own is joined by ``with_edits``, and later
     logs go to the trees that ``edit_trees`` gives back.
 
     Defined cases: a null text counts as empty (0 tokens), null edits as none; very long texts have as many leaves as they
-    need; positions outside the text are cut to it; null and repeated ids give a row each, and equal rows equal counts; an
+    need, and only a run of letters, digits or signs in which merges may cross everywhere makes a leaf longer than usual; positions outside the text are cut to it; null and repeated ids give a row each, and equal rows equal counts; an
     empty table gives an empty result; other columns are ignored. Returns doc_id, tokens_before, tokens_after,
     chars_after, edits, leaves, leaves_encoded, chars_encoded (again, by edits).
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -53,3 +54,53 @@ def token_ids(vocabulary: str) -> Callable[[str], list[int]]:
 
     t = Tokenizer.from_file(vocabulary)
     return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+class Borders:
+    """Places where a text can be cut so that the tokens of both parts are those of the whole, whatever else it holds.
+
+    That is known of byte-level BPE with the usual pattern: (1) before white space, as no pre-token goes on from anything
+    else into it; (2) between a letter, a digit and a sign, but not behind an apostrophe, which may begin a contraction;
+    (3) within a run of one kind where no token has the last byte of one character and the first byte of the next side by
+    side, so that no merge can cross. ``pairs`` are the pairs of bytes that tokens have; without them (3) is not known. No
+    place within the string of a special token is a border. Only ``context`` characters on either side matter.
+    """
+
+    def __init__(self, pairs: frozenset[tuple[int, int]] | None = None, special: tuple[str, ...] = ()):
+        self.pairs, self.special = pairs, special
+        self.context = max(3, *(len(s) for s in special), 3)
+
+    def __call__(self, text: str, at: int) -> bool:
+        if not 0 < at < len(text):
+            return False
+        a, b = text[at - 1], text[at]
+        if a.isspace() or (b.isspace() and b not in " \t\n\r"):  # of other blanks not all engines think alike
+            return False
+        if not b.isspace():
+            x, y = unicodedata.category(a)[0], unicodedata.category(b)[0]
+            if "C" in (x, y) or "'" in (a, b) and (a == "'" or x not in "LN"):
+                return False
+            if (x if x in "LN" else "S") == (y if y in "LN" else "S"):
+                if self.pairs is None or text[max(0, at - 2)] == "'":
+                    return False
+                if (a.encode("utf-8", "replace")[-1], b.encode("utf-8", "replace")[0]) in self.pairs:
+                    return False
+        return not any(text.find(s, max(0, at - len(s) + 1), at + len(s) - 1) >= 0 for s in self.special)
+
+
+@lru_cache(maxsize=4)
+def borders_of(vocabulary: str) -> Borders:
+    """The borders that a vocabulary file allows; of a file of another kind only those before white space are used."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = tuple(t["content"] for t in spec.get("added_tokens", []))
+    if (ranks := byte_ranks(spec)) is None:
+        return BlankBorders(None, special)
+    return Borders(frozenset(p for w in ranks for p in zip(w, w[1:])), special)
+
+
+class BlankBorders(Borders):
+    """One blank between others."""
+
+    def __call__(self, text: str, at: int) -> bool:
+        return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace() and super().__call__(text, at)

@@ -14,7 +14,7 @@ from corpusmill.llm import boosting, exact_dedup, html_text, language_id, mixing
 from corpusmill.llm.binary_fuse import BinaryFuse8
 from corpusmill.llm.common import connected_components
 from corpusmill.llm.dom import Page, node_features
-from corpusmill.llm.tokens import default_vocabulary, token_ids
+from corpusmill.llm.tokens import borders_of, default_vocabulary, token_ids
 from corpusmill.llm.warc import capture_log, parse_records, resolve_revisits
 from corpusmill.staging import stage
 
@@ -396,11 +396,11 @@ def test_boosting_learns_an_interaction():
     assert ((boosting.BoostedTrees.fit(x, y).log_odds(x) > 0) == y).mean() > 0.99
 
 
-@given(st.lists(st.sampled_from([*"ab c.,1'\n\t", "<|endoftext|>"]), max_size=200).map("".join), st.lists(st.tuples(st.integers(0, 210), st.integers(0, 12), st.text(alphabet="ab ,\n", max_size=8)), max_size=6), st.sampled_from([4, 16]))
+@given(st.lists(st.sampled_from([*"ab c.,1'\n\tqjsé的一是ก!", "<|endoftext|>", "'s", "'re"]), max_size=200).map("".join), st.lists(st.tuples(st.integers(0, 210), st.integers(0, 12), st.text(alphabet="ab ,\n's的|<", max_size=8)), max_size=6), st.sampled_from([4, 16]))
 @settings(max_examples=300, deadline=None)
 def test_token_tree(text, edits, stride):
-    encode = token_ids(default_vocabulary())
-    tree = token_counts.TokenTree(text, lambda t: len(encode(t)) if t else 0, stride)
+    encode, border = token_ids(default_vocabulary()), borders_of(default_vocabulary())
+    tree = token_counts.TokenTree(text, lambda t: len(encode(t)) if t else 0, stride, border)
     assert tree.total == len(encode(text))
     for start, deleted, inserted in edits:
         at = min(start, len(text))
@@ -408,10 +408,26 @@ def test_token_tree(text, edits, stride):
         tree.edit(start, deleted, inserted)
         assert tree.text() == text and tree.total == len(encode(text)) and len(tree) == len(text)
         counted = []
-        tree = token_counts.TokenTree.stored(text, tree.chars, tree.tokens, lambda t: counted.append(t) or (len(encode(t)) if t else 0), stride)
+        tree = token_counts.TokenTree.stored(text, tree.chars, tree.tokens, lambda t: counted.append(t) or (len(encode(t)) if t else 0), stride, border)
         assert not counted and tree.text() == text and tree.total == len(encode(text))
 
 
+def test_leaves_are_short_whatever_the_text():
+    """Words on lines, Chinese and Thai, random letters, base64, signs: no text of theirs has single blanks."""
+    encode, border, rng = token_ids(default_vocabulary()), borders_of(default_vocabulary()), random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["\n".join(f"word{k % 977}" for k in range(20_000)), draw("的一是不了人我在有他这为之大来以个中上们", 120_000), draw("กขฃคฅฆงจฉช", 50_000)]
+    texts += [draw("abcdefghijklmnopqrstuvwxyz", 50_000), draw("ABCabcxyzXYZ0123456789+/", 50_000), draw(".,;:!?()'-", 20_000), draw("éàüßñ ", 20_000)]
+    for text in texts:
+        tree = token_counts.TokenTree(text, lambda t: len(encode(t)) if t else 0, 512, border)
+        assert max(map(len, tree.texts)) < 1024 and tree.total == len(encode(text))
+        for k in range(4):
+            at = rng.randrange(len(text))
+            text = text[:at] + "x的" + text[at + 3 :]
+            tree.edit(at, 3, "x的")
+        assert tree.total == len(encode(text)) and tree.encoded_chars < 8 * 1024
+
+
 def test_kept_trees_take_later_edit_logs(spark, docs):
     """Each log is joined to the trees that the one before left; only touched leaves are encoded, and no sum drifts."""
     encode = token_ids(default_vocabulary())
