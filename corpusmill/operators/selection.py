@@ -85,21 +85,28 @@ def fetch_schedule(selected: DataFrame, rate: float, order: str = "ord") -> Data
     return selected.withColumn("at_seconds", (F.col(order) - 1) / F.lit(float(rate)))
 
 
-def document_status(selected: DataFrame, existing: DataFrame, fetched: DataFrame) -> DataFrame:
+def url_path(url: Column | str) -> Column:
+    """Path and query of an address behind its host, as robots rules see them: ``/`` where there is none."""
+    rest = F.regexp_extract(col(url), r"(?i)^\s*[a-z][a-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    return F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+
+
+def document_status(selected: DataFrame, existing: DataFrame, fetched: DataFrame, *, key: str = "slug") -> DataFrame:
     """Status of each selected (slug, url, section): skipped, failed or success.
 
     existing: slugs that have Markdown. fetched: slug, error_type, error, title, words; an address that is absent was not
-    fetched. An extraction error keeps the raw page's path, any other error has none.
+    fetched. An extraction error keeps the raw page's path, any other error has none. Where slugs repeat among the selected,
+    all three tables have another ``key``, one a row.
     """
-    have = existing.select("slug").distinct().withColumn("_have", F.lit(True))
-    rows = selected.join(have, "slug", "left").join(fetched.select("slug", "error_type", "error", "title", "words", F.lit(True).alias("_got")), "slug", "left")
+    have = existing.select(key).distinct().withColumn("_have", F.lit(True))
+    rows = selected.join(have, key, "left").join(fetched.select(key, "error_type", "error", "title", "words", F.lit(True).alias("_got")), key, "left")
     raw, md = F.concat("slug", F.lit(".html")), F.concat("slug", F.lit(".md"))
     skipped, failed = F.col("_have").isNotNull(), F.col("error_type").isNotNull() | F.col("_got").isNull()
     status = F.when(skipped, "skipped").when(failed, "failed").otherwise("success")
     kept = F.when(skipped, F.when(F.col("_got").isNotNull(), raw)).when(failed, F.when(F.col("error_type") == "ExtractionError", raw)).otherwise(raw)
     why = F.when(~skipped & failed, F.concat_ws(": ", F.coalesce("error_type", F.lit("FetchError")), F.coalesce("error", F.lit("no page"))))
     ok = ~skipped & ~failed
-    return rows.select("slug", "url", "section", status.alias("status"), F.when(ok, F.col("title")).alias("title"), kept.alias("html_raw_path"), F.when(skipped | ok, md).alias("markdown_path"), F.when(ok, F.col("words")).otherwise(0).alias("word_count"), why.alias("error_message"))
+    return rows.select(*dict.fromkeys([key, "slug"]), "url", "section", status.alias("status"), F.when(ok, F.col("title")).alias("title"), kept.alias("html_raw_path"), F.when(skipped | ok, md).alias("markdown_path"), F.when(ok, F.col("words")).otherwise(0).alias("word_count"), why.alias("error_message"))
 
 
 def run_counters(documents: DataFrame) -> DataFrame:

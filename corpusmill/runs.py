@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,10 @@ from .operators import chunking, embedding, headings, reporting, selection
 from .operators.store import VersionedStore
 from .sources import sinks
 from .sources.documents import SourceAdapter
+from .sources.fetch import ScraperScope
 from .staging import stage
 
 _NOW = "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ssXXX\")"
-#: Path, query and all of an address behind its host.
-_PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/.*)$', 1)"
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -30,26 +30,38 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if p.getFileSystem(conf).exists(p) else spark.createDataFrame([], schema)
 
 
-def _results(pages: DataFrame) -> DataFrame:
-    """slug, error_type, error, title, words, markdown of fetched pages (slug, url, html, error_type, error)."""
-    got = extract_pages(pages.where("html is not null").select("slug", "url", "html"))
+def _results(pages: DataFrame, key: str = "slug") -> DataFrame:
+    """The key, error_type, error, title, words, markdown of fetched pages (key, url, html, error_type, error)."""
+    got = extract_pages(pages.where("html is not null").select(*dict.fromkeys([key, "url"]), "html"))
     bad = F.col("error").isNotNull()
-    ok = got.select("slug", F.when(bad, "ExtractionError").alias("error_type"), "error", "title", "words", "markdown")
+    ok = got.select(key, F.when(bad, "ExtractionError").alias("error_type"), "error", "title", "words", "markdown")
     null = F.lit(None)
-    lost = pages.where("html is null").select("slug", "error_type", "error", null.cast("string").alias("title"), null.cast("int").alias("words"), null.cast("string").alias("markdown"))
+    lost = pages.where("html is null").select(key, "error_type", "error", null.cast("string").alias("title"), null.cast("int").alias("words"), null.cast("string").alias("markdown"))
     return stage(ok.unionByName(lost), "extracted")
 
 
 def run_scraping(
     spark: SparkSession, adapter: SourceAdapter, target: int, out: str, *, base: str, sections: tuple[str, str], share: float = 0.6,
-    seed: str = "42", robots: str | None = None, agent: str = "corpusmill", dry_run: bool = False,
+    seed: str = "42", robots: str | None = None, agent: str = "corpusmill", dry_run: bool = False, scope: ScraperScope | None = None,
 ) -> dict:
     """Discovers, samples, fetches, extracts and writes; returns the counters, with ``manifest``, the path of the manifest.
 
     Nothing discovered, a section that isn't wanted, a forbidden address or too many failures end the run with an error;
     the last one after the manifest has been written. Addresses whose slug has Markdown are skipped. Only counts reach
-    the driver. A dry run discovers and writes nothing. robots: the text of the site's rules; null allows everything.
+    the driver. A dry run discovers and writes nothing. robots: the text of the site's rules; null allows everything. A
+    ``scope`` is open for the run: it brings the rules and fetches in place of the adapter.
+
+    Each selected row has a row in the manifest. Where addresses repeat or share a slug, each address is fetched once; the
+    first row in order that succeeds writes its slug's Markdown, those behind it are skipped.
     """
+    with scope or nullcontext():
+        return _scrape(spark, adapter, target, out, base, sections, share, seed, scope.robots if scope else robots, scope.agent if scope else agent, dry_run, scope.pages if scope else adapter.fetch)
+
+
+def _scrape(
+    spark: SparkSession, adapter: SourceAdapter, target: int, out: str, base: str, sections: tuple[str, str], share: float,
+    seed: str, robots: str | None, agent: str, dry_run: bool, fetch: Callable[[DataFrame], DataFrame],
+) -> dict:
     start = time.monotonic()
     found = stage(adapter.discover(spark), "candidates")
     discovered = found.count()
@@ -60,17 +72,22 @@ def run_scraping(
         return {"discovered": discovered, "downloaded": 0, "failed": 0, "skipped": 0, "duration_seconds": time.monotonic() - start, "manifest": None}
     picked = selection.balanced_sample(found, target, first=sections[0], second=sections[1], share=share, seed=seed)
     picked = stage(picked.withColumn("slug", url_slug("url", base)), "selected")
-    selection.assert_allowed(picked, selection.robots_allowed(F.expr(_PATH), selection.parse_robots(robots, agent)))
+    selection.assert_allowed(picked, selection.robots_allowed(selection.url_path("url"), selection.parse_robots(robots, agent)))
 
     have = _stored(spark, f"{out}/markdown", "slug string, md string").select("slug").distinct()
     todo = picked.join(have, "slug", "left_anti")
-    pages = stage(adapter.fetch(todo).join(todo.select("url", "slug"), "url"), "fetched")
-    run = uuid.uuid4().hex
-    sinks.write_raw_pages(pages.where("html is not null"), f"{out}/raw/{run}", order="url")
-    results = _results(pages)
-    docs = selection.document_status(picked, have, results).join(picked.select("slug", "ord"), "slug").withColumn("scraped_at", F.expr(_NOW))
+    pages = stage(fetch(todo.select("url").distinct()).dropDuplicates(["url"]), "fetched")
+    results = _results(pages, "url")
+    rows = todo.select("ord", "slug", "url").join(results.drop("markdown"), "url")
+    first = rows.where("error_type is null").groupBy("slug").agg(F.min("ord").alias("_first"))
+    tried = stage(rows.join(first, "slug", "left"), "tried")
+    done = picked.join(have, "slug", "left_semi").select("ord").union(tried.where("ord > _first").select("ord"))
+    docs = selection.document_status(picked, done, tried, key="ord").withColumn("scraped_at", F.expr(_NOW))
     docs = stage(docs, "documents")
-    good = docs.where("status = 'success'").join(results.select("slug", F.col("markdown").alias("body")), "slug")
+    run = uuid.uuid4().hex
+    last = tried.where("coalesce(ord <= _first, true)").groupBy("slug").agg(F.max_by("url", "ord").alias("url"))
+    sinks.write_raw_pages(last.join(pages.where("html is not null"), "url"), f"{out}/raw/{run}", order="url")
+    good = docs.where("status = 'success'").join(results.select("url", F.col("markdown").alias("body")), "url")
     sinks.markdown_files(good).write.mode("append").parquet(f"{out}/markdown")
     counted = selection.run_counters(docs).first()
     manifest = f"{out}/manifest/{run}"

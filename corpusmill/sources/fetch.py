@@ -36,7 +36,7 @@ def fetch_one(fetch: Callable[[str], str], url: str, sleep: Callable[[float], No
 def fetch_pages(selected: DataFrame, fetch: Callable[[str], str], *, rate: float = 5.0, partitions: int = 1) -> DataFrame:
     """(url, html, error_type, error) of each selected address; a failure is a row, not the end of the run.
 
-    Each of the partitions keeps its share of the rate, so that all together keep it.
+    Each of the partitions keeps its share of the rate, attempts again included, so that all together keep it.
     """
     if rate <= 0:
         raise ValueError("rate must be above 0")
@@ -44,13 +44,18 @@ def fetch_pages(selected: DataFrame, fetch: Callable[[str], str], *, rate: float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = 0.0
+
+        def paced(url: str) -> str:
+            nonlocal last
+            time.sleep(max(0.0, last + gap - time.monotonic()))
+            last = time.monotonic()
+            return fetch(url)
+
         for pdf in batches:
             rows = []
             for url in pdf["url"]:
-                time.sleep(max(0.0, last + gap - time.monotonic()))
-                last = time.monotonic()
                 try:
-                    rows.append((url, fetch_one(fetch, url), None, None))
+                    rows.append((url, fetch_one(paced, url), None, None))
                 except Exception as e:  # noqa: BLE001  any error of a fetcher marks its row
                     rows.append((url, None, type(e).__name__, str(e)))
             yield pd.DataFrame(rows, columns=["url", "html", "error_type", "error"])

@@ -92,3 +92,62 @@ def test_indexing(spark, tmp_path):
         assert refused["total_cost_usd"] == 0.0 and refused["chunks_skipped"] == full["chunks_created"] and refused["chunks_updated"] == 0
     finally:
         del embedding.PRICES["dear"]
+
+
+class Listed(Site):
+    """A site whose sitemap names addresses again, and two of one slug."""
+
+    def discover(self, spark):
+        rows = [(f"{BASE}/en/sql/{k}{end}", "sql", k) for k in range(3) for end in ("", "", "/")] + [(f"{BASE}/en/mig/7", "mig", 9)] * 2
+        return spark.createDataFrame(rows, "url string, section string, ord long")
+
+    def fetch(self, selected):
+        return super().fetch(selected.withColumn("url", F.regexp_replace("url", "/$", "")).distinct()).join(selected.withColumnRenamed("url", "u"), F.expr("url = regexp_replace(u, '/$', '')")).select(F.col("u").alias("url"), "html", "error_type", "error")
+
+
+@pytest.mark.parametrize("broken", [(), (1,)])
+def test_repeated_addresses_and_shared_slugs(spark, tmp_path, broken, monkeypatch):
+    monkeypatch.setattr(selection, "FAIL_LIMIT", 1.0)
+    out = f"file://{tmp_path}/out"
+    got = scrape(spark, Listed(3, broken=broken), 100, out)
+    docs = S.read_manifest_documents(spark, got["manifest"]).orderBy("ord").collect()
+    assert [r["ord"] for r in docs] == list(range(1, 12)) and got["discovered"] == 11
+    by = {}
+    for r in docs:
+        by.setdefault(r["url"].rstrip("/"), []).append(r["status"])
+    for url, status in by.items():
+        assert status == (["failed"] * 3 if url.endswith("/1") and broken else ["success"] + ["skipped"] * (len(status) - 1))
+    assert got["downloaded"] + got["failed"] + got["skipped"] == 11
+    md = spark.read.parquet(f"{out}/markdown")
+    assert md.count() == md.select("slug").distinct().count() == got["downloaded"] == (3 if broken else 4)
+    assert spark.read.parquet(f"{out}/raw/*").count() == got["downloaded"]
+    assert scrape(spark, Listed(3), 100, out)["downloaded"] == (1 if broken else 0)
+
+
+def test_a_scope_brings_rules_and_fetches(spark, tmp_path):
+    from contextlib import contextmanager
+
+    from corpusmill.sources.fetch import ScraperScope
+
+    closed = []
+
+    @contextmanager
+    def client():
+        try:
+            yield lambda url: "User-agent: *\nDisallow: /en/sql/1" if url.endswith("robots.txt") else f"<article><p>{WORDS}</p></article>"
+        finally:
+            closed.append(1)
+
+    site = Site(1)
+    site.fetch = None
+    got = scrape(spark, site, 2, f"file://{tmp_path}/out", scope=ScraperScope(BASE, client, rate=10_000))
+    assert got["downloaded"] == 2 and closed == [1]
+    with pytest.raises(selection.RunAborted, match="robots"):
+        scrape(spark, Site(5), 10, f"file://{tmp_path}/other", scope=ScraperScope(BASE, client, rate=10_000))
+    assert closed == [1, 1]
+
+
+def test_rules_see_a_path_of_every_address(spark):
+    urls = ["https://h.org", "https://h.org?q=1", "HTTPS://h.org/a", "https://h.org/a?q#f", "http://h.org:8080/b/", "https://h.org#x", "nothing"]
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select(selection.url_path("url").alias("p"), selection.robots_allowed(selection.url_path("url"), [("/", False)]).alias("ok")).collect()
+    assert [r["p"] for r in rows] == ["/", "/?q=1", "/a", "/a?q", "/b/", "/", "/"] and not any(r["ok"] for r in rows)
