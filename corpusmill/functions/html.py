@@ -18,7 +18,32 @@ DROPPED = frozenset("head title script style noscript template nav footer aside
 HEAD = frozenset("base link meta title style script noscript template".split())
 BLOCKS = frozenset("html body article main section header div p h1 h2 h3 h4 h5 h6 ul ol li pre blockquote table tr dl dt dd figure figcaption hr".split())
 WRAPPER = "codeblock-wrapper"
-_NOISE = re.compile(r"(^|[\s_-])(ad|ads|advert|advertisement|banner|promo|sponsor|sidebar|cookie|comments?|breadcrumbs?|share|social|related|newsletter)($|[\s_-])", re.I)
+#: Names of parts that are not the page's text, and words that such names are lengthened by.
+NOISE = frozenset("ad ads advert adverts advertisement advertisements banner promo promos sponsor sponsors sponsored sidebar cookie cookies comment comments breadcrumb breadcrumbs share sharing social related newsletter".split())
+JOINTS = frozenset("area bar block box button buttons container content group holder inner item left right top bottom list link links main media module notice outer panel region section slot unit widget wrap wrapper zone".split())
+#: Elements that hold the page's text, whatever their name.
+KEPT = frozenset("html body main article".split())
+_BUTTONS = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>|<(/?)button\b", re.I | re.S)
+
+
+def is_noise(names: str) -> bool:
+    """Whether a class or id among the names says that a part isn't the page's text: a whole name, not a word within it.
+
+    ``ad-box`` and ``sidebar_left`` do; ``with-sidebar``, ``has-comments`` and ``social-sciences`` say something else.
+    """
+    for name in names.lower().split():
+        words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", name)]
+        words = [w for w in words if w]
+        if any(w in NOISE for w in words) and all(w in NOISE or w in JOINTS for w in words):
+            return True
+    return False
+
+
+def open_buttons(html: str) -> set[int]:
+    """Which start tags of buttons, counted from 0, have no end tag before the next one or the page's end."""
+    found = [m[1] for m in _BUTTONS.finditer(html) if m[1] is not None] if "<button" in html.lower() else []
+    starts = [k for k, end in enumerate(found) if not end]
+    return {n for n, k in enumerate(starts) if k + 1 == len(found) or not found[k + 1]}
 
 
 def needs_code_pass(html: Column) -> Column:
@@ -108,6 +133,7 @@ class _Markdown(TolerantParser):
         self.out, self.stack, self.skip, self.pre, self.href, self.lists, self.cells = [], [], 0, 0, [], [], None
         self.within, self.inside = within, int(within is None)  # how many elements of that name are open
         self.head = False
+        self.loose, self.buttons = open_buttons(html), 0
         self.feed(html)
         self.close()
 
@@ -122,7 +148,10 @@ class _Markdown(TolerantParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         names = " ".join(filter(None, (dict(attrs).get("class"), dict(attrs).get("id"))))
-        noise = tag in DROPPED or bool(_NOISE.search(names))
+        noise = tag in DROPPED or tag not in KEPT and is_noise(names)
+        if tag == "button":
+            self.buttons += 1
+            noise = noise and self.buttons - 1 not in self.loose  # one that is never closed doesn't hold what follows
         if self.head and tag not in HEAD:
             self._end_head()
         if tag == "body":  # so does what was left open in a head

@@ -54,7 +54,7 @@ def with_retry(provider: Provider, texts: list[str], attempts: int = 5, least: f
 
 def by_index(items: list) -> list[list[float]]:
     """Vectors in the order of their texts, where a provider says which text each belongs to."""
-    if items and isinstance(items[0], tuple):
+    if items and all(isinstance(x, tuple) and len(x) == 2 and hasattr(x[1], "__len__") for x in items):  # a vector may be a tuple too
         return [v for _, v in sorted(items, key=lambda x: x[0])]
     return items
 

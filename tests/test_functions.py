@@ -167,3 +167,27 @@ def test_text_behind_a_refused_marked_section_is_kept():
         assert "b" in to_markdown(html)
         code = f'{html}\n<div class="codeblock-wrapper"><pre>x</pre></div>tail'
         assert clean_code(code) == f"{html}\n<pre>x</pre>tail"
+
+
+@pytest.mark.parametrize("name", ["page with-sidebar", "post has-comments", "social-sciences", "ad", "related"])
+def test_pages_and_articles_stay_whatever_their_names(name):
+    from corpusmill.functions.html import to_markdown
+
+    for tag in ("body", "article", "main"):
+        assert to_markdown(f'<html><body><{tag} class="{name}"><p>one</p></{tag}></body></html>') == "one"
+
+
+def test_whole_names_are_noise():
+    from corpusmill.functions.html import is_noise, to_markdown
+
+    assert all(is_noise(n) for n in ("ad", "x ad-box", "sidebar_left", "cookie-notice", "Comments", "comment-list", "ads2", "related"))
+    assert not any(is_noise(n) for n in ("", "with-sidebar", "has-comments", "social-sciences", "adequate", "download-share-price", "left", "-", "42"))
+    assert to_markdown('<body><div class="social-sciences"><p>a</p></div><div class="ad-box"><p>b</p></div></body>') == "a"
+
+
+def test_a_button_that_is_never_closed_swallows_nothing():
+    from corpusmill.functions.html import to_markdown
+
+    assert to_markdown("<p>one</p><button>x<p>two</p>").split() == ["one", "x", "two"]
+    assert to_markdown("<p>one</p><button>x</button><p>two</p>").split() == ["one", "two"]
+    assert to_markdown("<!-- <button> --><script>'<button>'</script><button>x</button><button>y<p>two</p>").split() == ["y", "two"]
