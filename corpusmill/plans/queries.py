@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runs
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.tokens import vocabulary_counter
@@ -470,6 +471,58 @@ def section_listing(spark, d):
     return I.documents_found(spark, d).groupBy("section").agg(F.count(F.lit(1)).alias("docs")).orderBy("section")
 
 
+# Entry points
+class _PageSource:
+    """``pages`` as a site: those divisible by 7 are listed twice, those divisible by 11 can't be had, and a page's only
+    paragraph are the words of its html."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.pages = table(spark, d, "pages")
+        self.found = I.candidates(spark, d).where("section in ('en', 'fr')")
+
+    def discover(self, spark: SparkSession) -> DataFrame:
+        return self.found.union(self.found.where("page_id % 7 = 0")).select("url", "section", F.col("page_id").alias("ord"))
+
+    def fetch(self, selected: DataFrame) -> DataFrame:
+        text = F.regexp_replace("html", "[^a-zA-Z]+", " ")
+        html = F.concat(F.lit("<title>T "), F.col("page_id"), F.lit("</title><article><p>"), text, F.lit("</p></article>"))
+        gone = F.col("page_id") % 11 == 0
+        return self.pages.join(selected.select("url"), "url").select("url", F.when(~gone, html).alias("html"), F.when(gone, "HTTPError").alias("error_type"), F.when(gone, "404").alias("error"))
+
+
+_SLUG = "regexp_replace(regexp_replace(replace(url, 'https:/', ''), '/+$', ''), '/', '__', 'g')"
+_RUN = f"""{_SAMPLE.replace("WITH " + I.CANDIDATES, f"WITH {I.CANDIDATES.replace('c AS', 'c0 AS', 1)}, c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c0 WHERE page_id % 7 = 0)", 1)},
+r AS (SELECT p.*, {_SLUG.replace("url", "p.url")} AS slug, x.page_id % 11 = 0 AS gone, {sql_words("regexp_replace(html, '[^a-zA-Z]+', ' ', 'g')")} AS n FROM p JOIN pages x ON p.url = x.url),
+o AS (SELECT *, CASE WHEN gone THEN 'HTTPError: 404' WHEN n < 100 THEN '{T.SHORT_MESSAGE.format(n="#", least=T.MIN_WORDS)}' END AS error, min(CASE WHEN NOT gone AND n >= 100 THEN ord END) OVER (PARTITION BY slug) AS first FROM r),
+s AS (SELECT *, CASE WHEN ord > first THEN 'skipped' WHEN ord = first THEN 'success' ELSE 'failed' END AS status FROM o)"""
+
+
+@query(f"""{_RUN} SELECT CAST(ord AS INT) AS ord, url, section, status, CASE WHEN status = 'success' THEN 'T ' || page_id END AS title, CASE WHEN status = 'success' THEN CAST(n AS INT) ELSE 0 END AS word_count,
+CASE WHEN status = 'failed' AND gone THEN error WHEN status = 'failed' THEN 'ExtractionError: ' || replace(error, '#', n::VARCHAR) END AS error_message, CASE WHEN status <> 'failed' THEN slug || '.md' END AS markdown_path, CASE WHEN NOT (status = 'failed' AND gone) THEN slug || '.html' END AS html_raw_path FROM s""")
+def run_scraping(spark, d):
+    """The manifest of a run over ``pages``: sampled, fetched, extracted, written and read back."""
+    out = new_path(spark, "run")
+    try:
+        got = runs.run_scraping(spark, _PageSource(spark, d), 100, out, base=I.BASE, sections=("en", "fr"))
+        manifest = got["manifest"]
+    except selection.RunAborted:  # too many failures; the manifest is there all the same
+        manifest = spark.read.format("binaryFile").load(f"{out}/manifest/*/counters").select("path").first()[0].rsplit("/", 2)[0]
+    return S.read_manifest_documents(spark, manifest).select("ord", "url", "section", "status", "title", "word_count", "error_message", "markdown_path", "html_raw_path")
+
+
+@query(f"""WITH {I.CHUNKS}, sums AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens FROM k)
+SELECT CAST(x.range AS INT) AS run, docs AS docs_processed, CASE WHEN x.range = 1 THEN chunks ELSE 0 END AS chunks_created, CASE WHEN x.range = 2 THEN chunks ELSE 0 END AS chunks_updated, CASE WHEN x.range = 0 THEN chunks ELSE 0 END AS chunks_skipped,
+tokens AS total_tokens, tokens / 1000000 * 0.02 AS total_cost_usd FROM sums CROSS JOIN range(3) x""")
+def index_runs(spark, d):
+    """Counters of a dry run (0), a first one (1), and the same again (2)."""
+    docs = I.markdown(spark, d).select(F.concat(F.lit("d"), F.col("doc_id")).alias("url"), F.lit("T").alias("title"), F.col("lang").alias("section"), F.lit("2026-01-01T00:00:00Z").alias("scraped_at"), F.lit(1).alias("word_count"), "body")
+    held, rows = store.VersionedStore(spark, new_path(spark, "store")), []
+    for run in range(3):
+        got = runs.index_documents(spark, docs, held, embedding.hash_provider(8), dimension=8, dry_run=run == 0, ask=lambda _: "yes")
+        rows.append((run, *(got[k] for k in ("docs_processed", "chunks_created", "chunks_updated", "chunks_skipped", "total_tokens")), float(got["total_cost_usd"])))
+    return spark.createDataFrame(rows, "run int, docs_processed long, chunks_created long, chunks_updated long, chunks_skipped long, total_tokens long, total_cost_usd double")
+
+
 # Embedding
 @query()
 def embed_texts(spark, d):
