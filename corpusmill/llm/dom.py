@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from ..functions.html import TolerantParser
+from ..functions.html import TolerantParser, open_buttons
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +49,7 @@ class Page(TolerantParser):
         self.inputs, self.links = [0], []
         self.open: list[tuple[str, int]] = [("#root", 0)]
         self.block = self.silent = self.anchor = 0
+        self.loose, self.buttons = open_buttons(html), 0
         self.feed(html)
         self.close()
 
@@ -68,6 +69,11 @@ class Page(TolerantParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "button":
+            self.buttons += 1
+            if self.buttons - 1 in self.loose:  # never closed: a line break in place of what would hold the rest
+                self.block += 1
+                return
         if self.silent and tag != "body":
             if tag not in VOID:
                 self.open.append((tag, self.open[-1][1]))
@@ -119,8 +125,25 @@ def tokens_of(attrs: dict) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text)] + [w.lower() for w in text.split()] if text.strip() else []
 
 
+#: Elements whose text is not the page's own.
+ASIDE = frozenset("nav menu header footer aside form fieldset".split())
+
+
+def own_text(page: Page) -> np.ndarray:
+    """Which nodes have text of their own, not all of it in links and none of it within menus and the like."""
+    n = len(page.tags)
+    own, linked = np.zeros(n), np.zeros(n)
+    for _, node, text, link in page.pieces:
+        own[node] += len(text.strip())
+        linked[node] += len(text.strip()) * link
+    apart = np.zeros(n, dtype=bool)
+    for k in range(1, n):
+        apart[k] = apart[page.parents[k]] or page.tags[k] in ASIDE
+    return (own > linked) & ~apart
+
+
 def node_features(page: Page, scores: dict[str, float]) -> np.ndarray:
-    """One row a node: depth, siblings, sums over the subtree and densities, element kinds, and what the tokens of its
+    """One row a node: depth, siblings and its share of the longest, sums over the subtree and densities, headings, element kinds, and what the tokens of its
     attributes and of its ancestors' say for or against it by ``scores`` (log-odds; an unknown token says nothing)."""
     n = len(page.tags)
     parent = np.array(page.parents)
@@ -136,7 +159,7 @@ def node_features(page: Page, scores: dict[str, float]) -> np.ndarray:
                 start[node] = at
             at += k
     total = own.copy()
-    sums = np.stack([total, linked, marks, np.ones(n), np.array([t in ("p", "blockquote") for t in page.tags], float), np.array(page.inputs, float), np.array([t in ("li", "dd") for t in page.tags], float)])
+    sums = np.stack([total, linked, marks, np.ones(n), np.array([t in ("p", "blockquote") for t in page.tags], float), np.array(page.inputs, float), np.array([t in ("li", "dd") for t in page.tags], float), np.array([t == "h1" for t in page.tags], float), np.array([t in ("h2", "h3", "h4", "h5", "h6") for t in page.tags], float)])
     said = np.zeros((n, 2))  # the least and the greatest score of the node's own tokens
     for k, attrs in enumerate(page.attrs):
         own_scores = [scores[w] for w in tokens_of(attrs) if w in scores] if attrs else []
@@ -156,12 +179,14 @@ def node_features(page: Page, scores: dict[str, float]) -> np.ndarray:
         sums[:, p] += sums[:, k]
         if first[k] >= 0 and (first[p] < 0 or first[k] < first[p]):
             first[p] = first[k]
-    text, links, dots, nodes, paragraphs, inputs, items = sums
+    text, links, dots, nodes, paragraphs, inputs, items, titles, heads = sums
+    widest = np.zeros(n)  # the longest text among a node's children
+    np.maximum.at(widest, parent[1:], text[1:])
     safe, whole = np.maximum(text, 1), max(text[0], 1)
     up = np.maximum(parent, 0)
     kinds = np.zeros((n, len(TAG_KINDS)))
     for k, t in enumerate(page.tags):
         if t in _KIND_OF:
             kinds[k, _KIND_OF[t]] = 1
-    numbers = [depth, children[up], index / np.maximum(children[up], 1), np.log1p(text), np.log1p(own), links / safe, np.log1p(nodes) - np.log1p(text), np.log1p(paragraphs), text / whole, np.maximum(first, 0) / whole, text / np.maximum(text[up], 1), dots / safe * 100, inputs, items / nodes, named]
+    numbers = [depth, children[up], index / np.maximum(children[up], 1), np.log1p(text), np.log1p(own), links / safe, np.log1p(nodes) - np.log1p(text), np.log1p(paragraphs), text / whole, np.maximum(first, 0) / whole, text / np.maximum(text[up], 1), dots / safe * 100, inputs, items / nodes, named, titles > 0, np.log1p(heads), text / np.maximum(widest[up], 1), titles[up] > 0]
     return np.concatenate([np.stack(numbers, axis=1), kinds, said, above], axis=1).astype(np.float32)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
 from .common import read_table
-from .dom import Page, node_features, tokens_of
+from .dom import Page, node_features, own_text, tokens_of
 
 #: Bounds of the fit: pages that lend their words, and teaching pages that are composed of them.
 SAMPLE_PAGES, TEACHING_PAGES = 60, 400
@@ -59,6 +59,26 @@ def teaching_page(words: list[str], rng: random.Random) -> str:
         mark = f' {key}="{name}"' if tag == "div" or always or rng.random() < 0.4 else ""
         return f'<{tag}{mark} data-y="0">{inner}</{tag}>'
 
+    def link_list(n: int) -> str:
+        item = rng.choice([lambda: f'<a href="/z">{say(2, 9)}</a>', lambda: f'<a href="/z">{say(1, 6)}</a> {say(1, 8)}'])
+        return "<ul>" + "".join(f"<li>{item()}</li>" for _ in range(n)) + "</ul>"
+
+    def code() -> str:
+        lines = f"<pre>{say(1, 6)} = {say(1, 3)}\n{say(1, 8)}</pre>"
+        wrapped = rng.choice(["highlight", "code", "codehilite", "listing", "example", name_of("body"), *("".join(rng.choice("bcdfghk") + rng.choice("aeiou") for _ in range(3)) for _ in range(2))])
+        return rng.choice([lines, f'<div class="{wrapped}">{lines}</div>', f'<div class="{wrapped}"><div>{lines}</div></div>', f"<div>{lines}</div>"])
+
+    def extra() -> str:
+        """What articles hold besides paragraphs."""
+        kind = rng.random()
+        if kind < 0.35:
+            return link_list(rng.choice([3, 5, 8, 8, 14, 30]))
+        if kind < 0.65:
+            return code()
+        if kind < 0.8:
+            return rng.choice([f"<figure><img src=i><figcaption>{say(2, 14)}</figcaption></figure>", f'<div class="{rng.choice(["figure", "image", "photo", name_of("body")])}"><img src=i><p>{say(2, 12)}</p></div>'])
+        return "<dl>" + "".join(f"<dt>{say(1, 3)}</dt><dd>{say(2, 12)}.</dd>" for _ in range(rng.randint(1, 6))) + "</dl>"
+
     def advert() -> str:
         return named("advert", None, rng.choice([say(3, 14) + ".", f"<p>{say(3, 20)}</p>", f'<a href="/x">{say(2, 8)}</a>', f"<h3>{say(1, 4)}</h3><p>{say(4, 12)}.</p>"]))
 
@@ -87,11 +107,14 @@ def teaching_page(words: list[str], rng: random.Random) -> str:
         one = lambda: rng.choice([f"<p>{say(3, 40)}.</p>", f"<div><p>{say(3, 60)}.</p></div>", f"<li>{say(3, 30)}</li>"])
         return named("reader", "section", f"<h3>{say(1, 3)}</h3>" + "".join(one() for _ in range(rng.randint(1, 9))), always=True)
 
+    form = rng.random()
     parts = [f"<h1>{say(2, 12)}</h1>"] if rng.random() < 0.9 else []
-    parts += [paragraph() for _ in range(rng.choice([1, 2, 4, 8, 16, 25]))]
+    if form < 0.45 and rng.random() < 0.1:  # an article of links, which only its element tells from a menu
+        parts += [link_list(rng.choice([3, 8, 20, 30]))]
+    else:
+        parts += [extra() if rng.random() < 0.1 else paragraph() for _ in range(rng.choice([1, 1, 2, 3, 4, 8, 16, 25]))]
     for _ in range(rng.choice([0, 0, 1, 2])):
         parts.insert(rng.randint(0, len(parts)), rng.choice([advert, lambda: named("side", "aside", links(3)), lambda: named("notice", None, say(5, 25)), lambda: named("form", "form", f"<label>{say(1, 3)}</label><input>")])())
-    form = rng.random()
     if form < 0.45:
         tag = rng.choice(["article", "article", "main"])
         article = f'<{tag} data-y="1">' + "".join(parts) + f"</{tag}>"
@@ -148,7 +171,7 @@ class Model:
         """Which nodes stay; the nodes of all pages go through the trees together."""
         x = [node_features(p, self.scores) for p in pages]
         odds = np.split(self.trees.log_odds(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1]) if pages else []
-        return [decode(p.parents, o) for p, o in zip(pages, odds)]
+        return [decode(p.parents, o, own_text(p)) for p, o in zip(pages, odds)]
 
 
 def token_counts(pages: list[Page], kept: list[np.ndarray]) -> dict[str, Counter]:
@@ -200,11 +223,12 @@ def fit(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", sampl
     return fit_rows(sorted(r[0] for r in rows.where(draw < min(1.0, sample / max(1, n))).select(html_col).collect()))
 
 
-def decode(parents: list[int], odds: np.ndarray) -> np.ndarray:
+def decode(parents: list[int], odds: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """The likeliest set of kept nodes that holds every kept node's parent.
 
     ``odds`` are log-odds that a node is kept given that its parent is. A kept node counts log p and the better of both
-    choices for each child; a dropped one counts log(1 - p), and so do all below it nothing: they go with it.
+    choices for each child; a dropped one counts log(1 - p), and so do all below it nothing: they go with it. Of the nodes
+    ``wanted``, if there are any, at least one is kept: where the likeliest set has none, the likeliest with one is taken.
     """
     keep_it, drop_it = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     best = keep_it.tolist()
@@ -214,6 +238,18 @@ def decode(parents: list[int], odds: np.ndarray) -> np.ndarray:
     keep = np.ones(len(parents), dtype=bool)
     for k in range(1, len(parents)):
         keep[k] = keep[parents[k]] and best[k] > lost[k]
+    if wanted is None or not wanted.any() or (keep & wanted).any():
+        return keep
+    loss = np.zeros(len(parents))  # of keeping a node and all above it
+    for k in range(1, len(parents)):
+        loss[k] = loss[parents[k]] + max(0.0, lost[k] - best[k])
+    k = int(np.flatnonzero(wanted)[np.argmin(loss[wanted])])
+    forced = np.zeros(len(parents), dtype=bool)
+    while k > 0:
+        forced[k] = True
+        k = parents[k]
+    for k in range(1, len(parents)):
+        keep[k] = keep[parents[k]] and (forced[k] or best[k] > lost[k])
     return keep
 
 

@@ -491,3 +491,61 @@ def test_revisits_read_all_header_lines(spark):
     many = "".join(f"\r\nX-{k}: y" for k in range(120_000))
     records = [record("response", "f", "http://h/", "2024-01-01T00:00:00Z", f'HTTP/1.1 200 OK{many}\r\nETag: "z"'), record("revisit", "r", "http://h/", "2024-01-01T00:00:01Z", 'HTTP/1.1 304 x\r\nETag: "z"')]
     assert resolved(spark, records) == {"r": ("f", "resolved")}
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    """The pages of sf0.1 and a model fitted as the query does."""
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    return [r["html"] for r in table.orderBy("page_id").collect()], html_text.fit(table)
+
+
+_MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul></nav>'
+_LINKS = "".join(f'<li><a href="/p{k}">A paper number {k} on things</a></li>' for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "inner, lines",
+    [
+        (f"<article><h1>Reading list</h1><p>What to read next, in short.</p><ul>{_LINKS}</ul><p>That is all, for now.</p></article>", 11),
+        (f"<article><h1>Reading list</h1><ul>{_LINKS * 4}</ul></article>", 33),
+        ('<article><p>Some words on code, which is below.</p><div class="highlight"><pre>x = 1\ny = 2</pre></div><p>And after it there is more.</p></article>', 3),
+        ("<article><p>one is here, and it is text.</p><button>x<p>two follows the button that stays open.</p></article>", 3),
+        ("<article><p>Some words on it, which is below.</p><figure><img src=x><figcaption>The figure caption says this.</figcaption></figure><p>More.</p></article>", 3),
+        ("<article><h1>Terms</h1><dl><dt>One</dt><dd>The first of all numbers.</dd><dt>Two</dt><dd>The next one.</dd></dl></article>", 5),
+        ('<div class="qx7"><p>Short text.</p></div>', 1),
+        ('<div class="qx7"><h1>Short</h1><p>Short text.</p><p>More of it, in two parts.</p></div>', 3),
+    ],
+)
+def test_articles_keep_all_their_parts(pages, inner, lines):
+    text = html_text.main_texts([f"<html><body>{_MENU}{inner}</body></html>"], pages[1])[0]
+    assert len(text.split("\n")) == lines and "Home" not in text and "About" not in text
+
+
+def test_articles_under_unknown_names_keep_their_text(pages):
+    """All pages of sf0.1, their articles renamed in six ways, give what they give as articles."""
+    import re
+
+    htmls, model = pages
+    want = html_text.main_texts(htmls, model)
+    assert all(want)
+    for name in ("qx7", "c-12", "txt", "leaf col", "w9", "zub-lo"):
+        renamed = [re.sub(r"<article(\s[^>]*)?>", f'<div class="{name}">', h).replace("</article>", "</div>") for h in htmls]
+        got = html_text.main_texts(renamed, model)
+        assert all(got) and sum(a != b for a, b in zip(want, got)) <= 5
+
+
+@given(st.integers(2, 9), st.data())
+@settings(max_examples=100, deadline=None)
+def test_decoding_keeps_a_wanted_node_at_least_loss(n, data):
+    """Against all sets of nodes that hold every node's parent."""
+    parents = [-1] + [data.draw(st.integers(0, k - 1)) for k in range(1, n)]
+    odds = np.array([0.0] + [data.draw(st.floats(-3, 3)) for _ in range(1, n)])
+    wanted = np.array([False] + [data.draw(st.booleans()) for _ in range(1, n)])
+    keep = html_text.decode(parents, odds, wanted)
+    score = lambda s: sum(-np.logaddexp(0, -odds[k] if s[k] else odds[k]) for k in range(1, n) if s[parents[k]])
+    sets = [s for m in range(1 << n) if (s := [bool(m >> k & 1) for k in range(n)])[0] and all(s[parents[k]] or not s[k] for k in range(1, n))]
+    allowed = [s for s in sets if not wanted.any() or any(a and b for a, b in zip(s, wanted))]
+    assert keep[0] and all(keep[parents[k]] or not keep[k] for k in range(1, n))
+    assert not wanted.any() or (keep & wanted).any()
+    assert score(list(keep)) >= max(map(score, allowed)) - 1e-9
