@@ -9,11 +9,11 @@ from .. import runs
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.tokens import vocabulary_counter
-from ..operators import chunking, embedding, headings, reporting, retrieval, selection, store
+from ..operators import chunking, embedding, headings, keyword_index, reporting, retrieval, selection, similarity_join, store, vector_index
 from ..sources import documents as S
 from ..sources import sinks
 from ..staging import new_path
-from ..streaming import ingest
+from ..streaming import ingest, sessions
 from . import inputs as I  # noqa: E741
 from .inputs import sql_strip, sql_tokens, sql_words, table
 
@@ -621,3 +621,55 @@ def rerank(spark, d):
     found = _trigram_lists(spark, d, 50).select("query_id", "id")
     found = found.join(t.select(F.col("doc_id").alias("id"), "text"), "id").join(t.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
     return retrieval.rerank(found, lambda qs, ts: [-abs(len(q) - len(t)) for q, t in zip(qs, ts)], 10)
+
+
+# Indexes
+@query(f"WITH {_VECTORS} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM v WHERE rank <= 10")
+def vector_index_exact(spark, d):
+    """All lists of the index read: the result of a plain search."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = vector_index.build_index(v, id_col="vec_id", vec_col="embedding")
+    return vector_index.search(index, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10, vec_col="embedding", probes=len(index.quantisers.lists))
+
+
+@query()
+def vector_index_recall(spark, d):
+    """For each query: how many of its ten nearest the index finds with the lists that it thinks enough, and the share of
+    all rows that it reads for them."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    index = vector_index.build_index(v, id_col="vec_id", vec_col="embedding")
+    got = vector_index.search(index, q, 10, vec_col="embedding").select("query_id", "id", F.lit(1).alias("hit"))
+    found = retrieval.vector_topk(q, v, 10, id_col="vec_id", vec_col="embedding").join(got, ["query_id", "id"], "left")
+    return found.groupBy("query_id").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("wanted")).join(vector_index.share_read(index, q, vec_col="embedding"), "query_id")
+
+
+@query(f"WITH {_TRIGRAMS} SELECT query_id, id, score FROM t WHERE score >= 0.6")
+def trigram_join(spark, d):
+    """Every 50th text against all, by posting lists of their rarest trigrams."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    return similarity_join.similarity_join(t.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), t, 0.6, id_col="doc_id", text_col="text")
+
+
+_TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, len({_TERMS}) AS length FROM documents), s AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
+df AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, s GROUP BY term, n),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark),
+b AS (SELECT query_id, doc_id AS id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN l USING (doc_id), s GROUP BY ALL),
+r AS (SELECT *, {_BEST} FROM b) SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+def keyword_topk(spark, d):
+    """The ten documents with the greatest BM25 score for each passage of ``benchmark``."""
+    index = keyword_index.build_index(table(spark, d, "documents"))
+    return keyword_index.search(index, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER u < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS started, (max(ts) + INTERVAL 6 HOUR)::TIMESTAMP AS ended, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, s""")
+def user_sessions(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions.user_sessions(e, gap="6 hours", aggregates={"total": F.round(F.sum("value"), 4)})
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
