@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from .common import read_table, stage
 #: Digests in one filter, about 1.4 bytes each: small shards spread over many tasks, and none grows with the table.
 KEYS_PER_SHARD = 2_048
 
+#: Bits of the filter of suspects' digests that every task gets, whatever their number; 1 MB.
+SUSPECT_BITS = 1 << 23
+
 _FILTER = "shard long, seed int, segment int, segments int, slots binary"
 
 
@@ -41,8 +46,6 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """The batch's distinct digests that the snapshot's filters let through: all known ones, and about 1 in 256 others."""
 
     def probe(digests: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         if digests.empty or found.empty:
             return pd.DataFrame({"_sha": pd.Series([], dtype=object)})
         f = found.iloc[0]
@@ -52,35 +55,79 @@ def screen(batch: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     return _digests(batch, shards).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "_sha binary")
 
 
-def exact_dedup(docs: DataFrame, incoming: Column, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
-    """Groups of equal texts over a snapshot and a batch: the row with the largest id stays.
+@dataclass
+class Snapshot:
+    """An immutable set of documents (doc_id, _text), their digests (doc_id, _sha), and one filter a shard of these."""
 
-    ``incoming`` marks the batch; the other rows are the immutable snapshot. The snapshot's digests become binary fuse
-    filters, one a shard. A batch digest that its filter refuses is new for certain; what passes is joined with the
-    snapshot's exact buckets (digest and bytes). Copies inside the batch are grouped apart from that. Bytes are compared
-    wherever two rows share a digest, so that colliding digests give separate groups; a digest that occurs once needs no
-    text. Copies are combined before each shuffle; the last join meets a hot digest, which adaptive execution splits.
+    documents: DataFrame
+    digests: DataFrame
+    filters: DataFrame
+    shards: int
 
-    Defined cases: a null text counts as empty; very long texts are hashed and compared whole; rows that tie for the largest
-    id (a repeated one) all stay; null ids are kept as rows (the largest non-null id of a group stays, and
-    a group of null ids only keeps none); rows that repeat an id each give a row; an empty table gives an empty result;
-    other columns are ignored. Returns doc_id, keep_id, group_size, kept, text_sha256.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(incoming, F.lit(True)).alias("_new"))
-    base = base.withColumn("_sha", digest(F.col("_text")))
-    narrow = stage(base.select("doc_id", "_sha", "_new"), "digests")
-    old, new = narrow.where("not _new"), narrow.where("_new")
 
-    shards = max(1, math.ceil(old.count() / keys_per_shard))
-    filters = stage(build_filters(old, shards), "fuse")
-    passed = stage(screen(new, filters, shards), "passed")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+
+
+def _made(docs: DataFrame, digest: Callable[[Column], Column], keys_per_shard: int, kept: Callable[[DataFrame, str], DataFrame]) -> Snapshot:
+    digests = kept(docs.select("doc_id", digest(F.col("_text")).alias("_sha")), "digests")
+    shards = max(1, math.ceil(digests.count() / keys_per_shard))
+    return Snapshot(docs, digests, kept(build_filters(digests, shards), "fuse"), shards)
+
+
+def save_snapshot(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, keys_per_shard: int = KEYS_PER_SHARD) -> Snapshot:
+    """Hashes a snapshot and builds its filters, once, and keeps both in ``path``."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return _made(_rows(docs, id_col, text_col), digest, keys_per_shard, kept)
+
+
+def load_snapshot(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keys_per_shard: int = KEYS_PER_SHARD) -> Snapshot:
+    """What ``save_snapshot`` has kept of the same documents; nothing is hashed or built again."""
+    digests, filters = (docs.sparkSession.read.parquet(f"{path}/{name}") for name in ("digests", "fuse"))
+    return Snapshot(_rows(docs, id_col, text_col), digests, filters, max(1, math.ceil(digests.count() / keys_per_shard)))
+
+
+def _places(sha: str | Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(sha, F.lit(k)), F.lit(SUSPECT_BITS)) for k in (2, 3)]
+
+
+def suspected(rows: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The rows whose digest may be a suspect's: all that are and, while suspects are few beside the filter's bits, few
+    others. The filter has a fixed size and is looked up where the rows lie, so that unique texts aren't shuffled."""
+    places = suspects.select(F.explode(F.array(*_places("_sha"))).alias("p"))
+    words = places.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")).collect()
+    bits = np.zeros(SUSPECT_BITS // 64, dtype=np.int64)
+    for w, b in words:
+        bits[w] = b
+    held = rows.sparkSession.createDataFrame([(bits.tolist(),)], "_bits array<long>")
+    hit = F.lit(True)
+    for p in _places("_sha"):
+        hit = hit & (F.call_function("shiftrightunsigned", F.col("_bits")[(p / 64).cast("int")], (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return rows.crossJoin(F.broadcast(held)).where(hit).drop("_bits")  # one row
+
+
+def dedup_batch(batch: DataFrame, snapshot: Snapshot, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Groups of equal texts over a kept snapshot and a batch, as ``exact_dedup`` gives them, with a row for each row of both.
+
+    The batch is hashed; the snapshot's digests and filters are read as they were kept.
+    """
+    new_rows = _rows(batch, id_col, text_col)
+    new = stage(new_rows.select("doc_id", digest(F.col("_text")).alias("_sha")), "digests")
+    passed = stage(screen(new, snapshot.filters, snapshot.shards), "passed")
+    tag = lambda df, n: df.select("*", F.lit(n).alias("_new"))
+    narrow = tag(snapshot.digests, False).union(tag(new, True))
+    base = tag(snapshot.documents, False).union(tag(new_rows, True)).withColumn("_sha", digest(F.col("_text")))
 
     # Texts are needed where a digest occurs twice in the snapshot, twice in the batch, or passed the filter.
     twice = narrow.groupBy("_new", "_sha").count().where("count > 1").select("_sha")
-    # One strategy at every size: texts are dealt by id, whether or not the suspects would fit into a broadcast.
     # Staged: the join below must not take over the digest's partitioning, in which all copies of a text meet.
-    suspects = stage(narrow.join(twice.union(passed).distinct(), "_sha", "left_semi").select("doc_id", "_sha"), "suspects")
-    texts = base.join(suspects.hint("merge"), on=[base["doc_id"].eqNullSafe(suspects["doc_id"]), base["_sha"] == suspects["_sha"]], how="left_semi")
+    suspects = stage(narrow.join(twice.union(passed).distinct(), "_sha", "left_semi").select("doc_id", "_sha").distinct(), "suspects")
+    near = suspected(base, suspects)
+    texts = near.join(suspects.hint("merge"), on=[near["doc_id"].eqNullSafe(suspects["doc_id"]), near["_sha"] == suspects["_sha"]], how="left_semi")
 
     def buckets(rows: DataFrame, tag: str) -> DataFrame:
         return rows.groupBy("_sha", "_text").agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.max("doc_id").alias(f"top_{tag}"))
@@ -101,6 +148,27 @@ def exact_dedup(docs: DataFrame, incoming: Column, *, id_col: str = "doc_id", te
     return out.select("doc_id", "keep_id", F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
+def exact_dedup(docs: DataFrame, incoming: Column, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+    """Groups of equal texts over a snapshot and a batch: the row with the largest id stays.
+
+    ``incoming`` marks the batch; the other rows are the immutable snapshot. The snapshot's digests become binary fuse
+    filters, one a shard (``save_snapshot`` keeps them for later batches, ``dedup_batch``). A batch digest that its filter
+    refuses is new for certain; what passes is joined with the snapshot's exact buckets (digest and bytes). Copies inside
+    the batch are grouped apart from that. Bytes are compared wherever two rows share a digest, so that colliding digests
+    give separate groups; a digest that occurs once needs no text, and a filter of the suspects' digests keeps its text
+    where it lies. Copies are combined before each shuffle; the last join meets a hot digest, which adaptive execution
+    splits.
+
+    Defined cases: a null text counts as empty; very long texts are hashed and compared whole; rows that tie for the largest
+    id (a repeated one) all stay; null ids are kept as rows (the largest non-null id of a group stays, and
+    a group of null ids only keeps none); rows that repeat an id each give a row; an empty table gives an empty result;
+    other columns are ignored. Returns doc_id, keep_id, group_size, kept, text_sha256.
+    """
+    new = F.coalesce(incoming, F.lit(True))
+    snapshot = _made(_rows(docs.where(~new), id_col, text_col), digest, keys_per_shard, stage)
+    return dedup_batch(docs.where(new), snapshot, id_col=id_col, text_col=text_col, digest=digest)
+
+
 def batch_rule(id_col: str = "doc_id") -> Column:
     """The query's split: a quarter of the ids, by hash, plays the incoming batch; the rest is the snapshot."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 3

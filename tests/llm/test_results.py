@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusmill.llm import boosting, exact_dedup, html_text, language_id, mixing, near_dedup, near_vectors, packing, token_counts, toxicity
@@ -235,6 +236,28 @@ def test_filters_screen_what_is_new(spark, docs):
     assert known <= passed and len(passed - known) <= 5
 
 
+def test_kept_filters_screen_later_batches(spark, docs, tmp_path, monkeypatch):
+    """A snapshot is hashed and its filters are built once; two batches against it give what all rows together give."""
+    both = docs.select("doc_id", "text").union(docs.where("doc_id % 3 = 0").selectExpr("doc_id + 1000", "text")).union(docs.where("doc_id % 5 = 0").selectExpr("doc_id + 2000", "text"))
+    old = both.where("doc_id < 120")
+    exact_dedup.save_snapshot(old, f"file://{tmp_path}/kept")
+    monkeypatch.setattr(exact_dedup, "build_filters", None)
+    snapshot = exact_dedup.load_snapshot(old, f"file://{tmp_path}/kept")
+    for batch in (both.where("doc_id between 120 and 999"), both.where("doc_id >= 1000")):
+        rows = {r["doc_id"]: r["text"] or "" for r in old.union(batch).collect()}
+        got = exact_dedup.dedup_batch(batch, snapshot).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(i, max(j for j in rows if rows[j] == t), sum(u == t for u in rows.values())) for i, t in rows.items()}
+
+
+def test_unique_texts_are_not_shuffled(spark):
+    """What is left of all texts before the shuffle: the suspects' and next to nothing else."""
+    rows = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as _text").withColumn("_sha", exact_dedup.sha256(F.col("_text")))
+    suspects = rows.where("doc_id % 100 = 0").select("doc_id", "_sha")
+    left = {r["doc_id"] for r in exact_dedup.suspected(rows, suspects).collect()}
+    assert {k for k in range(4000) if k % 100 == 0} <= left and len(left) <= 42
+    assert exact_dedup.suspected(rows, suspects.limit(0)).count() == 0
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), max_size=30))
 @settings(max_examples=150, deadline=None)
 def test_plan_places_every_piece(counts):
