@@ -66,19 +66,26 @@ def delete_orphans(store: DataFrame, incoming: DataFrame, *, key: list[str] = KE
     return store.join(n, F.col(key[0]) == F.col("_d"), "left").withColumn("orphan", over).drop("_d", "_n")
 
 
-def merge(existing: DataFrame, incoming: DataFrame, *, now: object = None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(the store after upsert and orphan removal, one row of counters), both read from one staged evaluation.
+def upsert_counters(existing: DataFrame, incoming: DataFrame, *, key: list[str] = KEY) -> DataFrame:
+    """One row: chunks created, updated and deleted by an upsert with orphan removal, counted from keys alone.
 
     A key that came twice counts as one created and one updated row.
     """
-    marked = stage(delete_orphans(upsert(existing, incoming, now=now, top=top), incoming), "marked")
-    repeats = F.when(F.col("action") == "created", F.col("times") - 1).when(F.col("action") == "updated", F.col("times"))
-    counters = marked.agg(
-        F.count_if(F.col("action") == "created").alias("chunks_created"),
-        F.coalesce(F.sum(repeats), F.lit(0)).alias("chunks_updated"),
+    new = incoming.groupBy(*key).agg(F.count(F.lit(1)).alias("_times"))
+    both = existing.select(*key, F.lit(True).alias("_old")).join(new, key, "full")
+    marked = delete_orphans(both, incoming.select(*key), key=key)
+    updated = F.when(F.col("_old").isNull(), F.col("_times") - 1).otherwise(F.coalesce("_times", F.lit(0)))
+    return marked.agg(
+        F.count_if(F.col("_old").isNull()).alias("chunks_created"),
+        F.coalesce(F.sum(updated), F.lit(0)).alias("chunks_updated"),
         F.count_if("orphan").alias("chunks_deleted"),
     )
-    return marked.where("not orphan").select(*existing.columns), counters
+
+
+def merge(existing: DataFrame, incoming: DataFrame, *, now: object = None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the store after upsert and orphan removal, one row of counters); contents are staged once, counters need none."""
+    marked = delete_orphans(upsert(existing, incoming, now=now, top=top), incoming)
+    return marked.where("not orphan").select(*existing.columns), upsert_counters(existing, incoming)
 
 
 def ensure_schema(spark: SparkSession, table: str, schema: str = SCHEMA) -> None:

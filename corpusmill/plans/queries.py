@@ -137,7 +137,7 @@ def delete_orphans(spark, d):
 
 @query(f"{_UPSERTED} SELECT count_if(action = 'created') AS chunks_created, CAST(sum(CASE action WHEN 'created' THEN times - 1 WHEN 'updated' THEN times ELSE 0 END) AS BIGINT) AS chunks_updated, count_if(orphan) AS chunks_deleted FROM v")
 def upsert_counters(spark, d):
-    return store.merge(I.stored_chunks(spark, d), I.incoming_chunks(spark, d))[1]
+    return store.upsert_counters(I.stored_chunks(spark, d), I.incoming_chunks(spark, d))
 
 
 @query()

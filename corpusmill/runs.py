@@ -20,6 +20,8 @@ from .sources.documents import SourceAdapter
 from .sources.fetch import ScraperScope
 from .staging import stage
 
+#: Documents and failures that a report's text lists at most.
+LISTED = 1000
 _NOW = "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ssXXX\")"
 
 
@@ -151,8 +153,8 @@ def index_documents(
 def write_report(spark: SparkSession, counters: dict, documents: DataFrame, markdown: DataFrame, path: str) -> str:
     """Writes the Markdown report of a run and returns it; without any document with Markdown it fails.
 
-    documents: of a manifest; markdown: slug, md of those that have some. The listing is of a run's sample, which is
-    bounded by its target.
+    documents: of a manifest; markdown: slug, md of those that have some. The listing and the failures are written whole, as
+    tables beside the report (``path`` with ``_documents`` and ``_failures``); the text holds the first ``LISTED`` of each.
     """
     from .functions.text import front_matter_field, strip_front_matter
 
@@ -163,14 +165,18 @@ def write_report(spark: SparkSession, counters: dict, documents: DataFrame, mark
     words = reporting.word_count_stats(rows).first().asDict()
     if not words["n"]:
         raise ValueError("no document has a word count")
+    listing = reporting.report_listing(rows)
+    listing.write.mode("overwrite").parquet(f"{path}_documents")
+    failures = documents.where("status = 'failed'")
+    failures.write.mode("overwrite").parquet(f"{path}_failures")
     text = reporting.render_report(
         counters,
         reporting.status_by_section(documents).orderBy("section").collect(),
         words,
         headings.empty_heading_summary(found, rows, key="slug").first().asDict(),
         headings.top_titles(found, order=["slug", "pos"]).collect(),
-        reporting.report_listing(rows).orderBy("n").collect(),
-        documents.where("status = 'failed'").orderBy("url").collect(),
+        listing.where(F.col("n") <= LISTED).orderBy("n").collect(),
+        failures.orderBy("url").limit(LISTED).collect(),
     )
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return text
