@@ -9,11 +9,11 @@ from .. import runs
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.tokens import vocabulary_counter
-from ..operators import chunking, embedding, headings, keyword_index, reporting, retrieval, selection, similarity_join, store, vector_index
+from ..operators import chunking, embedding, headings, intervals, keyword_index, reporting, retrieval, selection, similarity_join, store, vector_index
 from ..sources import documents as S
 from ..sources import sinks
 from ..staging import new_path
-from ..streaming import ingest, sessions
+from ..streaming import ingest, joins, sessions
 from . import inputs as I  # noqa: E741
 from .inputs import sql_strip, sql_tokens, sql_words, table
 
@@ -673,3 +673,21 @@ def user_sessions(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = sessions.user_sessions(e, gap="6 hours", aggregates={"total": F.round(F.sum("value"), 4)})
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
+# Joins of intervals
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS placed, max(l_shipdate) AS shipped FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING max(l_shipdate) >= o_orderdate)
+SELECT a.o_custkey AS custkey, a.o_orderkey AS first_order, b.o_orderkey AS second_order, greatest(a.placed, b.placed) AS since FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.placed <= b.shipped AND b.placed <= a.shipped""")
+def order_overlaps(spark, d):
+    """Orders of one customer that were under way at the same time, from order to last shipment."""
+    shipped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    o = table(spark, d, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
+    side = lambda n: o.select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias(f"{n}_order"), F.col("o_orderdate").alias(f"{n}_placed"), F.col("shipped").alias(f"{n}_shipped"))
+    met = intervals.interval_join(side("first"), side("second"), on=["custkey"], left_ends=("first_placed", "first_shipped"), right_ends=("second_placed", "second_shipped"), width="60 days")
+    return met.where("first_order < second_order").select("custkey", "first_order", "second_order", F.greatest("first_placed", "second_placed").alias("since"))
+
+
+@query("""SELECT c.user_id, c.event_id AS first_id, p.event_id AS then_id FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR""")
+def clicks_before_purchases(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return joins.followed_by(e.where("event_type = 'click'"), e.where("event_type = 'purchase'")).select("user_id", "first_id", "then_id")
