@@ -101,8 +101,25 @@ def chunk_metadata(source: Column | str, words: Column | str, scraped_at: Column
     return F.to_json(F.struct(col(source).alias("source"), col(words).alias("doc_word_count"), col(scraped_at).alias("scraped_at")))
 
 
+def number_text(c: Column) -> Column:
+    """A float or double as the store's client writes it: an exponent below 0.0001 and from 1e16 on. The digits are the JVM's,
+    which before version 19 at times has one more than the shortest text of the same number."""
+    s = c.cast("string")
+    sign, mantissa = F.when(s.startswith("-"), "-").otherwise(""), F.regexp_extract(s, r"^-?([0-9.]+)E", 1)
+    n = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).cast("int")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
+    rest = lambda k: F.substring(digits, k, F.length(digits))
+    whole = F.rpad(digits, n + 1, "0")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)
+    large = F.concat(sign, F.substring(whole, F.lit(1), n + 1), F.lit("."), F.when(F.length(digits) > n + 1, rest(n + 2)).otherwise("0"))
+    power = F.concat(F.when(n < 0, "e-").otherwise("e+"), F.lpad(F.abs(n).cast("string"), F.greatest(F.lit(2), F.length(F.abs(n).cast("string"))), "0"))
+    far = F.concat(sign, F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), rest(F.lit(2)))).otherwise(""), power)
+    odd = F.when(F.isnan(c), "nan").when(s.startswith("-I"), "-inf").when(s.startswith("I"), "inf")
+    return F.when(~s.contains("E") & ~s.rlike("[NI]"), s).when(odd.isNotNull(), odd).when((n < 0) & (n >= -4), small).when((n >= 0) & (n < 16), large).otherwise(far)
+
+
 def vector_literal(v: Column | str) -> Column:
-    return F.concat(F.lit("["), F.array_join(col(v).cast("array<string>"), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(col(v), number_text), ","), F.lit("]"))
 
 
 #: Approximate tokens: runs of letters, digits and underscores, and single other signs.

@@ -191,3 +191,14 @@ def test_a_button_that_is_never_closed_swallows_nothing():
     assert to_markdown("<p>one</p><button>x<p>two</p>").split() == ["one", "x", "two"]
     assert to_markdown("<p>one</p><button>x</button><p>two</p>").split() == ["one", "two"]
     assert to_markdown("<!-- <button> --><script>'<button>'</script><button>x</button><button>y<p>two</p>").split() == ["y", "two"]
+
+
+def test_number_texts_are_those_of_the_client(spark):
+    rng = random.Random(5)
+    xs = [0.0, -0.0, 1.0, 0.1, 1e-4, 9.99e-5, 1e-5, 1.5e-7, 123456.789, 1e7, 12345678.9, 1e15, 1e16, 1.25e20, -2.5e-11, 1e100, 1e-300, float("inf"), float("-inf")]
+    xs += [rng.uniform(-1, 1) * 10 ** rng.randint(-20, 20) for _ in range(200)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(T.number_text(F.col("x"))).collect()
+    shape = lambda t: re.sub(r"[0-9]{12,}", "#", t)  # noqa: E731  older JVMs may write one digit more
+    assert all(float(r[0]) == x and (r[0] == str(x) or shape(r[0]) == shape(str(x))) for r, x in zip(got, xs))
+    assert sum(r[0] == str(x) for r, x in zip(got, xs)) > 0.8 * len(xs)
+    assert one(spark, T.vector_literal("x"), x=[0.5, 1e-5, float("nan")]) == "[0.5,1e-05,nan]"
