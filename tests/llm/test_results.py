@@ -572,3 +572,94 @@ def test_decoding_keeps_a_wanted_node_at_least_loss(n, data):
     assert keep[0] and all(keep[parents[k]] or not keep[k] for k in range(1, n))
     assert not wanted.any() or (keep & wanted).any()
     assert score(list(keep)) >= max(map(score, allowed)) - 1e-9
+
+
+def plain_label_model(v, rounds=40):
+    """The label model's expectation maximisation, row by row and voter by voter."""
+    from math import exp, log, sqrt
+
+    n, m = len(v), len(v[0])
+    weight, p = [1.0] * m, [0.9 if any(r) else 0.01 for r in v]
+
+    def posteriors(prior, a, b):
+        out = []
+        for r in v:
+            z = log(prior / (1 - prior)) + sum(weight[j] * (log(a[j] / b[j]) if r[j] else log((1 - a[j]) / (1 - b[j]))) for j in range(m))
+            out.append(1 / (1 + exp(-min(40, max(-40, z)))))
+        return out
+
+    for k in range(2 * rounds):
+        a = [(sum(p[i] for i in range(n) if v[i][j]) + 0.5) / (sum(p) + 2) for j in range(m)]
+        b = [(sum(1 - p[i] for i in range(n) if v[i][j]) + 0.01) / (sum(1 - x for x in p) + 2) for j in range(m)]
+        b = [min(min(0.5, max(1e-5, x)), y / 5) for x, y in zip(b, a)]
+        a = [min(1 - 1e-4, max(1e-4, x)) for x in a]
+        prior = min(0.5, max(1e-3, sum(p) / n))
+        if k == rounds:
+            cov = [[sum(p[i] * (v[i][x] - a[x]) * (v[i][y] - a[y]) for i in range(n)) / max(1, sum(p)) for y in range(m)] for x in range(m)]
+            r = [[1.0 if x == y else min(1, max(0, cov[x][y] / sqrt(max(1e-9, cov[x][x])) / sqrt(max(1e-9, cov[y][y])))) for y in range(m)] for x in range(m)]
+            weight = [1 / sum(c for c in row if c > 0.2) for row in r]
+        p = posteriors(prior, a, b)
+    return p
+
+
+def test_label_model_against_a_plain_loop():
+    rng = np.random.default_rng(6)
+    y = rng.random(150) < 0.2
+    v = np.stack([np.where(y, rng.random(150) < hit, rng.random(150) < 0.03) for hit in (0.9, 0.6, 0.5, 0.3)], axis=1)
+    v = np.concatenate([v, v[:, 1:2] ^ (rng.random((150, 1)) < 0.02)], axis=1)  # a voter that copies another one
+    got = toxicity.LabelModel.fit(v)
+    want = plain_label_model(v.astype(int).tolist())
+    assert np.allclose(got.posterior(v.astype(float)), want, atol=1e-6)
+    assert got.weight[1] < 0.8 and got.weight[4] < 0.8 and ((np.array(want) > 0.5) == y).mean() > 0.93
+
+
+def test_mined_terms_against_plain_counts():
+    """Every candidate word and stem looked at by itself, families of copies counted once."""
+    from math import log
+
+    rng = random.Random(7)
+    bad, common = ["grumph", "grumphing", "zlorp", "vexu"], [f"word{chr(97 + k)}" for k in range(12)]
+    rows = []
+    for k in range(160):
+        toxic = k % 4 == 0
+        rows.append(({*rng.sample(common, 5), f"own{chr(97 + k // 26)}{chr(97 + k % 26)}", *([rng.choice(bad)] if toxic else [])}, toxic))
+    rows += [rows[0]] * 10
+    seen, y = [s for s, _ in rows], np.array([float(t) for _, t in rows])
+    sample = toxicity.Sample.of(seen, y > 0)
+    family = [min(toxicity.hash_word(w) for w in s) for s in seen]
+    share = lambda who: sum(y[i] for i in who) / len(who)
+    by_family = {f: [i for i in range(len(rows)) if family[i] == f] for f in set(family)}
+    base = min(0.5, max(1e-3, sum(map(share, by_family.values())) / len(by_family)))
+    terms = {t for s, t_ in zip(seen, y) if t_ for t in toxicity.terms_of(s)}
+    good = {}
+    for t in terms:
+        who = [i for i, s in enumerate(seen) if t in toxicity.terms_of(s)]
+        if sum(y[i] for i in who) < 3:
+            continue
+        fams = {}
+        for i in who:
+            fams.setdefault(family[i], []).append(i)
+        n, k = len(fams), sum(map(share, fams.values()))
+        q = min(k / n, 1 - 1e-9)
+        surprise = -n * (q * log(max(q, 1e-12) / base) + (1 - q) * log((1 - q) / (1 - base)))
+        if n >= 3 and share(who) > 0.5 and k >= 2.4 and q > max(0.6, 2 * base) and surprise < log(toxicity.CHANCE / sample.looked_at):
+            good[t] = k / (n + 2)
+    kept = []
+    for t in sorted(good, key=lambda t: (-good[t], -len(t), t)):
+        bare = t.removesuffix("*")
+        if not any(x.removesuffix("*").startswith(bare) for x in kept) and not any(x.endswith("*") and bare.startswith(x[:-1]) for x in kept):
+            kept.append(t)
+    assert sample.mine(y) == sorted(kept) and kept
+
+
+def test_scores_against_a_plain_sum():
+    model = toxicity.Model(["grum*", "zlorp"], -1.0, np.array([0.5, 1.0, 0.25, 0.125, 2.0, 4.0, 8.0]), np.linspace(-1, 1, toxicity.PLACES))
+    texts = ["", "zlorp", "GRUMPHING zlorp! and zlorp", "nothing here of note", "grum", "GRUMPH " + "word " * 300, "a a a b"]
+    for text, got in zip(texts, model.scores(texts)):
+        words = toxicity.words_of(text)
+        hits = [w for w in words if w == "zlorp" or (w.startswith("grum") and len(w) > 4)]
+        z = -1.0 + sum({toxicity.place_of(w): model.places[toxicity.place_of(w)] for w in set(words) - set(hits)}.values())
+        if hits:
+            flags = [any(w != "zlorp" for w in hits), "zlorp" in hits, len(set(hits)) >= 2, len(hits) > len(set(hits)), len(hits) * 200 >= len(words), any(w.upper() in text for w in hits), any(f"{w}!" in text for w in hits)]
+            z += sum(f * c for f, c in zip(flags, model.voters))
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
