@@ -69,3 +69,11 @@ def render_report(manifest: dict, sections: list, words: dict, empty: dict, titl
     if failed:
         out += ["## Failed", "", "| Address | Error |", "| --- | --- |", *[f"| <{r['url']}> | {r['error_message'] or '—'} |" for r in failed], ""]
     return "\n".join(out)
+
+
+def corpus_cube(chunks: DataFrame, *, doc: str, by: list[str], tokens: str = "token_count") -> DataFrame:
+    """Documents, chunks and tokens by every combination of the columns, with ``level``, the number that tells which are
+    summed over. A document has one value of each column: its chunks are summed first, so that no grouping counts distinct
+    values and only a row a document is multiplied by the groupings."""
+    per_doc = chunks.groupBy(doc, *by).agg(F.count(F.lit(1)).alias("_c"), F.sum(tokens).alias("_t"))
+    return per_doc.cube(*by).agg(F.grouping_id().cast("long").alias("level"), F.count(F.lit(1)).alias("docs"), F.sum("_c").alias("chunks"), F.sum("_t").cast("long").alias("tokens"))

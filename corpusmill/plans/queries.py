@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from .. import runs
 from ..functions import html as H
+from ..functions import semi
 from ..functions import text as T
 from ..functions.tokens import vocabulary_counter
-from ..operators import chunking, embedding, headings, intervals, keyword_index, reporting, retrieval, selection, similarity_join, store, vector_index
+from ..operators import chunking, embedding, headings, intervals, keyword_index, reporting, retrieval, selection, similarity_join, sketches, store, vector_index
 from ..sources import documents as S
 from ..sources import sinks
 from ..staging import new_path
-from ..streaming import ingest, joins, sessions
+from ..streaming import freshness, ingest, joins, sessions
 from . import inputs as I  # noqa: E741
 from .inputs import sql_strip, sql_tokens, sql_words, table
 
@@ -692,3 +693,38 @@ def order_overlaps(spark, d):
 def clicks_before_purchases(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return joins.followed_by(e.where("event_type = 'click'"), e.where("event_type = 'purchase'")).select("user_id", "first_id", "then_id")
+
+
+@query("""WITH s AS (SELECT user_id, ts, max(sha256(event_type)) AS h FROM events GROUP BY ALL),
+w AS (SELECT *, lag(h) OVER k AS before, lag(ts) OVER k AS last, lead(ts) OVER k AS next, max(ts) OVER () AS fin FROM s WINDOW k AS (PARTITION BY user_id ORDER BY ts))
+SELECT '{"user_id":' || user_id || '}' AS key, ts::TIMESTAMP AS moment, h AS content_hash, 'changed' AS event FROM w WHERE before IS NULL OR before <> h OR last + INTERVAL 12 HOUR < ts
+UNION ALL SELECT '{"user_id":' || user_id || '}', (ts + INTERVAL 12 HOUR)::TIMESTAMP, h, 'expired' FROM w WHERE least(coalesce(next, fin), fin) > ts + INTERVAL 12 HOUR""")
+def content_events(spark, d):
+    """What changes and what expires, of a user's events as sightings of a chunk whose content is the event's type."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = freshness.content_events(e, key=["user_id"], content="event_type", at="ts", expire="12 hours")
+    return out.select("key", F.col("at").cast("timestamp_ntz").alias("moment"), "content_hash", "event")
+
+
+# Summaries
+@query(f"""WITH {I.CHUNKS}, c AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'skipped' ELSE 'success' END AS status FROM k)
+SELECT lang AS section, source, status, CAST(grouping_id(lang, source, status) AS BIGINT) AS level, count(DISTINCT doc_id) AS docs, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens FROM c GROUP BY CUBE (lang, source, status)""")
+def corpus_cube(spark, d):
+    c = I.chunks(spark, d).select("doc_id", F.col("lang").alias("section"), "source", F.when(F.col("doc_id") % 10 == 0, "skipped").otherwise("success").alias("status"), "token_count")
+    return reporting.corpus_cube(c, doc="doc_id", by=["section", "source", "status"])
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN substr(props, 1, length(props) - 1) WHEN 1 THEN '{"k": "many"}' WHEN 2 THEN '{"k": null}' ELSE props END AS p FROM events)
+SELECT event_id, CASE WHEN event_id % 5 > 2 THEN CAST(json_extract(p, '$.k') AS BIGINT) END AS k, CASE event_id % 5 WHEN 0 THEN 'no JSON' WHEN 1 THEN '$.k is no bigint' END AS reject FROM e""")
+def typed_props(spark, d):
+    """The number in each event's properties; some are cut short, some hold a word or null in its place."""
+    p = F.when(F.col("event_id") % 5 == 0, F.expr("substr(props, 1, length(props) - 1)")).when(F.col("event_id") % 5 == 1, '{"k": "many"}').when(F.col("event_id") % 5 == 2, '{"k": null}').otherwise(F.col("props"))
+    return semi.extract_typed(table(spark, d, "events").select("event_id", p.alias("p")), "p", {"k": ("$.k", "bigint")}).select("event_id", "k", "reject")
+
+
+@query()
+def merged_sketches(spark, d):
+    """Distinct sources and quantiles of lengths a language, from the sketches of two batches."""
+    docs = table(spark, d, "documents")
+    of = lambda rows: sketches.section_sketches(rows, section="lang", distinct=F.col("text"), amount=F.length("text"))
+    return sketches.estimates(sketches.merged(of(docs.where("doc_id % 2 = 0")), of(docs.where("doc_id % 2 = 1"))))
