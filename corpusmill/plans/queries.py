@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..functions import text as T
 from ..functions.tokens import vocabulary_counter
 from ..operators import chunking, embedding, headings, intervals, keyword_index, reporting, retrieval, selection, similarity_join, sketches, store, vector_index
 from ..sources import documents as S
-from ..sources import sinks
+from ..sources import sinks, sitemap_source
 from ..staging import new_path
 from ..streaming import freshness, ingest, joins, sessions
 from . import inputs as I  # noqa: E741
@@ -55,6 +57,16 @@ def sitemap_discover(spark, d):
     return S.discover(root, p.where("page_id % 10 <> 0").select(loc.alias("loc"), F.expr(_XML).alias("xml")), I.RULES).select("url", "section")
 
 
+@query(f"WITH {I.CANDIDATES} SELECT page_id % 3 AS snapshot, url, section FROM c WHERE page_id % 3 > 0")
+def sitemap_snapshots(spark, d):
+    """Sitemaps of all pages in three snapshots; the later two are read through the data source."""
+    path = new_path(spark, "sitemaps")
+    table(spark, d, "pages").select(F.expr(_XML).alias("value"), (F.col("page_id") % 3).alias("snapshot")).write.partitionBy("snapshot").text(path)
+    sitemap_source.register(spark)
+    found = spark.read.format(sitemap_source.NAME).options(path=path, rules=json.dumps(I.RULES)).load()
+    return found.where("snapshot > 0 and section is not null").select("snapshot", "url", "section")
+
+
 @query(f"WITH {I.CANDIDATES} SELECT page_id, url, section FROM c")
 def classify_section(spark, d):
     return I.candidates(spark, d)
