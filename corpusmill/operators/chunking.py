@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,50 +56,63 @@ def split_by_headers(docs: DataFrame, *, key: list[str], body: str = "body") ->
     return heading_paths(cut_sections(docs, body), key=key)
 
 
-def recursive_split(text: str, size: int, overlap: int, count: Callable[[str], int], separators: list[str] = SEPARATORS) -> list[str]:
+def recursive_split(text: str, size: int, overlap: int, count: Callable[[str], int], separators: list[str] = SEPARATORS, starts: Callable[[str], list[int]] | None = None) -> list[str]:
     """Pieces of at most ``size`` tokens where a separator allows it, each starting with up to ``overlap`` tokens of the
-    one before. The separator stays in front of the part that follows it."""
-    if count(text) <= size:
-        return [text]
-    here = next((k for k, s in enumerate(separators) if s in text), None)
-    if here is None:
-        return [text]
-    sep = separators[here]
-    parts = text.split(sep)
-    parts = [parts[0]] + [sep + p for p in parts[1:]]
+    one before. The separator stays in front of the part that follows it. With ``starts`` the text is cut into tokens once;
+    parts are spans of it, whose tokens are those that begin there."""
+    if starts is None:
+        within = lambda low, high: count(text[low:high])
+    else:
+        begins = starts(text)
+        within = lambda low, high: bisect_left(begins, high) - bisect_left(begins, low)
     out: list[str] = []
-    window: list[tuple[str, int]] = []
-    total = 0
-
-    def flush() -> None:
-        if window and (joined := "".join(p for p, _ in window).strip()):
-            out.append(joined)
-
-    for part in (p for p in parts if p):
-        n = count(part)
-        if n > size:
-            flush()
-            window, total = [], 0
-            out += recursive_split(part, size, overlap, count, separators[here + 1 :])
-            continue
-        if window and total + n > size:
-            flush()
-            while window and (total > overlap or total + n > size):
-                total -= window.pop(0)[1]
-        window.append((part, n))
-        total += n
-    flush()
+
+    def split(low: int, high: int, separators: list[str], n: int) -> None:
+        here = next((k for k, s in enumerate(separators) if text.find(s, low, high) >= 0), None)
+        if n <= size or here is None:
+            out.append(text[low:high])
+            return
+        sep, cuts, at = separators[here], [low], text.find(separators[here], low, high)
+        while at >= 0:
+            cuts.append(at)
+            at = text.find(sep, at + len(sep), high)
+        window: deque[tuple[int, int]] = deque()  # where parts begin, and their tokens
+        total, end = 0, low
+
+        def flush() -> None:
+            if window and (joined := text[window[0][0] : end].strip()):
+                out.append(joined)
+
+        for a, b in zip(cuts, [*cuts[1:], high]):
+            if a == b:
+                continue
+            m = within(a, b)
+            if m > size:
+                flush()
+                window.clear()
+                total = 0
+                split(a, b, separators[here + 1 :], m)
+                continue
+            if window and total + m > size:
+                flush()
+                while window and (total > overlap or total + m > size):
+                    total -= window.popleft()[1]
+            window.append((a, m))
+            total, end = total + m, b
+        flush()
+
+    split(0, len(text), separators, within(0, len(text)))
     return out
 
 
 def subsplit_oversized(sections: DataFrame, *, target: int = TARGET, overlap: int = OVERLAP, counter: TokenCounter = APPROXIMATE) -> DataFrame:
     """Splits sections over the budget; (pos, part) orders the pieces. Python sees the text of oversized rows only."""
-    tally = counter.count
+    tally, starts = counter.count, counter.starts
 
     @F.pandas_udf("array<string>")
     def split(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            yield s.map(lambda t: recursive_split(t, target, overlap, tally) if isinstance(t, str) else None)
+            yield s.map(lambda t: recursive_split(t, target, overlap, tally, starts=starts) if isinstance(t, str) else None)
 
     keep = [c for c in sections.columns if c != "content"]
     rows = sections.withColumn("_large", split(F.when(counter.column("content") > target, F.col("content"))))

@@ -203,3 +203,16 @@ def test_number_texts_are_those_of_the_client(spark):
     assert sum(r[0] == str(x) for r, x in zip(got, xs)) > 0.8 * len(xs)
     v = spark.createDataFrame([([0.5, 1e-5, float("nan")],), ([],), (None,)], "x array<double>").select(T.vector_literal("x")).collect()
     assert [r[0] for r in v] == ["[0.5,1e-05,nan]", "[]", None]
+
+
+def test_splitting_by_offsets_equals_splitting_by_counts():
+    from corpusmill.functions.tokens import APPROXIMATE
+    from corpusmill.operators.chunking import recursive_split
+
+    rng = random.Random(1)
+    for _ in range(1500):
+        text = "".join(rng.choice(["word ", "a", "b. ", "\n", "\n\n", " ", "..", "x_1", "é", ". ", "!"]) for _ in range(rng.randint(0, 120)))
+        size, overlap = rng.choice([3, 5, 10, 30]), rng.choice([0, 1, 2, 5])
+        pieces = recursive_split(text, size, overlap, APPROXIMATE.count)
+        assert recursive_split(text, size, overlap, APPROXIMATE.count, starts=APPROXIMATE.starts) == pieces
+        assert all(APPROXIMATE.count(p) <= size or not any(s in p.strip() for s in ("\n\n", "\n", ". ", " ")) for p in pieces)
