@@ -22,11 +22,13 @@ THRESHOLD = 0.95
 NEIGHBOURS, ENLARGED, BLOCK, CROWDED, PIVOTS = 8, 32, 256, 4, 64
 #: Share of pairs at the threshold that no table brings together; a list holds what is within so many times its angle.
 MISS, REACH = 0.002, 2.5
+#: Planes that split crowded sides further, and vectors whose projections say where such a plane lies.
+EXTRA, PROBES = 12, 512
 #: Vectors of a block of the exact comparison at most.
 WIDE = 4096
 #: Vectors that an audit asks of each kind: so many, and this part of all at most; recall that ends the search; descents
 #: of a round, and rounds at most.
-AUDIT, AUDIT_PART, RECALL, ROUNDS, MOST_ROUNDS = 256, 50, 0.99, 2, 4
+AUDIT, AUDIT_PART, RECALL, ROUNDS, MOST_ROUNDS = 256, 80, 0.99, 2, 4
 
 #: Single precision is off by less than this.
 _ROUNDING = 1e-5
@@ -113,26 +115,44 @@ def first_graph(nodes: DataFrame, wide: DataFrame, n: int, k: int, seed: int, th
     """Nearest neighbours within blocks of vectors that lie on the same side of random planes, in several tables: k of
     each node, ENLARGED of the ``wide`` ones; and a spanning set of each block's links, however many a node has.
 
-    A side that is crowded by far is dealt over several blocks by a hash that differs from table to table; none exceeds its
-    bound by much, and what one table separates another one brings together.
+    A side that is crowded by far, as sides are where all vectors point one way, is split by further planes, which lie at
+    the medians of some projections: near vectors mostly stay together. What is crowded even then, a dense group, is dealt
+    over several blocks by a hash that differs from table to table. No block exceeds its bound by much, and what one table
+    separates another one brings together.
     """
     bits, tables = plan_tables(n, threshold)
     most, floor = CROWDED * block_size(n), floor_of(threshold)
+    drawn: dict[int, list[bytes]] = {}
+    for r in nodes.orderBy(F.xxhash64("node", F.lit(f"planes {seed}")), "node").limit(PROBES).select("dim", "unit").collect():
+        drawn.setdefault(r["dim"], []).append(r["unit"])
+
+    def planes_of(dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Planes of all tables, and where they lie."""
+        planes = np.random.default_rng((seed, dim)).standard_normal((dim, tables * (bits + EXTRA)))
+        at = np.zeros((tables, bits + EXTRA))
+        if dim in drawn:
+            at[:, bits:] = np.median(_matrix(pd.Series(drawn[dim])) @ planes, axis=0).reshape(tables, -1)[:, bits:]
+        return planes, at
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 x = _matrix(part["unit"])
-                planes = np.random.default_rng((seed, int(dim))).standard_normal((int(dim), tables * bits))
-                side = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(x), tables), dtype=np.int64)
+                planes, where = planes_of(int(dim))
+                above = (x @ planes).reshape(len(x), tables, -1) > where
+                side, more = (above[:, :, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in ((0, bits), (bits, bits + EXTRA)))
                 short = [u.tobytes() for u in x.astype(np.float32)]
                 for t in range(tables):
-                    yield pd.DataFrame({"node": part["node"].to_numpy(), "k": part["k"].to_numpy(), "t": t, "dim": dim, "side": side[:, t], "short": short})
+                    yield pd.DataFrame({"node": part["node"].to_numpy(), "k": part["k"].to_numpy(), "t": t, "dim": dim, "side": side[:, t], "more": more[:, t], "short": short})
 
     sized = nodes.select("node", "unit", "dim").join(wide, "node", "left").withColumn("k", F.coalesce("k", F.lit(k)))
-    dealt = stage(sized.mapInPandas(sides, "node long, k int, t int, dim int, side long, short binary"), "sides")
-    crowd = stage(dealt.groupBy("t", "dim", "side").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")), "crowd")
-    blocks = dealt.join(crowd, ["t", "dim", "side"]).withColumn("part", F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.col("parts")))
+    dealt = stage(sized.mapInPandas(sides, "node long, k int, t int, dim int, side long, more long, short binary"), "sides")
+    key = ["t", "dim", "side"]
+    crowd = dealt.groupBy(*key).agg(F.least(F.lit(EXTRA), F.ceil(F.log2(F.count(F.lit(1)) / most))).cast("int").alias("e"))
+    crowd = stage(crowd.withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest("e", F.lit(0))) - 1).drop("e"), "crowd")
+    split = dealt.join(crowd, key).withColumn("more", F.col("more").bitwiseAND(F.col("mask"))).drop("mask")
+    parts = stage(split.groupBy(*key, "more").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")), "parts")
+    blocks = split.join(parts, [*key, "more"]).withColumn("part", F.pmod(F.xxhash64("node", "t", F.lit(seed)), F.col("parts")))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
@@ -142,7 +162,7 @@ def first_graph(nodes: DataFrame, wide: DataFrame, n: int, k: int, seed: int, th
         sims = x @ x.T
         return pd.concat([_ties(ids, sims, threshold), _best(ids, sims, pdf["k"].to_numpy(), floor)])
 
-    return blocks.groupBy("t", "dim", "side", "part").applyInPandas(near, _EDGE)
+    return blocks.groupBy(*key, "more", "part").applyInPandas(near, _EDGE)
 
 
 def best_lists(edges: DataFrame, wide: DataFrame, k: int) -> DataFrame:
