@@ -216,3 +216,17 @@ def test_splitting_by_offsets_equals_splitting_by_counts():
         pieces = recursive_split(text, size, overlap, APPROXIMATE.count)
         assert recursive_split(text, size, overlap, APPROXIMATE.count, starts=APPROXIMATE.starts) == pieces
         assert all(APPROXIMATE.count(p) <= size or not any(s in p.strip() for s in ("\n\n", "\n", ". ", " ")) for p in pieces)
+
+
+def test_vector_literals_are_those_of_their_sql(spark):
+    import duckdb
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [rng.uniform(-1, 1, 64).astype(np.float32) * np.float32(10.0) ** rng.integers(-6, 3) for _ in range(300)]
+    rows += [np.arange(1, 65).astype(np.float32) * np.float32(p) for p in (2.0**-10, 2.0**-13, 3 * 2.0**-11, 50307.9375, 2530129.25, 16777218.0, 1e9)]
+    text = lambda x: duckdb.execute("SELECT ?::FLOAT::VARCHAR", [float(x)]).fetchall()[0][0]
+    got = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "i int, v array<float>").select("i", T.vector_literal("v").alias("t")).collect()
+    assert all(r["t"] == "[" + ",".join(map(text, rows[r["i"]])) + "]" for r in got)
+    odd = spark.createDataFrame([([1.0, None, 2e-45],), ([None],)], "v array<float>").select(T.vector_literal("v").alias("t")).collect()
+    assert [r["t"] for r in odd] == ["[" + ",".join(map(text, (1.0, 2e-45))) + "]", "[]"]
