@@ -230,3 +230,17 @@ def test_vector_literals_are_those_of_their_sql(spark):
     assert all(r["t"] == "[" + ",".join(map(text, rows[r["i"]])) + "]" for r in got)
     odd = spark.createDataFrame([([1.0, None, 2e-45],), ([None],)], "v array<float>").select(T.vector_literal("v").alias("t")).collect()
     assert [r["t"] for r in odd] == ["[" + ",".join(map(text, (1.0, 2e-45))) + "]", "[]"]
+
+
+def test_titles_are_decoded_as_far_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    from corpusmill.plans.queries import ORACLE_SQL, QUERIES
+
+    pages = [(1, "https://x/a", '<title>a = &quot;b&quot; &lt;c&gt; &amp;amp; &#39;</title>'), (2, "https://x/b", "<TITLE x>\n two \t words ¶</TITLE>"), (3, "https://x/c", "<p>none</p>"), (4, "https://x/d", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["extract_title"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL["extract_title"]).fetchall())
+    row = spark.createDataFrame(pages[:1], "page_id long, url string, html string").select(H.page_title("html", "url").alias("t")).first()
+    assert row["t"] == "a = \"b\" <c> &amp; '"
