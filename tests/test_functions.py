@@ -244,3 +244,15 @@ def test_titles_are_decoded_as_far_as_their_sql_does(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["extract_title"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE_SQL["extract_title"]).fetchall())
     row = spark.createDataFrame(pages[:1], "page_id long, url string, html string").select(H.page_title("html", "url").alias("t")).first()
     assert row["t"] == "a = \"b\" <c> &amp; '"
+
+
+def test_texts_are_encoded_in_slices():
+    import pyarrow as pa
+
+    from corpusmill.functions import tokens
+
+    texts = ["a" * n for n in (0, 5, 3, 20, 1, 1, 0)] + [None, "b"]
+    got = list(tokens.slices(pa.array(texts), 8))
+    assert [t for part in got for t in part] == [t or "" for t in texts]
+    assert all(sum(map(len, part)) <= 8 or len(part) == 1 for part in got) and len(got) == 3
+    assert [list(p) for p in tokens.slices(pa.array(texts).slice(3, 2), 8)] == [["a" * 20], ["a"]]
