@@ -256,3 +256,9 @@ def test_texts_are_encoded_in_slices():
     assert [t for part in got for t in part] == [t or "" for t in texts]
     assert all(sum(map(len, part)) <= 8 or len(part) == 1 for part in got) and len(got) == 3
     assert [list(p) for p in tokens.slices(pa.array(texts).slice(3, 2), 8)] == [["a" * 20], ["a"]]
+
+
+def test_only_pages_with_wrappers_go_to_python(spark):
+    rows = spark.createDataFrame([("<p>a<wbr/>b</p>",), ("plain",), (f'<div class="{H.WRAPPER}"><pre>x</pre></div>',)], "html string")
+    plan = rows.select(H.strip_code_wrappers("html"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "clean(CASE WHEN" in plan
