@@ -5,7 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,18 +61,20 @@ def by_index(items: list) -> list[list[float]]:
 
 
 def embed_texts(rows: DataFrame, provider: Provider, *, text: str = "content", dimension: int = DIMENSION, batch: int = BATCH) -> DataFrame:
-    """Adds ``embedding``. Texts go to the provider in batches of a partition's rows; a wrong number or size ends the run."""
+    """Adds ``embedding``. Texts go to the provider in batches of a partition's rows; a wrong number or size ends the run.
+    A worker holds one batch's texts and vectors as Python objects; all others are Arrow's."""
 
-    @F.pandas_udf("array<float>")
-    def embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in it:
-            texts, out = s.tolist(), []
-            for k in range(0, len(texts), batch):
-                got = by_index(with_retry(provider, texts[k : k + batch]))
-                if len(got) != len(texts[k : k + batch]) or any(len(v) != dimension for v in got):
+            out = np.empty((len(s), dimension), dtype=np.float32)
+            for k in range(0, len(s), batch):
+                texts = s.slice(k, batch).to_pylist()
+                got = by_index(with_retry(provider, texts))
+                if len(got) != len(texts) or any(len(v) != dimension for v in got):
                     raise ValueError("the provider broke its contract: one vector of the given size a text")
-                out += got
-            yield pd.Series(out, index=s.index)
+                out[k : k + len(got)] = got
+            yield pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * dimension, out.ravel())
 
     return rows.withColumn("embedding", embed(text))
 
