@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import front_matter
+from ..staging import stage
 
 
 def write_raw_pages(pages: DataFrame, path: str, order: str = "page_id") -> None:
@@ -29,6 +30,8 @@ def manifest_counters(documents: DataFrame, discovered: int, seconds: float) ->
 
 def write_manifest(documents: DataFrame, path: str, discovered: int, seconds: float, order: str = "ord") -> None:
     """Counters as one JSON line in ``counters``, documents as JSON lines in ``documents``, dealt by ranges of their order."""
+    # Staged, as dealing by ranges and counting read the documents three times.
+    documents = stage(documents.select(*dict.fromkeys([order, *_DOCUMENT])), "manifest")
     rows = documents.select(F.col(order).alias("ord"), *_DOCUMENT).repartitionByRange("ord").sortWithinPartitions("ord")
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/documents")
     manifest_counters(documents, discovered, seconds).write.mode("overwrite").json(f"{path}/counters")
