@@ -45,7 +45,8 @@ def report_listing(documents: DataFrame) -> DataFrame:
     the rows of earlier ranges, of which there are as many as shuffle partitions.
     """
     order = "section, url, title, word_count"
-    ranged = documents.select("section", "word_count", "title", "url").repartitionByRange("section", "url", "title")
+    # Staged, as dealing by ranges reads its input twice.
+    ranged = stage(documents.select("section", "word_count", "title", "url"), "rows").repartitionByRange("section", "url", "title")
     ranged = stage(ranged.withColumn("_range", F.spark_partition_id()), "listing")
     before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).selectExpr("_range", "sum(_n) over (order by _range) - _n as _before")
     rows = ranged.selectExpr("*", f"row_number() over (partition by _range order by {order}) as _k").join(before, "_range")
