@@ -262,3 +262,21 @@ def test_only_pages_with_wrappers_go_to_python(spark):
     rows = spark.createDataFrame([("<p>a<wbr/>b</p>",), ("plain",), (f'<div class="{H.WRAPPER}"><pre>x</pre></div>',)], "html string")
     plan = rows.select(H.strip_code_wrappers("html"))._jdf.queryExecution().optimizedPlan().toString()
     assert "clean(CASE WHEN" in plan
+
+
+def test_words_are_runs_without_any_white_space(spark):
+    rng = random.Random(3)
+    texts = ["", " ", " \x1c　", "a", " a", "a ", *("".join(rng.choice(["a", "é", "漢", "😀", "x", " ", "\xa0", "\n", " ", "​", "\x85", "\x1f", "\x00", "."]) for _ in range(rng.randint(0, 30))) for _ in range(500)), "é a" * 50000, "é" * 100000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.word_count("t").alias("n")).collect()
+    assert all(r["n"] == len(texts[r["i"]].split()) for r in got) and len(got) == len(texts)
+    assert spark.createDataFrame([(None,)], "t string").select(T.word_count("t")).first()[0] is None
+
+
+def test_words_of_found_documents_are_counted_once(spark):
+    from corpusmill.plans import inputs
+
+    found = inputs.documents_found(spark, "/root/testdata/sf0.001").where("word_count > 3")
+    files = inputs.raw_files(spark, "/root/testdata/sf0.001").select("doc_id", T.front_matter_field("raw", r"^word_count:\s*(\d+)").alias("n")).where("n is not null")
+    for rows in (found, files):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("x{1680}") == 2  # both classes of one pattern
