@@ -84,6 +84,34 @@ def test_similarity_join_equals_all_pairs(spark, threshold):
     assert got == want and (1003, 1005) in got
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_crowded_lists_are_left_for_blocks(spark, threshold, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abc"), 4)) for _ in range(12)]
+    rows = [(k, " ".join(rng.choice(words, rng.integers(1, 12)))) for k in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = texts.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(similarity_join, "ROW_BLOCK", 64)
+    monkeypatch.setattr(similarity_join, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(similarity_join, "MEETING", 1000)
+    monkeypatch.setattr(similarity_join, "candidate_pairs", None)  # not asked
+    got = {(r["query_id"], r["id"]): r["score"] for r in similarity_join.similarity_join(queries, texts, threshold, id_col="doc_id", text_col="text").collect()}
+    sets = {k: retrieval.trigram_set(t) for k, t in rows}
+    score = {(q, i): len(sets[q] & sets[i]) / len(sets[q] | sets[i]) for q in sets if q % 5 == 0 for i in sets}
+    assert got == {p: round(s, 9) for p, s in score.items() if s >= threshold} and len(got) >= 80
+
+
+def test_shared_members_and_best_places():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 30):
+        sets = [rng.choice(60, rng.integers(0, 40), replace=False) * (rng.integers(1, 3) if n > 5 else 1) for _ in range(2 * n)]
+        q, r = sets[:n], sets[n:]
+        want = np.array([[len(np.intersect1d(a, b)) for b in r] for a in q]).reshape(len(q), len(r))
+        assert (retrieval.shared_members(q, r) == want).all()
+    scores = rng.integers(0, 5, (20, 90)) / 4
+    assert (retrieval.best_places(scores, 7) == np.argsort(-scores, axis=1, kind="stable")[:, :7]).all()
+
+
 def test_similarity_join_meets_few_pairs(spark):
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sets = similarity_join.gram_sets(texts, id_col="doc_id", text_col="text").where("size(grams) > 0")
