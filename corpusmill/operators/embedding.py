@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,23 +26,41 @@ class Retryable(RuntimeError):
 
 
 def hash_provider(dimension: int = DIMENSION) -> Provider:
-    """A deterministic stand-in without a network: unit vectors of hashed character trigrams."""
+    """A deterministic stand-in without a network: unit vectors of hashed character trigrams (CRC-32 of their UTF-8)."""
 
     def embed(texts: list[str]) -> list[list[float]]:
-        import zlib
-
         out = []
         for t in texts:
-            v = [0.0] * dimension
-            for k in range(max(1, len(t) - 2)):
-                v[zlib.crc32(t[k : k + 3].encode()) % dimension] += 1.0
-            norm = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / norm for x in v])
+            n = np.bincount(trigram_crcs(t) % dimension, minlength=dimension).astype(np.float64)
+            out.append((n / (float((n * n).sum()) ** 0.5 or 1.0)).tolist())
         return out
 
     return embed
 
 
+#: Of each byte, the CRC-32 step that it makes.
+_STEPS = np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], dtype=np.uint32)
+
+
+def trigram_crcs(text: str) -> np.ndarray:
+    """CRC-32 of the UTF-8 of each three characters in a row; a shorter text is one."""
+    b = np.frombuffer(text.encode(), dtype=np.uint8)
+    if len(text) <= 3:
+        return np.array([zlib.crc32(b)], dtype=np.uint32)
+    begins = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
+    begin, size = begins[:-3], begins[3:] - begins[:-3]
+    state = np.full(len(begin), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(3):
+        state = _STEPS[(state & 0xFF) ^ b[begin + k]] ^ (state >> 8)
+    at, k = np.flatnonzero(size > 3), 3
+    while len(at):  # characters of several bytes
+        s = state[at]
+        state[at] = _STEPS[(s & 0xFF) ^ b[begin[at] + k]] ^ (s >> 8)
+        k += 1
+        at = at[size[at] > k]
+    return ~state
+
+
 def with_retry(provider: Provider, texts: list[str], attempts: int = 5, least: float = 2, most: float = 30, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
     for k in range(attempts):
         try:

@@ -6,7 +6,7 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -21,8 +21,11 @@ SCHEMA = "id long, doc_url string, chunk_index int, doc_title string, section st
 def last_per_key(incoming: DataFrame, key: list[str] = KEY, order: str = "pos") -> DataFrame:
     """Of rows with one key, the last in input order, with ``_times`` rows seen. Rows of one place go by their content."""
     cols = [c for c in incoming.columns if c not in key]
-    last = F.max_by(F.struct(*cols), F.struct(order, F.xxhash64(*[c for c in cols if c != order])))
-    return incoming.groupBy(*key).agg(last.alias("_r"), F.count(F.lit(1)).alias("_times")).select(*key, "_r.*", "_times")
+    same = Window.partitionBy(*key)
+    last = same.orderBy(F.desc(order), F.desc(F.xxhash64(*[c for c in cols if c != order])))
+    # (Windows sort whole rows once, behind the shuffle; an aggregate of whole rows sorts them on both sides of it.)
+    rows = incoming.withColumns({"_place": F.row_number().over(last), "_times": F.count(F.lit(1)).over(same)})
+    return rows.where("_place = 1").select(*key, *cols, "_times")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, *, key: list[str] = KEY, updated: list[str] = UPDATED, now: object = None, order: str = "pos", top: int | None = None) -> DataFrame:
@@ -43,7 +46,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, *, key: list[str] = KEY, up
 
 
 def number_created(rows: DataFrame, key: list[str], top: int | None = None) -> DataFrame:
-    """Gives created rows ids after the greatest one: documents are few beside chunks, so documents are counted first."""
+    """Gives created rows ids after the greatest one: documents are few beside chunks, so documents are counted first.
+    Rows are dealt by document, as orphan removal needs them too."""
     if top is None:
         top = rows.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     made = rows.where("action = 'created'")
@@ -53,9 +57,9 @@ def number_created(rows: DataFrame, key: list[str], top: int | None = None) -> D
     starts = ranged.groupBy("_range").agg(F.sum("_n").alias("_s")).selectExpr("_range", "sum(_s) over (order by _range) - _s as _before")
     within = ranged.selectExpr("*", f"sum(_n) over (partition by _range order by {key[0]} rows between unbounded preceding and current row) - _n as _inside")
     first = within.join(F.broadcast(starts), "_range").select(F.col(key[0]).alias("_d"), (F.col("_before") + F.col("_inside")).alias("_first"))
-    numbered = made.selectExpr("*", f"row_number() over (partition by {key[0]} order by {key[1]}) as _k").join(first, F.col(key[0]) == F.col("_d"))
-    numbered = numbered.withColumn("id", F.lit(top) + F.col("_first") + F.col("_k")).select(*rows.columns)
-    return rows.where("action <> 'created'").unionByName(numbered)
+    numbered = rows.selectExpr("*", f"count_if(action = 'created') over (partition by {key[0]} order by {key[1]} rows between unbounded preceding and current row) as _k").join(first, F.col(key[0]) == F.col("_d"), "left")
+    new_id = F.when(F.col("action") == "created", F.lit(top) + F.col("_first") + F.col("_k")).otherwise(F.col("id"))
+    return numbered.withColumn("id", new_id).select(*rows.columns)
 
 
 def delete_orphans(store: DataFrame, incoming: DataFrame, *, key: list[str] = KEY) -> DataFrame:

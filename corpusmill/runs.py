@@ -118,19 +118,28 @@ def run_reprocess(spark: SparkSession, manifest: DataFrame, pages: DataFrame, ou
     return {"downloaded": n.get("ok", 0), "failed": n.get("fail", 0), "skipped": 0, "preserved": n.get("preserved", 0), "manifest": path, "markdown": f"{out}/markdown-{run}"}
 
 
+def chunks_to_index(
+    docs: DataFrame, *, target: int = chunking.TARGET, overlap: int = chunking.OVERLAP, least: int = chunking.LEAST, counter: TokenCounter = APPROXIMATE,
+) -> DataFrame:
+    """The staged chunks of documents, which a dry run and the runs behind it can share (``index_documents``)."""
+    key = ["url", "title", "section", "scraped_at", "word_count"]
+    return stage(chunking.chunk_documents(docs, key=key, target=target, overlap=overlap, least=least, counter=counter), "chunks")
+
+
 def index_documents(
     spark: SparkSession, docs: DataFrame, store: VersionedStore, provider: embedding.Provider, *, model: str = "text-embedding-3-small",
     dimension: int = embedding.DIMENSION, source: str = "docs", dry_run: bool = False, ask: Callable[[str], str] | None = None,
     target: int = chunking.TARGET, overlap: int = chunking.OVERLAP, least: int = chunking.LEAST, counter: TokenCounter = APPROXIMATE,
+    chunks: DataFrame | None = None,
 ) -> dict:
     """Chunks, prices, embeds and upserts documents (url, title, section, scraped_at, word_count, body).
 
     A dry run, and one whose cost nobody confirms, skip all chunks and change nothing; the former reports the estimated
-    cost, the latter 0. All counts and cost use one counter.
+    cost, the latter 0. All counts and cost use one counter. ``chunks``: those of the same documents, if they are made.
     """
     start = time.monotonic()
-    key = ["url", "title", "section", "scraped_at", "word_count"]
-    chunks = stage(chunking.chunk_documents(docs, key=key, target=target, overlap=overlap, least=least, counter=counter), "chunks")
+    if chunks is None:
+        chunks = chunks_to_index(docs, target=target, overlap=overlap, least=least, counter=counter)
     total = chunks.agg(F.coalesce(F.sum("token_count"), F.lit(0)), F.count(F.lit(1)), F.count_distinct("url")).first()
     cost = embedding.estimate_cost(total[0], model)
     out = {

@@ -151,3 +151,20 @@ def test_rules_see_a_path_of_every_address(spark):
     urls = ["https://h.org", "https://h.org?q=1", "HTTPS://h.org/a", "https://h.org/a?q#f", "http://h.org:8080/b/", "https://h.org#x", "nothing"]
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select(selection.url_path("url").alias("p"), selection.robots_allowed(selection.url_path("url"), [("/", False)]).alias("ok")).collect()
     assert [r["p"] for r in rows] == ["/", "/?q=1", "/a", "/a?q", "/b/", "/", "/"] and not any(r["ok"] for r in rows)
+
+
+def test_runs_over_the_same_documents_share_their_chunks(spark, monkeypatch):
+    from corpusmill.operators import chunking
+    from corpusmill.plans import registry
+
+    made, chunk = [], chunking.chunk_documents
+    monkeypatch.setattr(chunking, "chunk_documents", lambda *a, **b: made.append(1) or chunk(*a, **b))
+    rows = sorted(registry.QUERIES["index_runs"](spark, "/root/testdata/sf0.001").collect())
+    assert len(made) == 1 and rows[0]["chunks_skipped"] == rows[1]["chunks_created"] == rows[2]["chunks_updated"] > 0
+
+
+def test_trigram_crcs_are_those_of_a_loop():
+    import zlib
+
+    for t in ("", "a", "ab", "abc", "abcd", "äb€c\U0001d11ed \n\x00é", "日本語のテキスト", "plain words " * 40):
+        assert embedding.trigram_crcs(t).tolist() == [zlib.crc32(t[k : k + 3].encode()) for k in range(max(1, len(t) - 2))]
