@@ -18,8 +18,8 @@ from .retrieval import cosines, ranked
 SAMPLE, PART, CODES = 20_000, 4096, 256
 #: Of each list part, so many times k rows with the best codes are compared exactly.
 REFINE = 20
-#: Queries of a task at once.
-STRIPE = 256
+#: Queries that meet a list's part at once, about; of these, or of rows that are given lists, so many at a time.
+QUERY_BLOCK, STRIPE = 4096, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -138,8 +138,8 @@ def build_index(vectors: DataFrame, *, id_col: str, vec_col: str, lists: int | N
     held = rows.sparkSession.sparkContext.broadcast(q)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at, codes = held.value.assign(_unit(np.array(pdf["vector"].tolist(), dtype=np.float64))) if len(pdf) else ([], [])
+        for pdf in (batch.iloc[low : low + STRIPE] for batch in batches for low in range(0, len(batch), STRIPE)):
+            at, codes = held.value.assign(_unit(np.array(pdf["vector"].tolist(), dtype=np.float64)))
             yield pd.DataFrame({"list": at, "id": pdf["id"], "codes": [c.tobytes() for c in codes], "vector": pdf["vector"]})
 
     made = stage(rows.mapInPandas(assign, "list int, id long, codes binary, vector array<float>"), "indexed")
@@ -147,18 +147,23 @@ def build_index(vectors: DataFrame, *, id_col: str, vec_col: str, lists: int | N
     return VectorIndex(made, sizes, q, enough_probes(drawn, q, k, recall))
 
 
-def probed(index: VectorIndex, queries: DataFrame, *, vec_col: str, probes: int | None = None) -> DataFrame:
-    """(query_id, vector, list) of the lists that each query reads, the nearest first; null and odd queries read none."""
+def choices(index: VectorIndex, queries: DataFrame, *, vec_col: str, probes: int | None = None) -> DataFrame:
+    """(query_id, vector, lists): one row a query, with the lists that it reads, the nearest first; null and odd queries have
+    no row."""
     held, most = queries.sparkSession.sparkContext.broadcast(index.quantisers), probes or index.probes
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                order = held.value.order(_unit(np.array(pdf["vector"].tolist(), dtype=np.float64)))[:, :most]
-                yield pdf.loc[pdf.index.repeat(order.shape[1])].assign(list=order.ravel())
+        for pdf in (batch.iloc[low : low + STRIPE] for batch in batches for low in range(0, len(batch), STRIPE)):
+            order = held.value.order(_unit(np.array(pdf["vector"].tolist(), dtype=np.float64)))[:, :most]
+            yield pdf.assign(lists=list(order.astype(np.int32)))
 
     asked = usable(queries, vec_col).select(F.col("query_id").cast("long").alias("query_id"), F.col(vec_col).cast("array<float>").alias("vector"))
-    return asked.where(F.size("vector") == index.quantisers.lists.shape[1]).mapInPandas(choose, "query_id long, vector array<float>, list int")
+    return asked.where(F.size("vector") == index.quantisers.lists.shape[1]).mapInPandas(choose, "query_id long, vector array<float>, lists array<int>")
+
+
+def probed(index: VectorIndex, queries: DataFrame, *, vec_col: str, probes: int | None = None) -> DataFrame:
+    """(query_id, list) of the lists that each query reads, the nearest first; null and odd queries read none."""
+    return choices(index, queries, vec_col=vec_col, probes=probes).select("query_id", F.explode("lists").alias("list"))
 
 
 def share_read(index: VectorIndex, queries: DataFrame, *, vec_col: str, probes: int | None = None) -> DataFrame:
@@ -168,21 +173,30 @@ def share_read(index: VectorIndex, queries: DataFrame, *, vec_col: str, probes:
     return read.crossJoin(F.broadcast(n)).select("query_id", (F.col("n") / F.col("all")).alias("share"))  # one row
 
 
+def blocks(index: VectorIndex, chosen: DataFrame) -> DataFrame:
+    """What is compared with each other has one (list, part, block): the queries (ask) of ``choices`` and the rows of their
+    lists. A list's rows are dealt over its parts, its queries over blocks, so that both are bounded; each block meets each part."""
+    read = chosen.select("query_id", "vector", F.explode("lists").alias("list"))
+    dealt = read.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")).join(index.lists.select("list", "parts"), "list")
+    dealt = stage(dealt, "dealt")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = read.join(dealt, "list").select(F.lit(True).alias("ask"), "list", each("parts").alias("part"), deal("query_id", "blocks").alias("block"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("codes"), "vector")
+    every = index.rows.join(dealt, "list").select(F.lit(False).alias("ask"), "list", deal("id", "parts").alias("part"), each("blocks").alias("block"), "id", "codes", "vector")
+    return asked.union(every)
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, *, vec_col: str, probes: int | None = None, refine: int = REFINE) -> DataFrame:
     """(query_id, id, score, rank) of the k vectors with the greatest cosine for each query (query_id and the vector).
 
     A query reads its ``probes`` nearest lists (unless given, as many as the index found to be enough). A list's rows are
-    dealt over parts of bounded size; in each, codes estimate all products, the ``refine`` times k best are compared in
+    dealt over parts of bounded size, its queries over blocks; where these meet, codes estimate all products, the ``refine`` times k best are compared in
     double precision, and k come back. With as many probes as lists everything is compared exactly, and the result is that
     of a plain search. Ties go by id.
     """
     whole = (probes or index.probes) >= len(index.quantisers.lists)
     held = queries.sparkSession.sparkContext.broadcast(index.quantisers)
-    read = stage(probed(index, queries, vec_col=vec_col, probes=probes), "probed")
-    asked = read.join(index.lists.select("list", "parts"), "list")
-    asked = asked.select(F.lit(True).alias("ask"), "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("codes"), "vector")
-    rows = index.rows.join(read.select("list").distinct(), "list", "left_semi")
-    every = rows.join(index.lists.select("list", "parts"), "list").select(F.lit(False).alias("ask"), "list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "codes", "vector")
+    met = blocks(index, stage(choices(index, queries, vec_col=vec_col, probes=probes), "choices"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         q, r = pdf[pdf["ask"]], pdf[~pdf["ask"]].sort_values("id")
@@ -202,5 +216,5 @@ def search(index: VectorIndex, queries: DataFrame, k: int, *, vec_col: str, prob
             out.append(pd.DataFrame({"query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "id": ids[np.take_along_axis(at, top, axis=1).ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()}))
         return pd.concat(out)
 
-    found = asked.union(every).groupBy("list", "part").applyInPandas(best, "query_id long, id long, score double")
+    found = met.groupBy("list", "part", "block").applyInPandas(best, "query_id long, id long, score double")
     return ranked(found, k)

@@ -180,3 +180,17 @@ def test_sessions_in_a_stream_are_those_of_a_batch(spark, tmp_path):
     run.awaitTermination(240)
     got = {tuple(r) for r in spark.table("sessions_out").collect()}
     assert got == batch
+
+
+def test_queries_of_a_list_are_dealt_over_blocks(spark, monkeypatch):
+    """Neither what a worker makes of a batch of queries nor what meets in one task grows with the number of queries."""
+    v = spark.createDataFrame([(k, [1.0, 0.001 * k]) for k in range(600)], "vec_id long, embedding array<double>")
+    index = vector_index.build_index(v, id_col="vec_id", vec_col="embedding", lists=3)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 20)
+    chosen = vector_index.choices(index, q, vec_col="embedding", probes=3)
+    assert chosen.count() == chosen.where("size(lists) = 3").count() == 600
+    met = vector_index.blocks(index, chosen).where("ask").groupBy("list", "part", "block").count()
+    assert met.count() == 90 and met.agg(F.max("count")).first()[0] < 60
+    key = lambda df: {tuple(r) for r in df.collect()}
+    assert key(vector_index.search(index, q, 5, vec_col="embedding", probes=3)) == key(retrieval.vector_topk(q, v, 5, id_col="vec_id", vec_col="embedding"))
