@@ -184,7 +184,7 @@ def test_sessions_in_a_stream_are_those_of_a_batch(spark, tmp_path):
 
 def test_queries_of_a_list_are_dealt_over_blocks(spark, monkeypatch):
     """Neither what a worker makes of a batch of queries nor what meets in one task grows with the number of queries."""
-    v = spark.createDataFrame([(k, [1.0, 0.001 * k]) for k in range(600)], "vec_id long, embedding array<double>")
+    v = spark.createDataFrame([(k, [1.0, 0.001 * k]) for k in range(600)], "vec_id long, embedding array<float>")
     index = vector_index.build_index(v, id_col="vec_id", vec_col="embedding", lists=3)
     q = v.withColumnRenamed("vec_id", "query_id")
     monkeypatch.setattr(vector_index, "QUERY_BLOCK", 20)

@@ -35,6 +35,21 @@ def test_interval_join(spark, on, part):
     assert interval_join(a.limit(0), b, on=on, left_ends=("ls", "le"), right_ends=("rs", "re")).count() == 0
 
 
+def test_keys_with_few_intervals_are_shuffled_once(spark):
+    """However many buckets their intervals touch; no row is dealt again for the counts of buckets and parts."""
+    rows = [(k % 50, k, at(k), at(k + 90000)) for k in range(1000)]
+    a, b = (spark.createDataFrame(rows, f"k int, {n}id int, {n}s timestamp, {n}e timestamp") for n in "lr")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = interval_join(a, b, on=["k"], left_ends=("ls", "le"), right_ends=("rs", "re"), width="1 day")
+        assert out.count() == 50 * 20 * 20
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
+        few = interval_join(a, b, on=["k"], left_ends=("ls", "le"), right_ends=("rs", "re"), width="900 days", few=3, part=7)
+        assert sorted(few.collect()) == sorted(out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pairs_across_two_streams_are_those_of_a_batch(spark, tmp_path):
     schema = "user_id int, event_id int, ts timestamp"
     first = [(1, 1, at(0)), (1, 2, at(0.5)), (2, 3, at(0)), (None, 4, at(0)), (1, 5, at(30)), (3, 6, None)]
