@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ K1, B = 1.2, 0.75
 #: Terms of a query that the first pass scores at least (those that can add most, which are its rarest), and how many times k
 #: documents they have together; as many of the best of these are scored by all terms.
 FIRST_TERMS, FIRST_DOCUMENTS = 6, 4
+#: Queries of a set at most, about.
+QUERY_BLOCK = 1000
 #: Sums of doubles are off by less than this.
 _SLACK = 1e-9
 
@@ -67,9 +70,17 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _scores(index: KeywordIndex, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) of the pairs by all terms of their queries."""
+    """(query_id, id, score) of the pairs by all terms of their queries.
+
+    A posting meets the queries that have its term and those that want its document as two sets, block by block of queries,
+    and becomes a row for what they share; else it would become one for each query that wants the document.
+    """
+    blocks = max(1, math.ceil(asked.select("query_id").distinct().count() / QUERY_BLOCK))
+    sets = lambda rows, c, name: rows.groupBy(c, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_set("query_id").alias(name))
     wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    return wanted.join(pairs, "id").join(asked.select("query_id", "term"), ["query_id", "term"]).groupBy("query_id", "id").agg(F.sum("impact").alias("score"))
+    met = wanted.join(sets(pairs, "id", "wanting"), "id").join(sets(asked, "term", "asking"), ["term", "block"])
+    both = met.select(F.explode(F.array_intersect("asking", "wanting")).alias("query_id"), "id", "impact")
+    return both.groupBy("query_id", "id").agg(F.sum("impact").alias("score"))
 
 
 def candidates(index: KeywordIndex, queries: DataFrame, k: int, *, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

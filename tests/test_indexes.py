@@ -194,3 +194,13 @@ def test_queries_of_a_list_are_dealt_over_blocks(spark, monkeypatch):
     assert met.count() == 90 and met.agg(F.max("count")).first()[0] < 60
     key = lambda df: {tuple(r) for r in df.collect()}
     assert key(vector_index.search(index, q, 5, vec_col="embedding", probes=3)) == key(retrieval.vector_topk(q, v, 5, id_col="vec_id", vec_col="embedding"))
+
+
+def test_keyword_search_meets_queries_in_blocks_of_sets(spark, monkeypatch):
+    """In any number of blocks; a query that comes twice is the set of its terms, each of which counts once."""
+    docs = [(k, f"a common word {k % 7} " + "rare " * (k % 3)) for k in range(60)]
+    queries = [(q, f"rare word {q} common") for q in range(9)]
+    q = spark.createDataFrame(queries + queries[:3], "query_id long, text string")
+    monkeypatch.setattr(keyword_index, "QUERY_BLOCK", 2)
+    got = keyword_index.search(keyword_index.build_index(spark.createDataFrame(docs, "doc_id long, text string")), q, 4).collect()
+    assert {(r["query_id"], r["id"], round(r["score"], 6)) for r in got} == brute_bm25(docs, queries, 4)
